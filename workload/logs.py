@@ -24,20 +24,29 @@ def user_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def item_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L: one case per order, events are its line items by ship date."""
-    raw = table(spark, sf_dir, "lineitem").withColumn(
-        "status", F.concat_ws("/", "l_returnflag", "l_linestatus")
-    )
-    return event_log(raw, "lineitem", "l_orderkey", "status", "l_shipdate", "l_linenumber").select(
-        "dataset", "case_id", "activity", "ts", "in_order", "l_quantity", "l_discount",
+    raw = table(spark, sf_dir, "lineitem").withColumns({
+        "status": F.concat_ws("/", "l_returnflag", "l_linestatus"),
+        # Line numbers repeat within an order; part and supplier make them unique.
+        "line": F.col("l_linenumber") * F.lit(10**12) + F.col("l_partkey") * F.lit(10**5)
+        + F.col("l_suppkey"),
+        "over_discount": F.col("l_discount") - 0.08,
+    })
+    return event_log(raw, "lineitem", "l_orderkey", "status", "l_shipdate", "line").select(
+        "dataset", "case_id", "activity", "ts", "in_order", "l_quantity", "over_discount",
         "l_extendedprice", "l_returnflag",
     )
 
 
 def order_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O: one case per customer, events are its orders by date."""
-    raw = table(spark, sf_dir, "orders")
+    raw = table(spark, sf_dir, "orders").withColumns({
+        "is_closed": F.when(F.col("o_orderstatus") == "F", "closed").when(
+            F.col("o_orderstatus") == "P", "open"),
+        "in_time": F.when(F.col("o_totalprice") < 20000, F.lit(" Yes ")).when(
+            F.col("o_totalprice") > 480000, "0"),
+    })
     return event_log(raw, "orders", "o_custkey", "o_orderpriority", "o_orderdate", "o_orderkey").select(
-        "dataset", "case_id", "activity", "ts", "in_order", "o_orderstatus", "o_totalprice"
+        "dataset", "case_id", "activity", "ts", "in_order", "is_closed", "in_time", "o_totalprice"
     )
 
 
@@ -64,3 +73,10 @@ NARRATIVES = {
     ),
     "orders": Narrative("This is a customer case."),
 }
+
+
+def all_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E, L and O as one log of three datasets."""
+    base = ["dataset", "case_id", "activity", "ts", "in_order"]
+    logs = [f(spark, sf_dir).select(*base) for f in (user_log, item_log, order_log)]
+    return logs[0].unionByName(logs[1]).unionByName(logs[2])
