@@ -65,23 +65,23 @@ def _columns_of(df: DataFrame, names: Sequence[str]) -> list[str]:
 
 # ---- event sentences -------------------------------------------------------
 
-def event_sentences(
+SENTENCES = ["head", "mid"]
+
+
+def with_event_sentences(
     df: DataFrame, narratives: Mapping[str, Narrative], quote: bool = True
-) -> dict[str, Column]:
-    """``head`` and ``mid``: the event told as first of a segment, or later in it.
+) -> DataFrame:
+    """Add ``head`` and ``mid``: the event told as first of a segment, or later in it.
 
-    Needs ``activity, seq, elapsed_time, interval_time`` and the attributes.
+    Needs ``activity, seq, elapsed_time, interval_time`` and the attributes. Built
+    in steps, so that each part is computed once per event.
     """
-    activity = compact_text(F.coalesce(F.col("activity"), F.lit("nan")))
-    if quote:
-        activity = F.concat(F.lit('"'), activity, F.lit('"'))
-    on_day = F.concat(F.lit(" on day "), floor_days(F.col("elapsed_time")).cast("string"))
+    mark = '"' if quote else ""
     extras = _by_dataset(
         {d: _extras(df, n.event_fields) for d, n in narratives.items() if n.event_fields},
         F.lit(""),
     )
-    tail = F.concat(activity, on_day, F.when(extras != "", F.concat(F.lit(", with "), extras)).otherwise(""))
-    days = floor_days(F.col("interval_time"))
+    days = F.col("_days")
 
     def gap(same_day: str, later: str) -> Column:
         return (
@@ -90,16 +90,25 @@ def event_sentences(
             .otherwise(F.concat(days.cast("string"), F.lit(f" days {later}")))
         )
 
-    started = F.concat(F.lit("The case started with "), tail)
-    resumed = F.concat(
+    tail = F.concat(
+        F.lit(mark), compact_text(F.coalesce(F.col("activity"), F.lit("nan"))),
+        F.lit(f"{mark} on day "), floor_days(F.col("elapsed_time")).cast("string"),
+        F.when(F.col("_extras") != "", F.concat(F.lit(", with "), F.col("_extras"))).otherwise(""),
+    )
+    opening = F.when(F.col("seq") == 0, "The case started with ").otherwise(F.concat(
         gap("Later the same day in the case", "after the previous event"),
-        F.lit(", the case resumed with "), tail,
+        F.lit(", the case resumed with "),
+    ))
+    later = F.concat(gap("Later the same day", "later"), F.lit(", it went through "))
+    return (
+        df.withColumns({"_extras": extras, "_days": floor_days(F.col("interval_time"))})
+        .withColumn("_tail", tail)
+        .withColumns({
+            "head": end_sentence(F.concat(opening, F.col("_tail"))),
+            "mid": end_sentence(F.concat(later, F.col("_tail"))),
+        })
+        .drop("_extras", "_days", "_tail")
     )
-    mid = F.concat(gap("Later the same day", "later"), F.lit(", it went through "), tail)
-    return {
-        "head": end_sentence(F.when(F.col("seq") == 0, started).otherwise(resumed)),
-        "mid": end_sentence(mid),
-    }
 
 
 def _extras(df: DataFrame, fields: Sequence[Field]) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewright.functions.structs import let
+
 # Blanks in the Unicode sense, with the four separator controls Java leaves out.
 BLANK = r"[\s\x1c-\x1f]"
 
@@ -68,37 +70,37 @@ def value_text_of(col: Column, dtype: T.DataType) -> Column:
             .when(F.abs(x) < 1e-9, "0")
             .otherwise(F.call_function("format_number", x, F.lit("0.##")))
         )
-    s = strip(col.cast("string"))
-    low = F.lower(s)
-    return (
-        F.when(s.isNull() | (s == ""), None)
-        .when(low.isin("true", "yes"), "yes")
-        .when(low.isin("false", "no"), "no")
-        .otherwise(s)
-    )
+    # Spellings of yes and no.
+    def text(s: Column) -> Column:
+        low = F.lower(s)
+        return (
+            F.when(s == "", None)
+            .when(low.isin("true", "yes"), "yes")
+            .when(low.isin("false", "no"), "no")
+            .otherwise(s)
+        )
+
+    return let(strip(col.cast("string")), text)
 
 
 def join_phrases(phrases: Column) -> Column:
     """'a', 'a and b', 'a, b, and c' from an array; blanks and nulls dropped."""
-    items = F.filter(F.transform(phrases, compact_text), lambda p: p != "")
-    n = F.size(items)
-    return (
-        F.when(n <= 1, F.array_join(items, ""))
-        .when(n == 2, F.array_join(items, " and "))
-        .otherwise(
-            F.concat(
-                F.array_join(F.slice(items, 1, n - 1), ", "),
-                F.lit(", and "),
-                F.get(items, n - 1),
-            )
+    def told(items: Column) -> Column:
+        n = F.size(items)
+        return (
+            F.when(n <= 1, F.array_join(items, ""))
+            .when(n == 2, F.array_join(items, " and "))
+            .otherwise(F.concat(
+                F.array_join(F.slice(items, 1, n - 1), ", "), F.lit(", and "), F.get(items, n - 1)
+            ))
         )
-    )
+
+    return let(F.filter(F.transform(phrases, compact_text), lambda p: p != ""), told)
 
 
 def end_sentence(col: Column) -> Column:
     """Compacted text with a final period unless it ends with . ! or ?"""
-    c = compact_text(col)
-    return F.when((c == "") | c.rlike(r"[.!?]$"), c).otherwise(F.concat(c, F.lit(".")))
+    return F.regexp_replace(compact_text(col), r"([^.!?])$", "$1.")
 
 
 def floor_days(col: Column) -> Column:

@@ -60,8 +60,7 @@ def between(start: Column, end: Column) -> Column:
 
 
 def story_text(events: Column, case_sentence: Column) -> Column:
-    """Case sentence, head of the first event and the rest, joined by blanks."""
-    rest = F.transform(F.slice(events, F.lit(2), F.greatest(F.size(events) - 1, F.lit(0))), lambda e: e["mid"])
-    lead = F.when(case_sentence != "", case_sentence)
-    parts = F.concat(F.array(lead, F.get(events, F.lit(0))["head"]), rest)
+    """Case sentence, if any, head of the first event and the rest, joined by blanks."""
+    parts = F.transform(events, lambda e, i: F.when(i == 0, e["head"]).otherwise(e["mid"]))
+    parts = F.concat(F.array(case_sentence), parts)
     return F.array_join(F.filter(parts, lambda p: p != ""), " ")

@@ -15,7 +15,7 @@ from tracewright.functions.prompts import (
 
 
 def expand_tasks(examples: DataFrame, tasks: list[str] = TASKS) -> DataFrame:
-    """One row per prefix and task with ``task, candidates, response``.
+    """One row per prefix and task with ``task, candidates, response``, the target.
 
     The story was rendered once per prefix; only here it is repeated per task.
     """
@@ -72,6 +72,11 @@ def sample_counts(rows: DataFrame) -> DataFrame:
     )
 
 
+def evaluation_tasks(examples: DataFrame, tasks: list[str] = TASKS) -> DataFrame:
+    """One row per prefix and task with ``gold``; no text."""
+    return expand_tasks(examples, tasks).withColumnRenamed("response", "gold")
+
+
 def eval_prompts(
     examples: DataFrame, rules: Mapping[str, str], tasks: list[str] = TASKS,
     system_prompt: bool = True, with_candidate_block: bool = False,
@@ -82,7 +87,7 @@ def eval_prompts(
 
     ``compose`` and ``block`` replace the texts: functions from Columns to a Column.
     """
-    rows = expand_tasks(examples, tasks).withColumnRenamed("response", "gold")
+    rows = evaluation_tasks(examples, tasks)
     asked = instruction(F.col("task"), F.col("candidates"), rule_text(rules), positive, negative)
     prompt = compose(F.col("task"), asked, F.col("input_story"), F.lit(""), system_prompt)
     if with_candidate_block:

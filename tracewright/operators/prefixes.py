@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.functions.narrative import (
-    Narrative, case_field_columns, case_sentence, event_sentences,
+    SENTENCES, Narrative, case_field_columns, case_sentence, with_event_sentences,
 )
 from tracewright.functions.structs import record
 from tracewright.functions.text import hash_order, quoted
@@ -113,7 +113,7 @@ def cap_prefixes(plan: DataFrame, n: int, seed: int, ratio: float | None = None)
 def prefix_blocks(
     events: DataFrame, narratives: Mapping[str, Narrative], max_events: int = 40,
     quote: bool = True, hot: HotCases | None = None, remaining: str | None = None,
-    case_columns: Mapping[str, Column] | None = None,
+    case_columns: Mapping[str, Column] | None = None, story: bool = True,
 ) -> DataFrame:
     """Blocks of told events, from which any prefix of the case can be cut.
 
@@ -126,14 +126,16 @@ def prefix_blocks(
     ordered = order_events(events, hot, {
         **fields, **(case_columns or {}), "_last": F.max_by("elapsed_time", "seq"),
     })
-    said = event_sentences(ordered, narratives, quote)
     left = F.col("_last") - F.col("elapsed_time")
     if remaining:
         known = F.col(quoted(remaining)).try_cast("double")
         left = F.coalesce(F.when(~F.isnan(known), known), left)
+    if story:
+        ordered = with_event_sentences(ordered, narratives, quote)
+    sentences = {c: F.col(c) for c in SENTENCES} if story else {}
     return case_blocks(
         ordered,
-        {**said, "name": target_activity(), "left": F.floor(F.greatest(left, F.lit(0.0)))},
+        {**sentences, "name": target_activity(), "left": F.floor(F.greatest(left, F.lit(0.0)))},
         halo=max(max_events, 0), case_columns=[*fields, *(case_columns or {})],
         block=None if max_events <= 0 else max(BLOCK_EVENTS, max_events),
     )
@@ -144,18 +146,21 @@ def _block_size(max_events: int) -> int | None:
 
 
 def prefix_fields(k: Column, max_events: int, case_text) -> dict[str, Column]:
-    """What is known of the prefix of length k, from the block that holds event k."""
+    """What is known of the prefix of length k, from the block that holds event k.
+
+    Without ``case_text`` no story is told.
+    """
     start = F.greatest(k - max_events, F.lit(0)) if max_events > 0 else F.lit(0).cast("long")
-    told = between(start, k)
     n = F.col("trace_len")
     at = (k - F.col("first_seq")).cast("int")
+    story = {} if case_text is None else {"input_story": story_text(between(start, k), case_text(k))}
     return {
         "prefix_len": k.cast("int"),
         "trace_len": n.cast("int"),
         "prefix_ratio": F.bround(k / F.greatest(n, F.lit(1)), 4),
         "story_segment_start": start.cast("int"),
         "story_n_events": (k - start).cast("int"),
-        "input_story": story_text(told, case_text(k)),
+        **story,
         "next_activity": F.get("events", at)["name"],
         "last_activity": F.get("events", at - 1)["name"],
         "remaining_time_days": F.get("events", at - 1)["left"].cast("long"),
@@ -191,22 +196,25 @@ def planned_examples(
 def all_examples(
     events: DataFrame, cases: DataFrame, narratives: Mapping[str, Narrative],
     min_len: int = 2, max_events: int = 40, intro: bool = True, quote: bool = True,
-    hot: HotCases | None = None, remaining: str | None = None,
+    hot: HotCases | None = None, remaining: str | None = None, story: bool = True,
 ) -> DataFrame:
     """Every prefix from ``min_len`` to all but the last event, of the given cases.
 
     Prefixes are cut from each block in place; nothing is shuffled per prefix.
+    ``story=False`` leaves the text out.
     """
     chosen = broadcast_if_small(cases.drop("trace_len"))
     told = events.join(chosen.select(*CASE), CASE, "left_semi")
-    blocks = prefix_blocks(told, narratives, max_events, quote, hot, remaining)
+    blocks = prefix_blocks(
+        told, narratives if story else {}, max_events, quote, hot, remaining, story=story
+    )
     size = _block_size(max_events)
     first = F.lit(min_len).cast("long")
     last = F.col("trace_len") - 1
     if size:
         first = F.greatest(first, F.col("block") * size)
         last = F.least(last, F.col("block") * size + size - 1)
-    text = lambda n: case_sentence(events, narratives, intro, n)
+    text = (lambda n: case_sentence(events, narratives, intro, n)) if story else None
     kept = [c for c in cases.columns if c not in (*CASE, "trace_len")]
     examples = F.when(
         first <= last,

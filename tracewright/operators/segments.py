@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.functions.narrative import (
-    Narrative, case_field_columns, case_sentence, event_sentences,
+    SENTENCES, Narrative, case_field_columns, case_sentence, with_event_sentences,
 )
-from tracewright.functions.structs import record
+from tracewright.functions.structs import let, record
 from tracewright.functions.text import compact_text
 from tracewright.operators.blocks import BLOCK_EVENTS, between, case_blocks, story_text
 from tracewright.operators.ordering import HotCases, order_events
@@ -50,30 +50,34 @@ class Windows:
         return max(BLOCK_EVENTS, longest, self.halo)
 
 
-def segments_of_block(n: Column, block: Column, w: Windows) -> Column:
-    """Segments whose last event lies in the block, in case order.
+_RAW = "struct<position:bigint,slice_type:string,slice_start:bigint,slice_end:bigint>"
 
-    Array of ``slice_id, slice_type, slice_start, slice_end``. Positions are
-    computed, never enumerated over the case, so a case of any length yields a
-    bounded array per block.
+
+def with_segments(df: DataFrame, w: Windows) -> DataFrame:
+    """Add ``segments``: those whose last event lies in the row's block.
+
+    Needs ``trace_len`` and ``block``; gives an array of ``slice_id, slice_type,
+    slice_start, slice_end``. Positions are computed, never enumerated over the
+    case, so a case of any length yields a bounded array per block.
     """
+    n, block = F.col("trace_len"), F.col("block")
     zero = F.lit(0).cast("long")
     lo = block * (w.block or 0)
     hi = F.least(n, lo + w.block) if w.block else n  # ends in (lo, hi]
     sliding = n > max(w.full_max, w.trigger)
-    counts = {
-        s: F.when(
-            sliding & (n > s),
-            F.floor((n - s) / w.step(s)) + 1 + F.when((n - s) % w.step(s) != 0, 1).otherwise(0),
-        ).otherwise(zero)
-        for s in w.usable
-    }
-    total = sum(counts.values(), zero)
-    kind = "struct<position:bigint,slice_type:string,slice_start:bigint,slice_end:bigint>"
-    none = F.array().cast(f"array<{kind}>")
+
+    def count(s: int) -> Column:
+        spare = n - s
+        starts = F.floor(spare / w.step(s)) + 1 + F.when(spare % w.step(s) != 0, 1).otherwise(0)
+        return F.when(sliding & (spare > 0), starts).otherwise(zero)
+
+    # Columns _n<size> hold the windows per size, _windows those of this block.
+    out = df.withColumns({f"_n{s}": count(s) for s in w.usable})
+    total = sum((F.col(f"_n{s}") for s in w.usable), zero)
+    none = F.array().cast(f"array<{_RAW}>")
 
     def of_size(s: int, offset: Column) -> list[Column]:
-        step, count = w.step(s), counts[s]
+        step, windows = w.step(s), F.col(f"_n{s}")
         first = F.ceil(F.greatest(lo + 1 - s, zero) / step)
         last = F.floor(F.least(hi - s, n - s) / step)
 
@@ -84,53 +88,60 @@ def segments_of_block(n: Column, block: Column, w: Windows) -> Column:
             )
 
         regular = F.when(
-            (count > 0) & (first <= last),
+            (windows > 0) & (first <= last),
             F.transform(F.sequence(first, last), lambda j: at(offset + j, j * step)),
         ).otherwise(none)
         final = F.when(
-            (count > 0) & ((n - s) % step != 0) & (hi == n),
-            F.array(at(offset + count - 1, n - s)),
+            (windows > 0) & ((n - s) % step != 0) & (hi == n),
+            F.array(at(offset + windows - 1, n - s)),
         ).otherwise(none)
         return [regular, final]
 
     parts, before = [none], zero
     for s in w.usable:
         parts += of_size(s, before)
-        before = before + counts[s]
-    windows = F.concat(*parts)
-
-    full = (~sliding) | (n <= w.full_with_windows_max) | (total == 0)
-    shift = F.when(full, 1).otherwise(0)
+        before = before + F.col(f"_n{s}")
+    full = (~sliding) | (n <= w.full_with_windows_max) | (F.col("_total") == 0)
+    out = (
+        out.withColumns({"_total": total, "_windows": F.concat(*parts)})
+        .withColumns({"_full": full, "_kept": _kept_positions(F.col("_total"), w.max_windows)})
+    )
+    windows, kept = F.col("_windows"), F.col("_kept")
+    shift = F.when(F.col("_full"), 1).otherwise(0)
     if w.max_windows >= 0:
-        m = w.max_windows
-        kept = F.when(total <= m, F.sequence(zero, F.greatest(total - 1, zero)))
-        if m == 0:
-            even = F.array().cast("array<bigint>")
-        elif m == 1:
-            even = F.array(zero)
-        else:
-            even = F.transform(
-                F.sequence(F.lit(0), F.lit(m - 1)),
-                lambda i: F.when(i == m - 1, total - 1).otherwise(
-                    F.floor(i * ((total - 1) / (m - 1)))
-                ),
-            )
-        kept = F.coalesce(kept, even)
-        windows = F.filter(windows, lambda x: F.array_contains(kept, x["position"]))
-        slice_id = lambda x: F.array_position(kept, x["position"]) - 1 + shift
-    else:
-        slice_id = lambda x: x["position"] + shift
+        windows = F.filter(windows, lambda x: kept.isNull() | F.array_contains(kept, x["position"]))
 
-    def segment(i: Column, t: Column, a: Column, b: Column) -> Column:
+    def segment(x: Column) -> Column:
+        place = F.when(kept.isNull(), x["position"]).otherwise(
+            F.array_position(kept, x["position"]) - 1)
         return record(
-            slice_id=i.cast("int"), slice_type=t, slice_start=a.cast("int"), slice_end=b.cast("int")
+            slice_id=(place + shift).cast("int"), slice_type=x["slice_type"],
+            slice_start=x["slice_start"].cast("int"), slice_end=x["slice_end"].cast("int"),
         )
 
-    whole = F.when(full & (block == 0), F.array(segment(F.lit(0), F.lit("full"), zero, n)))
-    sliced = F.transform(
-        windows, lambda x: segment(slice_id(x), x["slice_type"], x["slice_start"], x["slice_end"])
+    whole = F.when(F.col("_full") & (block == 0), F.array(record(
+        slice_id=F.lit(0), slice_type=F.lit("full"), slice_start=F.lit(0), slice_end=n.cast("int"),
+    ))).otherwise(F.array().cast(
+        "array<struct<slice_id:int,slice_type:string,slice_start:int,slice_end:int>>"))
+    return out.withColumn("segments", F.concat(whole, F.transform(windows, segment))).drop(
+        "_total", "_windows", "_full", "_kept", *[f"_n{s}" for s in w.usable]
     )
-    return F.concat(F.coalesce(whole, F.slice(sliced, 1, 0)), sliced)
+
+
+def _kept_positions(total: Column, m: int) -> Column:
+    """Evenly spread positions when there are more than m windows; null keeps all."""
+    if m < 0:
+        return F.lit(None).cast("array<bigint>")
+    if m == 0:
+        even = F.array().cast("array<bigint>")
+    elif m == 1:
+        even = F.array(F.lit(0).cast("long"))
+    else:
+        even = F.transform(
+            F.sequence(F.lit(0), F.lit(m - 1)),
+            lambda i: F.when(i == m - 1, total - 1).otherwise(F.floor(i * ((total - 1) / (m - 1)))),
+        )
+    return F.when(total > m, even)
 
 
 def segment_cases(
@@ -144,10 +155,9 @@ def segment_cases(
     own = F.floor(F.col("seq") / size) if size else F.lit(0).cast("long")
     first = (F.col("seq") % size == 0) if size else (F.col("seq") == 0)
     blocks = ordered.where(first).select(*CASE, "trace_len", own.alias("block"))
-    return blocks.select(
-        *CASE, "trace_len",
-        F.inline(segments_of_block(F.col("trace_len"), F.col("block"), w)),
-    ).withColumn("n_events", F.col("slice_end") - F.col("slice_start"))
+    return with_segments(blocks, w).select(*CASE, "trace_len", F.inline("segments")).withColumn(
+        "n_events", F.col("slice_end") - F.col("slice_start")
+    )
 
 
 def segment_stories(
@@ -166,29 +176,24 @@ def segment_stories(
     ordered_columns = {"case_order": F.min("in_order")}
     fields = case_field_columns(events, narratives)
     ordered = order_events(events, hot, {**ordered_columns, **fields})
-    said = event_sentences(ordered, narratives, quote)
     blocks = case_blocks(
-        ordered,
-        {**said, "name": variant_name()},
+        with_event_sentences(ordered, narratives, quote),
+        {**{c: F.col(c) for c in SENTENCES}, "name": variant_name()},
         halo=w.halo, case_columns=["case_order", *fields], block=w.block,
     )
     case_text = case_sentence(events, narratives, intro)
 
     def tell(s: Column) -> Column:
-        part = between(s["slice_start"], s["slice_end"])
-        return record(
+        return let(between(s["slice_start"], s["slice_end"]), lambda part: record(
             slice_id=s["slice_id"], slice_type=s["slice_type"],
             slice_start=s["slice_start"], slice_end=s["slice_end"],
             n_events=s["slice_end"] - s["slice_start"],
             variant_key=F.array_join(F.transform(part, lambda e: e["name"]), " || "),
             text=story_text(part, F.col("case_text")),
-        )
+        ))
 
-    told = blocks.withColumn("case_text", case_text).select(
-        *CASE, "case_order",
-        F.inline(F.transform(
-            segments_of_block(F.col("trace_len"), F.col("block"), w), tell
-        )),
+    told = with_segments(blocks.withColumn("case_text", case_text), w).select(
+        *CASE, "case_order", F.inline(F.transform("segments", tell))
     )
     return told.where("text <> ''")
 

@@ -174,6 +174,8 @@ def evaluate(
     inventory = activity_inventory(events)
     test = cases.where(F.col("split") == "test")
     prompts = evaluation_prompts(events, test, inventory, narratives, rules, s, hot)
+    # Predictor and scoring both read the prompts: told once.
+    prompts = checkpoint(prompts)
     predictions = checkpoint(score(prompts, predictor(prompts), inventory))
     summary = split_summary(cases, inventory, dict(rules), s.min_prefix_len, {
         "include_system_prompt": s.system_prompt, "include_dataset_intro": s.intro,

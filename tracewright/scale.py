@@ -11,6 +11,7 @@ from pyspark.sql.window import Window as W
 
 # A side is broadcast only when measured to be at most this large.
 BROADCAST_ROWS = 50_000
+LOCAL_ROWS = 1_000
 BROADCAST_BYTES = 64 << 20  # for rows that hold lists
 # Below this limit Spark's window group limit prunes before the shuffle.
 GROUP_LIMIT = 1_000
@@ -36,8 +37,8 @@ def broadcast_if_small(
     """Ship an aggregated side as a broadcast when it is measured to be small.
 
     At most ``max_rows + 1`` rows are looked at. With ``max_bytes`` the size is
-    measured first, for rows of unbounded width. A small side is held as local
-    rows, so it is computed once. A larger one is returned unhinted: Spark
+    measured first, for rows of unbounded width. A very small side is held as
+    local rows, so it is computed once. A large one is returned unhinted: Spark
     shuffles the join and AQE splits its hot keys.
     """
     if max_bytes is not None:
@@ -45,10 +46,10 @@ def broadcast_if_small(
         size = df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
         if size > max_bytes:
             return df
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    rows = df.limit(LOCAL_ROWS + 1).collect()
+    if len(rows) <= LOCAL_ROWS:
+        return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
 def top_per_group(

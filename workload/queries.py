@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.functions import prompts as P
-from tracewright.functions.answers import answer_spans, clean_answer, parse_days, prepare_candidates
-from tracewright.functions.narrative import case_field_columns, event_sentences
-from tracewright.functions.text import hash_order, json_list, label_word, value_text
+from tracewright.functions.answers import clean_answer, parse_days, prepare_candidates
+from tracewright.functions.narrative import with_event_sentences
+from tracewright.functions.text import hash_order, json_list, value_text
 from tracewright.operators import canonicalize as CN
 from tracewright.operators import corpus as CP
 from tracewright.operators import metrics as M
@@ -19,16 +19,15 @@ from tracewright.operators import prefixes as PX
 from tracewright.operators import sampling as S
 from tracewright.operators.cases import case_table, variant_texts
 from tracewright.operators.instructions import (
-    eval_prompts, instruction_rows, sample_counts, sample_meta, shared_universe,
-)
-from tracewright.operators.ordering import (
-    add_remaining_time, find_hot_cases, order_events, with_case_columns,
+    evaluation_tasks, sample_counts, sample_meta, shared_universe,
 )
+from tracewright.operators.ordering import add_remaining_time, order_events
 from tracewright.operators.scoring import majority_baseline, repeat_last_activity, score
 from tracewright.operators.segments import Windows, segment_cases, segment_stories
 from tracewright.plans.flows import (
     EvaluationSettings, InstructionSettings, evaluation_prompts, instruction_data, story_corpus,
 )
+from tracewright.scale import checkpoint
 from tracewright.schema import (
     CASE, dataset_from_path, first_dataset_in_path, normalize_dataset_name,
 )
@@ -366,9 +365,8 @@ def case_attributes(spark, sf):
 
 @register(f"SELECT case_id, seq, head, mid FROM ({Q.told('L')})")
 def event_sentences_told(spark, sf):
-    ordered = order_events(item_log(spark, sf))
-    said = event_sentences(ordered, NARRATIVES)
-    return ordered.select("case_id", "seq", *[c.alias(n) for n, c in said.items()])
+    told = with_event_sentences(order_events(item_log(spark, sf)), NARRATIVES)
+    return told.select("case_id", "seq", "head", "mid")
 
 
 WHOLE = Windows(full_max=1_000_000)
@@ -638,7 +636,7 @@ def _instruction_ctes() -> dict[str, str]:
     }
     plan = {("plan_all" if k == "plan" else k): v for k, v in Q.plan("split_cases").items()}
     return {
-        **Q.cases("L"), "capped": CAP_SQL.replace("<= 1500", "<= 3000"),
+        **Q.cases("L"), "capped": f"SELECT * EXCLUDE (round_no, group_rows, place) FROM ({CAP_SQL.replace('<= 1500', '<= 3000')})",
         **Q.split("capped", "variant_id", 0.02, 5, "validation", "case-split"),
         **plan,
         "plan": f"SELECT * FROM ({capped['train']}) UNION ALL SELECT * FROM ({capped['validation']})",
@@ -740,12 +738,16 @@ def candidate_universe(spark, sf):
 
 def baseline_predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Repeat the last activity; mean days and majority outcome of the train cases."""
-    prompts, inventory, _ = item_prompts(spark, sf)
-    train, _, _ = item_prompts(spark, sf, which="train")
-    repeat = repeat_last_activity(prompts, prompts.select(
-        "dataset", "case_id", "prefix_len", "last_activity").distinct())
-    rest = majority_baseline(prompts.where(F.col("task") != P.NEXT), train)
-    return score(prompts, repeat.unionByName(rest), inventory)
+    log = labelled_items(spark, sf)
+    cases = S.split_label_stratified(case_table(order_events(log)), 0.2, SEED)
+    inventory = CN.activity_inventory(log)
+    rows = PX.all_examples(
+        log, cases.withColumnRenamed("label", "final_outcome"), NARRATIVES, story=False)
+    rows = checkpoint(evaluation_tasks(PX.add_candidates(rows, inventory, shuffle=False)))
+    test = rows.where("split = 'test'")
+    guesses = repeat_last_activity(test).unionByName(
+        majority_baseline(test.where(F.col("task") != P.NEXT), rows.where("split = 'train'")))
+    return checkpoint(score(test, guesses, inventory))
 
 
 PREDICTED = {
