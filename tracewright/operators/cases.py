@@ -41,12 +41,13 @@ def case_table(ordered: DataFrame, min_events: int = 3, label: str | None = "lab
         F.min("in_order").alias("case_order"),
     ]
     if label:
-        word = label_word(F.col(label))
-        aggs += [F.min(word).alias("label"), F.max(word).alias("_other")]
+        good = label_word(F.col(label)) == "success"
+        aggs += [F.min(good).alias("_low"), F.max(good).alias("_high")]
     cases = ordered.groupBy(*CASE).agg(*aggs).where(F.col("trace_len") >= min_events)
     if not label:
         return cases
-    return cases.where("label = _other").drop("_other")
+    word = F.when(F.col("_low"), "success").otherwise("failure")
+    return cases.where("_low = _high").withColumn("label", word).drop("_low", "_high")
 
 
 def variant_texts(ordered: DataFrame, lower: bool = False) -> DataFrame:

@@ -68,11 +68,6 @@ def event_order() -> list[Column]:
     return [F.col("ts").asc_nulls_last(), F.col("in_order").asc()]
 
 
-def order_key() -> Column:
-    """The event order as one comparable value, for min_by / max_by."""
-    return F.struct(F.col("ts").isNull(), F.col("ts"), F.col("in_order"))
-
-
 def with_case_columns(
     df: DataFrame, columns: Mapping[str, Column], hot: HotCases | None = None
 ) -> DataFrame:

@@ -8,25 +8,17 @@ is reduced before the shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.functions.text import label_word, norm_text, quoted, read_flag
-from tracewright.operators.ordering import days_between, order_key
+from tracewright.operators.ordering import days_between
 from tracewright.schema import CASE
 
-# Aggregates available to every verdict.
-SHARED = {
-    "last": lambda: F.max_by("_act", order_key()),  # null times last, ties by input order
-    "n_timed": lambda: F.count("ts"),
-    "ts_min": lambda: F.min("ts"),
-    "ts_max": lambda: F.max("ts"),
-}
-
-
 def _names(acts: Sequence[str]) -> list[str]:
     return sorted({" ".join(a.split()).lower() for a in acts})
 
@@ -55,7 +47,7 @@ class Rule:
     text: str
 
     def slots(self, df: DataFrame) -> dict[str, Column]:
-        """Inputs per slot: any_* boolean or, max_* largest, first_* first non-null in input order."""
+        """Inputs of the slots the verdict uses; the slot says how they are aggregated."""
         return {}
 
     def verdict(self) -> Column:
@@ -70,8 +62,11 @@ class Rule:
 class EndsWith(Rule):
     acts: Sequence[str] = ()
 
+    def slots(self, df):
+        return {"last_good": _in(self.acts)}
+
     def verdict(self):
-        return F.col("last").isin(_names(self.acts))
+        return _true("last_good")
 
 
 @dataclass(frozen=True)
@@ -121,11 +116,12 @@ class ClosedNotReopened(Rule):
         closed = _in(self.any_of)
         if self.flag in df.columns:
             closed = closed | F.coalesce(_flag(df, self.flag), F.lit(False))
-        return {"any_good": closed, "any_bad": _in(self.reopened)}
+        return {
+            "any_good": closed, "any_bad": _in(self.reopened), "last_good": _in(self.last_in),
+        }
 
     def verdict(self):
-        done = _true("any_good") | F.col("last").isin(_names(self.last_in))
-        return done & ~_true("any_bad")
+        return (_true("any_good") | _true("last_good")) & ~_true("any_bad")
 
 
 @dataclass(frozen=True)
@@ -183,13 +179,14 @@ class FlagOrDuration(Rule):
     days: float = 5.0
 
     def slots(self, df):
-        out = {"any_good": _in(self.completed)}
+        ts = F.col("ts")
+        out = {"any_good": _in(self.completed), "earliest": ts, "latest": ts, "n_timed": ts}
         if self.flag in df.columns:
             out["first_flag"] = _flag(df, self.flag)
         return out
 
     def verdict(self):
-        in_time = days_between(F.col("ts_max"), F.col("ts_min")) <= self.days
+        in_time = days_between(F.col("latest"), F.col("earliest")) <= self.days
         done = _true("any_good") & ((F.col("n_timed") < 2) | in_time)
         return F.coalesce(F.col("first_flag"), done)
 
@@ -225,10 +222,30 @@ class Lookup(Rule):
         return F.col("other")
 
 
-_SLOT_TYPES = {
-    "any_good": "boolean", "any_bad": "boolean", "max_amount": "double", "max_paid": "double",
-    "first_flag": "boolean", "gap": "double", "other": "boolean",
+def _event_number() -> Column:
+    """The event order as one number: by time, null times last, ties by input order.
+
+    A number keeps max_by in a hash aggregate; a struct would force a sort.
+    """
+    late = 3 * 10**17  # microseconds, after the last timestamp Spark can hold
+    micros = F.coalesce(F.unix_micros("ts"), F.lit(late)).cast("decimal(19,0)")
+    place = F.col("in_order").cast("decimal(19,0)")
+    return (micros * F.lit(Decimal(2 * 10**19)) + place).cast("decimal(38,0)")
+
+
+# Slot -> type of its input and result, and how a case aggregates it.
+_SLOTS: dict[str, tuple[str, Callable[[Column], Column]]] = {
+    "any_good": ("boolean", F.max),
+    "any_bad": ("boolean", F.max),
+    "last_good": ("boolean", lambda x: F.max_by(x, "_place")),
+    "first_flag": ("boolean", lambda x: F.min_by(x, F.when(x.isNotNull(), F.col("in_order")))),
+    "max_amount": ("double", F.max),
+    "max_paid": ("double", F.max),
+    "earliest": ("timestamp", F.min),
+    "latest": ("timestamp", F.max),
+    "n_timed": ("timestamp", F.count),
 }
+_EXTRA = {"gap": "double", "other": "boolean"}
 
 
 def case_outcomes(events: DataFrame, rules: Mapping[str, Rule]) -> DataFrame:
@@ -250,17 +267,16 @@ def case_outcomes(events: DataFrame, rules: Mapping[str, Rule]) -> DataFrame:
         extra = rule.extra(acts.where(mine))
         if extra is not None:
             extras = extra if extras is None else extras.unionByName(extra, allowMissingColumns=True)
-    aggs = {name: make() for name, make in SHARED.items()}
-    for slot, col in inputs.items():
-        typed = col.cast(_SLOT_TYPES[slot])
-        aggs[slot] = (
-            F.min_by(typed, F.when(typed.isNotNull(), F.col("in_order")))
-            if slot.startswith("first_") else F.max(typed)
-        )
-    out = acts.groupBy(*CASE).agg(*[a.alias(n) for n, a in aggs.items()])
+    if "last_good" in inputs:
+        acts = acts.withColumn("_place", _event_number())
+    inputs = inputs or {"any_good": F.lit(None)}
+    out = acts.groupBy(*CASE).agg(*[
+        _SLOTS[slot][1](col.cast(_SLOTS[slot][0])).alias(slot) for slot, col in inputs.items()
+    ])
     if extras is not None:
         out = out.join(extras, CASE, "left")
-    absent = {s: F.lit(None).cast(t) for s, t in _SLOT_TYPES.items() if s not in out.columns}
+    types = {**{slot: t for slot, (t, _) in _SLOTS.items()}, **_EXTRA}
+    absent = {s: F.lit(None).cast(t) for s, t in types.items() if s not in out.columns}
     return out.withColumns(absent).select(*CASE, verdict.cast("int").alias("value"))
 
 
@@ -325,11 +341,11 @@ def rule_texts(rules: Mapping[str, Rule], positive: str, negative: str) -> dict[
 
 def check_labels(events: DataFrame, label: str = "label") -> DataFrame:
     """Cases without a label, with several, or with an unknown spelling."""
-    word = label_word(F.col(label))
-    unknown = F.count_if(F.col(label).isNotNull() & word.isNull())
+    good = label_word(F.col(label)) == "success"
+    unknown = F.count_if(F.col(label).isNotNull() & good.isNull())
     return (
         events.groupBy(*CASE)
-        .agg(F.min(word).alias("low"), F.max(word).alias("high"), unknown.alias("n_unknown"))
+        .agg(F.min(good).alias("low"), F.max(good).alias("high"), unknown.alias("n_unknown"))
         .select(*CASE, F.when(F.col("n_unknown") > 0, "unknown label")
                 .when(F.col("low").isNull(), "no label")
                 .when(F.col("low") != F.col("high"), "several labels").alias("problem"))

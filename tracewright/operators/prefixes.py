@@ -194,17 +194,20 @@ def planned_examples(
 
 
 def all_examples(
-    events: DataFrame, cases: DataFrame, narratives: Mapping[str, Narrative],
+    events: DataFrame, cases: DataFrame | None, narratives: Mapping[str, Narrative],
     min_len: int = 2, max_events: int = 40, intro: bool = True, quote: bool = True,
     hot: HotCases | None = None, remaining: str | None = None, story: bool = True,
 ) -> DataFrame:
-    """Every prefix from ``min_len`` to all but the last event, of the given cases.
+    """Every prefix from ``min_len`` to all but the last event, of the given cases or all.
 
     Prefixes are cut from each block in place; nothing is shuffled per prefix.
     ``story=False`` leaves the text out.
     """
-    chosen = broadcast_if_small(cases.drop("trace_len"))
-    told = events.join(chosen.select(*CASE), CASE, "left_semi")
+    told, kept = events, []
+    if cases is not None:
+        kept = [c for c in cases.columns if c not in (*CASE, "trace_len")]
+        chosen = broadcast_if_small(cases.drop("trace_len"))
+        told = events.join(chosen.select(*CASE), CASE, "left_semi")
     blocks = prefix_blocks(
         told, narratives if story else {}, max_events, quote, hot, remaining, story=story
     )
@@ -215,14 +218,13 @@ def all_examples(
         first = F.greatest(first, F.col("block") * size)
         last = F.least(last, F.col("block") * size + size - 1)
     text = (lambda n: case_sentence(events, narratives, intro, n)) if story else None
-    kept = [c for c in cases.columns if c not in (*CASE, "trace_len")]
     examples = F.when(
         first <= last,
         F.transform(F.sequence(first, last), lambda k: record(**prefix_fields(k, max_events, text))),
     )
-    return blocks.join(chosen, CASE).select(
-        *CASE, *kept, F.inline(examples)
-    )
+    if cases is not None:
+        blocks = blocks.join(chosen, CASE)
+    return blocks.select(*CASE, *kept, F.inline(examples))
 
 
 def add_candidates(

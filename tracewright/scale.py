@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -18,17 +19,26 @@ GROUP_LIMIT = 1_000
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in spark.checkpoint.dir."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    """Cut the lineage: write the rows as a table in the checkpoint folder and read it.
+
+    Unlike ``DataFrame.checkpoint`` the copy is columnar, so readers prune
+    columns and the optimizer knows its size. It survives lost executors.
+    """
+    path = f"{_checkpoint_folder(df)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _checkpoint_folder(df: DataFrame) -> str:
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not sc.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="tracewright-")
         sc.setCheckpointDir(folder)
-    return df.checkpoint()
+    return sc.getCheckpointDir()
 
 
 def broadcast_if_small(

@@ -119,6 +119,8 @@ def event_log(
     ts = ts or look(df.columns, TIMESTAMP_NAMES)
     if case is None or activity is None:
         raise KeyError(f"no case id or activity column among {df.columns}")
+    ids = F.col(quoted(case))
+    text_ids = isinstance(df.schema[case].dataType, T.StringType)
     taken = {"dataset", "case_id", "activity", "ts", "in_order"}
     rest = [
         _nan_to_null(f) for f in df.schema.fields
@@ -126,7 +128,7 @@ def event_log(
     ]
     return df.select(
         (F.lit(dataset) if isinstance(dataset, str) else dataset).alias("dataset"),
-        strip(F.col(quoted(case)).cast("string")).alias("case_id"),
+        (strip(ids) if text_ids else ids.cast("string")).alias("case_id"),
         F.col(quoted(activity)).cast("string").alias("activity"),
         (parse_timestamp(df, ts, ts_formats) if ts else F.lit(None).cast("timestamp")).alias("ts"),
         (F.col(quoted(order)).cast("long") if order else F.monotonically_increasing_id()).alias(

@@ -21,7 +21,7 @@ from tracewright.operators.cases import case_table, variant_texts
 from tracewright.operators.instructions import (
     evaluation_tasks, sample_counts, sample_meta, shared_universe,
 )
-from tracewright.operators.ordering import add_remaining_time, order_events
+from tracewright.operators.ordering import add_remaining_time, find_hot_cases, order_events
 from tracewright.operators.scoring import majority_baseline, repeat_last_activity, score
 from tracewright.operators.segments import Windows, segment_cases, segment_stories
 from tracewright.plans.flows import (
@@ -510,13 +510,19 @@ def labelled_items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def item_cases(spark: SparkSession, sf: str) -> DataFrame:
-    return case_table(order_events(labelled_items(spark, sf)))
+    """Labelled cases of L, narrow rows that are frozen because several steps read them."""
+    return checkpoint(case_table(order_events(labelled_items(spark, sf), items_hot(spark, sf))))
+
+
+def items_hot(spark: SparkSession, sf: str):
+    return find_hot_cases(item_log(spark, sf))
 
 
 @register(Q.query(
     "SELECT case_id, trace_len, variant_id, label FROM cases", **Q.cases("L")))
 def case_records(spark, sf):
-    return item_cases(spark, sf).select("case_id", "trace_len", "variant_id", "label")
+    cases = case_table(order_events(labelled_items(spark, sf), items_hot(spark, sf)))
+    return cases.select("case_id", "trace_len", "variant_id", "label")
 
 
 CAP_SQL = Q.balanced("cases", "variant_id", Q.h("case", "dataset", "case_id") + ", case_id",
@@ -542,8 +548,8 @@ O_LABEL = ("CASE WHEN bool_or(activity = '1-URGENT') AND NOT bool_or(activity =
                   **Q.split("cases", "label", 0.2, 2, "test", "label-split")))
 def split_label(spark, sf):
     log = OUT.label_outcomes(order_log(spark, sf), {"orders": view_rules()["orders"]})
-    return S.split_label_stratified(case_table(order_events(log)), 0.2, SEED).select(
-        "case_id", "label", "split")
+    cases = checkpoint(case_table(order_events(log, find_hot_cases(order_log(spark, sf)))))
+    return S.split_label_stratified(cases, 0.2, SEED).select("case_id", "label", "split")
 
 
 @register(Q.query(
@@ -559,7 +565,7 @@ def split_events(spark, sf):
 # ---- prefixes --------------------------------------------------------------
 
 def order_cases(spark: SparkSession, sf: str) -> DataFrame:
-    return case_table(order_events(order_log(spark, sf)), label=None)
+    return checkpoint(case_table(order_events(order_log(spark, sf)), label=None))
 
 
 @register(Q.query("SELECT case_id, prefix_len FROM plan", **Q.cases("O"), **Q.plan("cases")))
@@ -589,21 +595,23 @@ def prefix_counts(spark, sf):
 
 EX = ("case_id, prefix_len, trace_len, prefix_ratio, story_segment_start, story_n_events, "
       "input_story, next_activity, remaining_time_days")
+
+
+def every_example(log: DataFrame) -> DataFrame:
+    return PX.all_examples(log, None, NARRATIVES)
+
+
 EVERY = {"plan": "SELECT dataset, case_id, unnest(range(2, trace_len)) AS prefix_len FROM cases"}
 
 
 @register(Q.query(f"SELECT {EX} FROM ex", **Q.cases("L"), **EVERY, **Q.examples("L")))
 def prefix_examples(spark, sf):
-    log = item_log(spark, sf)
-    cases = case_table(order_events(log), label=None)
-    return PX.all_examples(log, cases.select(*CASE), NARRATIVES).select(*EX.split(", "))
+    return every_example(item_log(spark, sf)).select(*EX.split(", "))
 
 
 @register(Q.query(f"SELECT {EX} FROM ex", **Q.cases("E", "'success'"), **EVERY, **Q.examples("E")))
 def prefix_examples_long(spark, sf):
-    log = user_log(spark, sf)
-    cases = case_table(order_events(log), label=None)
-    return PX.all_examples(log, cases.select(*CASE), NARRATIVES).select(*EX.split(", "))
+    return every_example(user_log(spark, sf)).select(*EX.split(", "))
 
 
 @register(Q.query(
@@ -706,14 +714,12 @@ PROMPT_ROWS = {
 }
 
 
-def item_prompts(spark: SparkSession, sf: str, block: bool = False, which: str = "test") -> tuple:
-    log = labelled_items(spark, sf)
-    cases = S.split_label_stratified(case_table(order_events(log)), 0.2, SEED)
-    inventory = CN.activity_inventory(log)
-    prompts = evaluation_prompts(
-        log, cases.where(F.col("split") == which), inventory, NARRATIVES, RULE_TEXTS,
-        EvaluationSettings(candidate_block=block, seed=SEED))
-    return prompts, inventory, cases
+def item_prompts(spark: SparkSession, sf: str, block: bool = False) -> DataFrame:
+    cases = checkpoint(S.split_label_stratified(item_cases(spark, sf), 0.2, SEED))
+    log = item_log(spark, sf)
+    return evaluation_prompts(
+        log, cases.where(F.col("split") == "test"), CN.activity_inventory(log), NARRATIVES,
+        RULE_TEXTS, EvaluationSettings(candidate_block=block, seed=SEED), items_hot(spark, sf))
 
 
 @register(Q.query(
@@ -723,7 +729,7 @@ def item_prompts(spark: SparkSession, sf: str, block: bool = False, which: str =
  FROM (SELECT *, response AS gold, {prompt_sql("''")} AS p FROM tasks)""",
     **TEST_ONLY, **Q.examples("L"), **PROMPT_ROWS))
 def eval_prompt_texts(spark, sf):
-    prompts, _, _ = item_prompts(spark, sf, block=True)
+    prompts = item_prompts(spark, sf, block=True)
     return prompts.select("task", "case_id", "prefix_len", "gold", "prompt")
 
 
@@ -731,18 +737,17 @@ def eval_prompt_texts(spark, sf):
     """SELECT task, array_to_string(any_value(CASE WHEN candidates IS NULL THEN NULL ELSE list_sort(candidates) END), ', ') AS universe
  FROM tasks GROUP BY 1""", **TEST_ONLY, **Q.examples("L"), **PROMPT_ROWS))
 def candidate_universe(spark, sf):
-    prompts, _, _ = item_prompts(spark, sf)
-    return shared_universe(prompts, ["dataset", "task"]).select(
+    return shared_universe(item_prompts(spark, sf), ["dataset", "task"]).select(
         "task", F.array_join("universe", ", ").alias("universe"))
 
 
 def baseline_predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Repeat the last activity; mean days and majority outcome of the train cases."""
-    log = labelled_items(spark, sf)
-    cases = S.split_label_stratified(case_table(order_events(log)), 0.2, SEED)
+    log, hot = item_log(spark, sf), items_hot(spark, sf)
+    cases = checkpoint(S.split_label_stratified(item_cases(spark, sf), 0.2, SEED))
     inventory = CN.activity_inventory(log)
     rows = PX.all_examples(
-        log, cases.withColumnRenamed("label", "final_outcome"), NARRATIVES, story=False)
+        log, cases.withColumnRenamed("label", "final_outcome"), NARRATIVES, story=False, hot=hot)
     rows = checkpoint(evaluation_tasks(PX.add_candidates(rows, inventory, shuffle=False)))
     test = rows.where("split = 'test'")
     guesses = repeat_last_activity(test).unionByName(
@@ -877,9 +882,8 @@ SUMMARY_SQL = """SELECT dataset, count_if(split = 'train') AS baseline_train_cas
     f"""SELECT s.*, (SELECT count(DISTINCT activity) FROM ev) AS n_activities, '{ITEM_RULE}' AS success_rule FROM ({SUMMARY_SQL}) s""",
     **TEST_CTES))
 def split_summary(spark, sf):
-    log = labelled_items(spark, sf)
-    cases = S.split_label_stratified(case_table(order_events(log)), 0.2, SEED)
-    return M.split_summary(cases, CN.activity_inventory(log), RULE_TEXTS).withColumn(
+    cases = S.split_label_stratified(item_cases(spark, sf), 0.2, SEED)
+    return M.split_summary(cases, CN.activity_inventory(item_log(spark, sf)), RULE_TEXTS).withColumn(
         "n_activities", F.col("n_activities").cast("long"))
 
 
@@ -890,9 +894,8 @@ def split_summary(spark, sf):
  CAST(sum(n_samples) AS BIGINT) AS n_samples, avg(invalid_rate) AS invalid_rate, avg(accuracy) AS accuracy, avg(macro_precision) AS macro_precision,
  avg(macro_f1) AS macro_f1, avg(mae) AS mae, avg(rmse) AS rmse FROM mets JOIN ({SUMMARY_SQL}) s USING (dataset) GROUP BY task"""))
 def dataset_macro_metrics(spark, sf):
-    log = labelled_items(spark, sf)
-    cases = S.split_label_stratified(case_table(order_events(log)), 0.2, SEED)
-    summary = M.split_summary(cases, CN.activity_inventory(log), RULE_TEXTS)
+    cases = S.split_label_stratified(item_cases(spark, sf), 0.2, SEED)
+    summary = M.split_summary(cases, CN.activity_inventory(item_log(spark, sf)), RULE_TEXTS)
     per_dataset = rounded(M.dataset_metrics(baseline_predictions(spark, sf), summary), *NUMBERS)
     return M.dataset_macro(per_dataset)
 
