@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.structs import record
 from tracewright.functions.text import (
-    compact_text, end_sentence, floor_days, join_phrases, quoted, value_text,
+    compact_text, end_compact, end_sentence, floor_days, join_phrases, quoted, value_text,
 )
 
 
@@ -104,9 +104,9 @@ def with_event_sentences(
         df.withColumns({"_extras": extras, "_days": floor_days(F.col("interval_time"))})
         .withColumn("_tail", tail)
         .withColumns({
-            "head": end_sentence(F.concat(opening, F.col("_tail"))),
-            "mid": end_sentence(F.concat(later, F.col("_tail"))),
+            "head": F.concat(opening, F.col("_tail")), "mid": F.concat(later, F.col("_tail")),
         })
+        .withColumns({c: end_compact(F.col(c)) for c in SENTENCES})
         .drop("_extras", "_days", "_tail")
     )
 
@@ -118,7 +118,7 @@ def _extras(df: DataFrame, fields: Sequence[Field]) -> Column:
     ]
     if not phrases:
         return F.lit("")
-    return join_phrases(F.filter(F.array(*phrases), lambda p: p.isNotNull()))
+    return join_phrases(phrases)
 
 
 # ---- case sentence ---------------------------------------------------------
@@ -163,7 +163,7 @@ def case_sentence(
         ]
         if not phrases:
             return lead
-        told = join_phrases(F.filter(F.array(*phrases), lambda p: p.isNotNull()))
+        told = join_phrases(phrases)
         sentence = F.when(told != "", end_sentence(F.concat(F.lit("At the case level, "), told)))
         return F.concat_ws(" ", F.when(lead != "", lead), sentence)
 

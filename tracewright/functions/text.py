@@ -8,28 +8,36 @@ from pyspark.sql import types as T
 
 from tracewright.functions.structs import let
 
-# Blanks in the Unicode sense, with the four separator controls Java leaves out.
-BLANK = r"[\s\x1c-\x1f]"
-
-
-def replace(col: Column, pattern: str, by: str) -> Column:
-    """regexp_replace with Unicode character classes."""
-    return F.regexp_replace(col, "(?U)" + pattern, by)
+# Blanks in the Unicode sense, listed: faster than a Unicode class, and complete.
+_OTHER_BLANKS = (
+    r"\t\n\x0b\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+BLANK = f"[ {_OTHER_BLANKS}]"
+_LOOSE = rf"[{_OTHER_BLANKS}]|  |^ | $"
+_NOT_COMPACT = _LOOSE + r"| [,.;:]"
 
 
 def strip(col: Column) -> Column:
     """Cut Unicode blanks at both ends (``trim`` would cut only U+0020)."""
-    return replace(col, rf"^{BLANK}+|{BLANK}+$", "")
+    return F.regexp_replace(col, rf"^{BLANK}+|{BLANK}+$", "")
 
 
 def collapse(col: Column) -> Column:
     """Every run of blanks becomes one space; none stays at the ends."""
-    return F.trim(replace(col, BLANK + "+", " "))
+    return F.when(
+        F.rlike(col, F.lit(_LOOSE)), F.trim(F.regexp_replace(col, BLANK + "+", " "))
+    ).otherwise(col)
 
 
 def compact_text(col: Column) -> Column:
-    """``collapse``, then no space before ``, . ; :``."""
-    return F.regexp_replace(collapse(col), r" +([,.;:])", "$1")
+    """``collapse``, then no space before ``, . ; :``.
+
+    Most texts are compact already; they are only looked at.
+    """
+    compacted = F.regexp_replace(
+        F.trim(F.regexp_replace(col, BLANK + "+", " ")), r" +([,.;:])", "$1"
+    )
+    return F.when(F.rlike(col, F.lit(_NOT_COMPACT)), compacted).otherwise(col)
 
 
 def norm_text(col: Column) -> Column:
@@ -71,31 +79,30 @@ def value_text_of(col: Column, dtype: T.DataType) -> Column:
             .otherwise(F.call_function("format_number", x, F.lit("0.##")))
         )
     # Spellings of yes and no.
-    def text(s: Column) -> Column:
-        low = F.lower(s)
-        return (
-            F.when(s == "", None)
-            .when(low.isin("true", "yes"), "yes")
-            .when(low.isin("false", "no"), "no")
-            .otherwise(s)
+    text = col.cast("string")
+    return (
+        F.when(F.rlike(text, F.lit(f"^{BLANK}*$")), None)
+        .when(F.rlike(text, F.lit(f"(?i)^{BLANK}*(?:true|yes){BLANK}*$")), "yes")
+        .when(F.rlike(text, F.lit(f"(?i)^{BLANK}*(?:false|no){BLANK}*$")), "no")
+        .otherwise(strip(text))
+    )
+
+
+def join_phrases(phrases: list[Column]) -> Column:
+    """'a', 'a and b', 'a, b, and c'; blanks and nulls dropped; '' for none."""
+    kept = [F.nullif(compact_text(p), F.lit("")) for p in phrases]
+    if len(kept) < 3:
+        return F.concat_ws(" and ", *kept)
+
+    def told(text: Column) -> Column:
+        last = F.substring_index(text, "\x01", -1)
+        rest = F.substring(text, F.lit(1), F.length(text) - F.length(last) - 1)
+        several = F.concat(F.replace(rest, F.lit("\x01"), F.lit(", ")), F.lit(", and "), last)
+        return F.when(F.contains(rest, F.lit("\x01")), several).otherwise(
+            F.replace(text, F.lit("\x01"), F.lit(" and "))
         )
 
-    return let(strip(col.cast("string")), text)
-
-
-def join_phrases(phrases: Column) -> Column:
-    """'a', 'a and b', 'a, b, and c' from an array; blanks and nulls dropped."""
-    def told(items: Column) -> Column:
-        n = F.size(items)
-        return (
-            F.when(n <= 1, F.array_join(items, ""))
-            .when(n == 2, F.array_join(items, " and "))
-            .otherwise(F.concat(
-                F.array_join(F.slice(items, 1, n - 1), ", "), F.lit(", and "), F.get(items, n - 1)
-            ))
-        )
-
-    return let(F.filter(F.transform(phrases, compact_text), lambda p: p != ""), told)
+    return let(F.concat_ws("\x01", *kept), told)
 
 
 def end_sentence(col: Column) -> Column:
@@ -103,6 +110,14 @@ def end_sentence(col: Column) -> Column:
     return F.regexp_replace(compact_text(col), r"([^.!?])$", "$1.")
 
 
+def end_compact(col: Column) -> Column:
+    """``end_sentence`` of joined compact parts: only the joints can be loose."""
+    joints = [F.contains(col, F.lit(x)) for x in ("  ", " ,", " .", " ;", " :")]
+    loose = joints[0] | joints[1] | joints[2] | joints[3] | joints[4]
+    ended = F.endswith(col, F.lit(".")) | F.endswith(col, F.lit("!")) | F.endswith(col, F.lit("?"))
+    return F.when(loose, end_sentence(col)).when(ended, col).otherwise(F.concat(col, F.lit(".")))
+
+
 def floor_days(col: Column) -> Column:
     """Whole days, never negative, null -> 0."""
     return F.floor(F.greatest(F.coalesce(col.cast("double"), F.lit(0.0)), F.lit(0.0)))

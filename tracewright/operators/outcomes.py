@@ -280,6 +280,16 @@ def case_outcomes(events: DataFrame, rules: Mapping[str, Rule]) -> DataFrame:
     return out.withColumns(absent).select(*CASE, verdict.cast("int").alias("value"))
 
 
+def case_labels(
+    events: DataFrame, rules: Mapping[str, Rule], positive: str = "success",
+    negative: str = "failure", label: str = "label",
+) -> DataFrame:
+    """One row per case with its outcome word, null when the rule gives none."""
+    check_words(positive, negative)
+    word = F.when(F.col("value") == 1, positive).when(F.col("value") == 0, negative)
+    return case_outcomes(events, rules).select(*CASE, word.alias(label))
+
+
 def label_outcomes(
     events: DataFrame,
     rules: Mapping[str, Rule],
@@ -293,9 +303,7 @@ def label_outcomes(
     The labels are one row per case; AGG and join share the case key, and AQE
     splits a hot case's events in the join.
     """
-    check_words(positive, negative)
-    word = F.when(F.col("value") == 1, positive).when(F.col("value") == 0, negative)
-    labels = case_outcomes(events, rules).select(*CASE, word.alias(label))
+    labels = case_labels(events, rules, positive, negative, label)
     out = events.drop(label).join(labels, CASE, "left")
     return out.where(F.col(label).isNotNull()) if drop_unlabeled else out
 

@@ -16,7 +16,9 @@ from tracewright.operators.instructions import eval_prompts, instruction_rows
 from tracewright.operators.metrics import (
     case_macro, dataset_macro, dataset_metrics, split_summary, stage_metrics,
 )
-from tracewright.operators.ordering import add_remaining_time, find_hot_cases, order_events
+from tracewright.operators.ordering import (
+    HotCases, add_remaining_time, find_hot_cases, order_events,
+)
 from tracewright.operators.outcomes import Rule, label_outcomes
 from tracewright.operators.prefixes import (
     DEFAULT_RATIOS, add_candidates, all_examples, cap_prefixes, plan_prefixes, planned_examples,
@@ -86,15 +88,16 @@ class InstructionSettings:
 
 def instruction_data(
     events: DataFrame, narratives: Mapping[str, Narrative], rules: Mapping[str, str],
-    s: InstructionSettings = InstructionSettings(),
+    s: InstructionSettings = InstructionSettings(), labels: DataFrame | None = None,
 ) -> DataFrame:
     """Samples of three tasks for train and validation, with their metadata.
 
-    Cases are chosen, split and planned on narrow rows; only then the events of
+    The outcome of a case is the ``label`` of its events, or its row in ``labels``
+    (``dataset, case_id, label``), which spares joining it to every event. Cases are chosen, split and planned on narrow rows; only then the events of
     the chosen cases are told.
     """
     hot = find_hot_cases(events)
-    chosen = checkpoint(choose_cases(events, s, hot))
+    chosen = checkpoint(choose_cases(events, s, hot, labels))
     plan = checkpoint(plan_prefixes(chosen, s.prefixes_per_case, s.ratios, s.seed))
     plan = checkpoint(cap_prefixes(plan, s.max_prefixes, s.seed, s.validation_ratio))
     examples = planned_examples(
@@ -109,9 +112,22 @@ def instruction_data(
     return rows
 
 
-def choose_cases(events: DataFrame, s: InstructionSettings, hot=None) -> DataFrame:
+def labelled_cases(
+    events: DataFrame, labels: DataFrame | None = None, hot: HotCases | None = None
+) -> DataFrame:
+    """Narrow case rows with one outcome each, frozen because several steps read them."""
+    if labels is None:
+        return checkpoint(case_table(order_events(events, hot)))
+    cases = case_table(order_events(events, hot), label=None)
+    return checkpoint(cases.join(labels.select(*CASE, "label"), CASE).where("label is not null"))
+
+
+def choose_cases(
+    events: DataFrame, s: InstructionSettings, hot: HotCases | None = None,
+    labels: DataFrame | None = None,
+) -> DataFrame:
     """Labelled cases, capped over variants and split into train and validation."""
-    cases = checkpoint(case_table(order_events(events, hot)))
+    cases = labelled_cases(events, labels, hot)
     return split_variant_stratified(
         cap_cases(cases, s.max_cases, s.seed), s.validation_ratio, s.seed
     )
@@ -147,7 +163,7 @@ class Evaluation:
 def evaluation_prompts(
     events: DataFrame, cases: DataFrame, inventory: DataFrame,
     narratives: Mapping[str, Narrative], rules: Mapping[str, str],
-    s: EvaluationSettings = EvaluationSettings(), hot=None,
+    s: EvaluationSettings = EvaluationSettings(), hot: HotCases | None = None,
 ) -> DataFrame:
     """Prompts for every prefix of the given cases and every task; stories told once."""
     examples = all_examples(
@@ -161,16 +177,16 @@ def evaluation_prompts(
 def evaluate(
     events: DataFrame, narratives: Mapping[str, Narrative], rules: Mapping[str, str],
     predictor: Callable[[DataFrame], DataFrame], s: EvaluationSettings = EvaluationSettings(),
+    labels: DataFrame | None = None,
 ) -> Evaluation:
     """Split cases, prompt every test prefix, score the predictor and summarise.
 
     ``predictor`` turns prompts into ``dataset, task, case_id, prefix_len, raw_output``.
     """
     hot = find_hot_cases(events)
-    cases = split_label_stratified(
-        checkpoint(case_table(order_events(events, hot))), s.test_ratio, s.seed
-    )
-    cases = checkpoint(cases)
+    cases = checkpoint(split_label_stratified(
+        labelled_cases(events, labels, hot), s.test_ratio, s.seed
+    ))
     inventory = activity_inventory(events)
     test = cases.where(F.col("split") == "test")
     prompts = evaluation_prompts(events, test, inventory, narratives, rules, s, hot)
