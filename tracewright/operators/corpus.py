@@ -126,7 +126,8 @@ def mask_prompt(
     })
     n = F.size("_ids")
     kept = F.least(n, F.lit(max_length))
-    ids = F.when(kept > 0, F.slice("_ids", n - kept + 1, kept)).otherwise(F.col("_ids"))
+    ids = F.when(kept > 0, F.slice("_ids", n - kept + 1, kept)).otherwise(
+        F.slice("_ids", 1, 0))
     masked = F.greatest(F.least(F.size("_prompt_ids"), n) - (n - kept), F.lit(0))
     labels = F.concat(
         F.array_repeat(F.lit(IGNORED), masked),
