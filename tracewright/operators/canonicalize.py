@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from tracewright.functions.text import collapse, norm_key, quoted, strip
 from tracewright.scale import broadcast_if_small
-from tracewright.schema import ACTIVITY_NAMES
+from tracewright.schema import ACTIVITY_NAMES, resolve_column
 
 
 def normal_map(activity_map: DataFrame) -> DataFrame:
@@ -112,7 +112,7 @@ def rank_activity_columns(
     keys = normal_map(activity_map.where(F.col("dataset") == dataset)).select(
         "_key", F.lit(1).alias("hit")
     ).distinct()
-    liked: Column = F.col("column").isin(list(preferred))
+    liked: Column = F.lower("column").isin([p.lower() for p in preferred])
     return (
         values.join(broadcast_if_small(keys), "_key", "left")
         .groupBy("column")
@@ -138,10 +138,7 @@ def detect_activity_column(
     )
     if best is not None:
         return best["column"]
-    for name in preferred:
-        if name in df.columns:
-            return name
-    raise KeyError("no activity column found; name it")
+    return resolve_column(df.columns, preferred)
 
 
 def activity_inventory(events: DataFrame) -> DataFrame:

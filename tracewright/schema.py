@@ -116,7 +116,9 @@ def event_log(
     )
     case = case or look(df.columns, CASE_NAMES)
     activity = activity or look(df.columns, ACTIVITY_NAMES)
-    ts = ts or look(df.columns, TIMESTAMP_NAMES)
+    # A log written by this library is already canonical.
+    ts = ts or ("ts" if "ts" in df.columns else look(df.columns, TIMESTAMP_NAMES))
+    order = order or ("in_order" if "in_order" in df.columns else None)
     if case is None or activity is None:
         raise KeyError(f"no case id or activity column among {df.columns}")
     ids = F.col(quoted(case))

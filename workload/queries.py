@@ -25,7 +25,8 @@ from tracewright.operators.ordering import add_remaining_time, find_hot_cases, o
 from tracewright.operators.scoring import majority_baseline, repeat_last_activity, score
 from tracewright.operators.segments import Windows, segment_cases, segment_stories
 from tracewright.plans.flows import (
-    EvaluationSettings, InstructionSettings, evaluation_prompts, instruction_data, story_corpus,
+    EvaluationSettings, InstructionSettings, evaluation_prompts, instruction_data, labelled_cases,
+    story_corpus,
 )
 from tracewright.scale import checkpoint
 from tracewright.schema import (
@@ -454,7 +455,7 @@ def variant_top_rows(spark, sf):
     f"SELECT {SEG_KEY} FROM b", **Q.stories("L"),
     b=Q.balanced("stories", "variant_key", PREFER, Q.h("round", "dataset", "variant_key"), 5000, 64)))
 def variant_balanced_sample(spark, sf):
-    stories = segment_stories(item_log(spark, sf), NARRATIVES)
+    stories = checkpoint(segment_stories(item_log(spark, sf), NARRATIVES))
     return S.balanced_sample(
         stories, 5000, 64, "variant_key", S.segment_preference(SEED),
         hash_order(SEED, "round", F.col("dataset"), F.col("variant_key")),
@@ -511,7 +512,11 @@ def labelled_items(spark: SparkSession, sf: str) -> DataFrame:
 
 def item_cases(spark: SparkSession, sf: str) -> DataFrame:
     """Labelled cases of L, narrow rows that are frozen because several steps read them."""
-    return checkpoint(case_table(order_events(labelled_items(spark, sf), items_hot(spark, sf))))
+    return labelled_cases(item_log(spark, sf), item_labels(spark, sf), items_hot(spark, sf))
+
+
+def item_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return OUT.case_labels(item_log(spark, sf), {"lineitem": view_rules()["lineitem"]})
 
 
 def items_hot(spark: SparkSession, sf: str):
@@ -674,7 +679,8 @@ def prompt_sql(response: str, rule: str = ITEM_RULE) -> str:
 
 
 def instruction_frame(spark: SparkSession, sf: str) -> DataFrame:
-    return instruction_data(labelled_items(spark, sf), NARRATIVES, RULE_TEXTS, SETTINGS)
+    return instruction_data(
+        item_log(spark, sf), NARRATIVES, RULE_TEXTS, SETTINGS, item_labels(spark, sf))
 
 
 @register(Q.query(f"SELECT split, {prompt_sql('response')} AS text FROM tasks", **_instruction_ctes()))
