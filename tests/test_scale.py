@@ -96,9 +96,11 @@ def test_windows_of_long_cases(spark, m):
 def test_variant_id_means_same_variant(spark):
     log = item_log(spark, SF)
     ordered = order_events(log)
-    ids = case_table(ordered, 1, label=None).join(variant_texts(ordered).drop("trace_len"), ["dataset", "case_id"])
+    ids = case_table(ordered, 1, label=None).withColumnRenamed("trace_len", "ids_len").join(variant_texts(ordered).drop("trace_len"), ["dataset", "case_id"])
     n = ids.agg(F.count_distinct("variant_id"), F.count_distinct("variant"), F.count_distinct("variant_id", "variant")).first()
     assert n[0] == n[1] == n[2] > 10
+    mixed = variant_texts(ordered, longest=4).join(ids.withColumnRenamed("variant", "text"), ["dataset", "case_id"])
+    assert mixed.where(F.col("variant") != F.when(F.col("ids_len") <= 4, F.col("text")).otherwise(F.col("variant_id"))).count() == 0
 
 
 def test_rank_by_hash(spark):
@@ -124,6 +126,14 @@ def test_top_per_group(spark, k):
     assert got == want
 
 
+def test_small_ranks_are_pruned_before_the_shuffle(spark):
+    third = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).cast("string")
+    docs = spark.range(5000).select(F.col("id"), third.alias("text"), (F.col("id") % 2).alias("dataset"))
+    for df in (sampling.dedup_text(docs, [F.col("id")]), top_per_group(docs, ["dataset"], [F.col("id")], 900)):
+        plan = df._jdf.queryExecution().executedPlan().treeString()
+        assert plan.index("WindowGroupLimit") < plan.index("Exchange") < plan.rindex("WindowGroupLimit")
+
+
 def md5(text):
     return hashlib.md5(text.encode()).hexdigest()
 

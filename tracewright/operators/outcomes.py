@@ -138,13 +138,14 @@ class NoReturnWithin(Rule):
     def extra(self, events):
         timed = events.where("ts is not null").withColumn("_at", F.struct("ts", "in_order"))
         back = timed.where(_in(self.returned)).groupBy(*CASE).agg(F.min("_at").alias("_back"))
-        # Only release events reach this join; one row per returning case.
-        out = timed.where(_in(self.release)).select(*CASE, "_at")
-        latest = F.max(F.when(F.col("_at") < F.col("_back"), F.col("_at")["ts"]))
-        return (
-            back.join(out, CASE, "left").groupBy(*CASE, "_back").agg(latest.alias("_out"))
-            .select(*CASE, days_between(F.col("_back")["ts"], F.col("_out")).alias("gap"))
+        # Releases are the streamed side, so AQE can split those of a hot case; what
+        # is left of them is one time per case and task.
+        latest = (
+            timed.where(_in(self.release)).select(*CASE, "_at").join(back, CASE)
+            .where("_at < _back").groupBy(*CASE).agg(F.max(F.col("_at")["ts"]).alias("_out"))
         )
+        gap = days_between(F.col("_back")["ts"], F.col("_out"))
+        return back.join(latest, CASE, "left").select(*CASE, gap.alias("gap"))
 
     def verdict(self):
         return ~_true("any_bad") | F.coalesce(F.col("gap") > self.days, F.lit(False))
