@@ -47,8 +47,9 @@ def canonicalize(
 def unknown_activities(events: DataFrame, activity_map: DataFrame) -> DataFrame:
     """Distinct names per dataset that the map does not cover, with event counts."""
     names = (
-        events.groupBy("dataset", norm_key(F.col("activity")).alias("_key"))
-        .agg(F.count("*").alias("n_events"))
+        events.groupBy("dataset", "activity").agg(F.count("*").alias("n"))
+        .groupBy("dataset", norm_key(F.col("activity")).alias("_key"))
+        .agg(F.sum("n").alias("n_events"))
         .where("_key <> ''")
     )
     return names.join(normal_map(activity_map), ["dataset", "_key"], "left_anti").select(
@@ -79,7 +80,8 @@ def mapping_summary(events: DataFrame, activity_map: DataFrame) -> DataFrame:
     The map is joined to the distinct names only, after they are combined.
     """
     names = (
-        events.select("dataset", norm_key(F.col("activity")).alias("_key"))
+        events.select("dataset", "activity").distinct()
+        .select("dataset", norm_key(F.col("activity")).alias("_key"))
         .where("_key <> ''").distinct()
     )
     mapped = names.join(normal_map(activity_map), ["dataset", "_key"], "left").withColumn(
@@ -142,9 +144,13 @@ def detect_activity_column(
 
 
 def activity_inventory(events: DataFrame) -> DataFrame:
-    """Per dataset the sorted distinct non-blank activities, from combined names."""
+    """Per dataset the sorted distinct non-blank activities.
+
+    Names are combined before they are stripped, so text work is per name.
+    """
     return (
-        events.select("dataset", strip(F.col("activity")).alias("activity"))
+        events.select("dataset", "activity").distinct()
+        .select("dataset", strip(F.col("activity")).alias("activity"))
         .where("activity <> ''").distinct()
         .groupBy("dataset")
         .agg(F.array_sort(F.collect_list("activity")).alias("activities"))

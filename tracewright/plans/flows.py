@@ -104,7 +104,7 @@ def instruction_data(
         events, plan.withColumnRenamed("label", "final_outcome"), narratives,
         s.max_story_events, s.intro, s.quote, hot,
     )
-    examples = add_candidates(examples, activity_inventory(events), seed=s.seed)
+    examples = add_candidates(examples, checkpoint(activity_inventory(events)), seed=s.seed)
     rows = instruction_rows(examples, rules, s.system_prompt)
     if s.variant_text:
         told = order_events(events.join(chosen.select(*CASE), CASE, "left_semi"), hot)
@@ -187,7 +187,7 @@ def evaluate(
     cases = checkpoint(split_label_stratified(
         labelled_cases(events, labels, hot), s.test_ratio, s.seed
     ))
-    inventory = activity_inventory(events)
+    inventory = checkpoint(activity_inventory(events))
     test = cases.where(F.col("split") == "test")
     prompts = evaluation_prompts(events, test, inventory, narratives, rules, s, hot)
     # Predictor and scoring both read the prompts: told once.

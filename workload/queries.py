@@ -628,7 +628,7 @@ def candidate_order(spark, sf):
     log = user_log(spark, sf)
     cases = case_table(order_events(log), label=None)
     rows = PX.plan_prefixes(cases, cap=0)
-    out = PX.add_candidates(rows, CN.activity_inventory(log), seed=SEED)
+    out = PX.add_candidates(rows, checkpoint(CN.activity_inventory(log)), seed=SEED)
     return out.select("case_id", F.col("prefix_len").cast("int").alias("prefix_len"), *[
         F.array_join(c, ", ").alias(c) for c in ("next_candidates", "outcome_candidates")])
 
@@ -724,7 +724,7 @@ def item_prompts(spark: SparkSession, sf: str, block: bool = False) -> DataFrame
     cases = checkpoint(S.split_label_stratified(item_cases(spark, sf), 0.2, SEED))
     log = item_log(spark, sf)
     return evaluation_prompts(
-        log, cases.where(F.col("split") == "test"), CN.activity_inventory(log), NARRATIVES,
+        log, cases.where(F.col("split") == "test"), checkpoint(CN.activity_inventory(log)), NARRATIVES,
         RULE_TEXTS, EvaluationSettings(candidate_block=block, seed=SEED), items_hot(spark, sf))
 
 
@@ -751,7 +751,7 @@ def baseline_predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Repeat the last activity; mean days and majority outcome of the train cases."""
     log, hot = item_log(spark, sf), items_hot(spark, sf)
     cases = checkpoint(S.split_label_stratified(item_cases(spark, sf), 0.2, SEED))
-    inventory = CN.activity_inventory(log)
+    inventory = checkpoint(CN.activity_inventory(log))
     rows = PX.all_examples(
         log, cases.withColumnRenamed("label", "final_outcome"), NARRATIVES, story=False, hot=hot)
     rows = checkpoint(evaluation_tasks(PX.add_candidates(rows, inventory, shuffle=False)))
