@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.functions import prompts as P
-from tracewright.functions.answers import clean_answer, parse_days, prepare_candidates
+from tracewright.functions.answers import (
+    clean_answer, parse_categorical, parse_days, prepare_candidates,
+)
 from tracewright.functions.narrative import with_event_sentences
 from tracewright.functions.text import hash_order, json_list, value_text
 from tracewright.operators import canonicalize as CN
@@ -28,7 +30,7 @@ from tracewright.plans.flows import (
     EvaluationSettings, InstructionSettings, evaluation_prompts, instruction_data, labelled_cases,
     story_corpus,
 )
-from tracewright.scale import checkpoint
+from tracewright.scale import BROADCAST_BYTES, broadcast_if_small, checkpoint
 from tracewright.schema import (
     CASE, dataset_from_path, first_dataset_in_path, normalize_dataset_name,
 )
@@ -908,26 +910,37 @@ def dataset_macro_metrics(spark, sf):
 
 # ---- answers ---------------------------------------------------------------
 
+def with_candidates(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """Prepared candidate list of the dataset on each of its rows; ``names``: dataset, names."""
+    prepared = names.select("dataset", prepare_candidates(F.col("names")).alias("cands"))
+    return rows.join(broadcast_if_small(prepared, max_bytes=BROADCAST_BYTES), "dataset")
+
+
 @register()
 def parse_categorical_text(spark, sf):
-    """Whole conversation turns read as answers, with the source names of documents as candidates."""
-    from tracewright.functions.answers import parse_categorical
-
-    names = table(spark, sf, "documents").select(
-        F.substring_index(F.substring_index("text", ".", 1), " ", 2).alias("name"), "lang"
-    ).where("name <> ''").groupBy("lang").agg(
-        F.slice(F.array_sort(F.collect_set("name")), 1, 40).alias("names"))
-    lists = F.broadcast(names.select(
-        F.dense_rank().over(_by_lang()).alias("part"), prepare_candidates(F.col("names")).alias("cands")))
-    turns = table(spark, sf, "conversations").withColumn("part", F.col("conv_id") % 4 + 1)
-    return parse_categorical(turns.join(lists, "part"), "text", "cands").select(
+    """Whole conversation turns read as answers; all sources and languages are candidates."""
+    names = table(spark, sf, "documents").groupBy(F.lit("chat").alias("dataset")).agg(
+        F.array_sort(F.array_union(F.collect_set("source"), F.collect_set("lang"))).alias("names"))
+    turns = table(spark, sf, "conversations").withColumn("dataset", F.lit("chat"))
+    return parse_categorical(with_candidates(turns, names), "text", "cands").select(
         "conv_id", "turn", "prediction", "is_valid_parse")
 
 
-def _by_lang():
-    from pyspark.sql.window import Window
-
-    return Window.orderBy("lang")
+@register(f"""SELECT event_id, CASE WHEN event_id % 5 = 3 OR (event_id % 5 = 4 AND event_type <> 'purchase')
+ THEN '__INVALID__' ELSE event_type END AS prediction,
+ NOT (event_id % 5 = 3 OR (event_id % 5 = 4 AND event_type <> 'purchase')) AS is_valid_parse FROM events""")
+def parse_categorical_events(spark, sf):
+    """Event types told in five ways: quoted, in a sentence, in a list, not at all, misspelt."""
+    name, way = F.col("activity"), F.col("in_order") % 5
+    log = user_log(spark, sf)
+    told = log.withColumn("raw", F.when(way == 0, F.concat(F.lit('**The next activity is:** "'), F.upper(name), F.lit('".')))
+                          .when(way == 1, F.concat(name, F.lit(" or something else")))
+                          .when(way == 2, F.concat(name, F.lit("; then view")))
+                          .when(way == 3, "no idea at all")
+                          .otherwise(F.substring(name, F.lit(1), F.length(name) - 1)))
+    names = CN.activity_inventory(log).withColumnRenamed("activities", "names")
+    return parse_categorical(with_candidates(told, names), "raw", "cands").select(
+        F.col("in_order").alias("event_id"), "prediction", "is_valid_parse")
 
 
 @register(r"""SELECT doc_id, coalesce(CAST(floor(greatest(CAST(d[-1] AS DOUBLE), 0)) AS BIGINT), 0) AS days, len(d) > 0 AS valid
