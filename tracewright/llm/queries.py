@@ -11,6 +11,7 @@ from tracewright.llm.chat import format_conversations, loss_text, read_turns
 from tracewright.llm.common import table
 from tracewright.llm.exact import exact_dedup
 from tracewright.llm.hosts import host_rules
+from tracewright.llm.simhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -20,6 +21,13 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op2_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id",
+    )
+
+
 @query
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half of the documents, by a hash of their id, are the history; the others come in."""
