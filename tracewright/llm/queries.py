@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.llm.bpe import encode_documents, read_spec
 from tracewright.llm.chat import format_conversations, loss_text, read_turns
 from tracewright.llm.common import table
 from tracewright.llm.exact import exact_dedup
 from tracewright.llm.hosts import host_rules
+from tracewright.llm.packing import pack, pieces
+from tracewright.llm.sharding import kd_shards
 from tracewright.llm.simhash import near_duplicates
 
+VOCABULARY = "word_bpe_49k.json"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -47,6 +52,38 @@ def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def vocabulary() -> str:
+    """The public tokenizer file of the queries, read where the driver runs."""
+    import public_tokenizers
+
+    return read_spec(public_tokenizers.path(VOCABULARY))
+
+
+@query
+def op6_forced_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = encode_documents(table(spark, sf_dir, "documents"), vocabulary())
+    return coded.select(
+        F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op7_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = pieces(table(spark, sf_dir, "documents"), vocabulary())
+    return pack(cut).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight shards of near equal bytes."""
+    return kd_shards(table(spark, sf_dir, "documents"), shards=8).select(
+        F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 @query
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and number -1 whose texts hold control strings."""
