@@ -12,6 +12,7 @@ from tracewright.llm.chat import format_conversations, loss_text, read_turns
 from tracewright.llm.common import table
 from tracewright.llm.exact import exact_dedup
 from tracewright.llm.hosts import host_rules
+from tracewright.llm.langid import identify, learn
 from tracewright.llm.packing import pack, pieces
 from tracewright.llm.sharding import kd_shards
 from tracewright.llm.simhash import near_duplicates
@@ -84,6 +85,14 @@ def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op9_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    net = learn(docs.where(~held_out), key="doc_id")
+    return identify(docs, net, F.col("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
+
+
 @query
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and number -1 whose texts hold control strings."""
