@@ -14,6 +14,7 @@ from tracewright.llm.exact import exact_dedup
 from tracewright.llm.hosts import host_rules
 from tracewright.llm.langid import identify, learn
 from tracewright.llm.packing import pack, pieces
+from tracewright.llm.pii import replace_personal_data
 from tracewright.llm.sharding import kd_shards
 from tracewright.llm.simhash import near_duplicates
 
@@ -45,6 +46,13 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with surrogates; the key is a parameter of the operator."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return replace_personal_data(docs, secret="corpus key 1").docs
+
+
 @query
 def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules(table(spark, sf_dir, "documents")).select(
