@@ -23,13 +23,17 @@ BUCKET = 16_384  # digests in a bucket, on average
 GROUP = 4  # digests that share a displacement, on average
 
 
+def digest_of(text: Column) -> Column:
+    """SHA-256 of a text without blanks, as bytes; null counts as empty."""
+    return F.unhex(F.sha2(without_blanks(full_text(text)), 256))
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
     """id, digest (SHA-256 of the text without blanks) and code points of the original text."""
-    text = full_text(docs[text_col])
     return docs.select(
         docs[id_col].alias("id"),
-        F.unhex(F.sha2(without_blanks(text), 256)).alias("digest"),
-        F.char_length(text).cast("long").alias("n_chars"),
+        digest_of(docs[text_col]).alias("digest"),
+        F.char_length(full_text(docs[text_col])).cast("long").alias("n_chars"),
         *more,
     )
 

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 WINDOW = 128  # bytes
 WIDTHS = (2, 3, 4)
@@ -192,22 +193,30 @@ def _reader(model: bytes) -> Reader:
     return Reader(pickle.loads(model))
 
 
-def identify(docs: DataFrame, net: ByteCnn, *keep: Column, text_col: str = "text") -> DataFrame:
-    """``keep`` with lang_pred and score for every row, from its whole text.
+def identify(
+    docs: DataFrame, net: ByteCnn, *keep: Column | str, text_col: str = "text", label_col: str = "lang_pred",
+    score_col: str = "score",
+) -> DataFrame:
+    """``keep`` with label and score for every row, from its whole text.
 
     Null texts and texts without a letter are ``und`` with score 0, as is everything
-    when nothing could be learned. Rows keep their partition; no shuffle.
+    when nothing could be learned. Repeated rows are rows; an empty table gives an
+    empty one. Rows keep their partition; no shuffle.
     """
-    rows = docs.select(*keep, docs[text_col].alias("_text"))
+    rows = docs.select(*keep)
+    kept = rows.schema
+    at = keep.index(text_col) if text_col in [k for k in keep if isinstance(k, str)] else len(keep)
+    if at == len(keep):
+        rows = docs.select(*keep, docs[text_col].alias("text to read"))
+    schema = StructType([*kept.fields, StructField(label_col, StringType()), StructField(score_col, DoubleType())])
+    names, width = schema.names, len(kept)
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(net))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _reader(shared.value)
         for b in batches:
-            labels, scores = reader.predict(b.column(b.num_columns - 1).to_pylist())
-            arrays = [*b.columns[:-1], pa.array(labels, pa.string()), pa.array(scores, pa.float64())]
+            labels, scores = reader.predict(b.column(at).to_pylist())
+            arrays = [*b.columns[:width], pa.array(labels, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    schema = rows.drop("_text").schema.add("lang_pred", "string").add("score", "double")
-    names = schema.names
     return rows.mapInArrow(run, schema)

@@ -229,13 +229,15 @@ class Replaced:
     entities: DataFrame
 
 
-def replace_personal_data(docs: DataFrame, secret: str, text_col: str = "text") -> Replaced:
-    """All rows and columns of ``docs`` with surrogates in the text, plus n_replaced; and the entity table.
+def replace_personal_data(
+    docs: DataFrame, secret: str, text_col: str = "text", count_col: str = "n_replaced",
+) -> Replaced:
+    """All rows and columns of ``docs`` with surrogates in the text, plus ``count_col``; and the entity table.
 
     An entity has one surrogate in the whole corpus, in every format it is written
     in. Texts without mentions, null and empty texts stay as they are; repeated rows
     get the same text; an empty table gives an empty one. Whole texts are read. Extra
-    columns are kept (an own n_replaced is overwritten); ids play no part.
+    columns are kept (an own ``count_col`` is overwritten); ids play no part.
 
     Mentions are taken once per distinct text, so copies are cheap, and are joined to
     their surrogates; the join back is on the text's digest, and Spark splits its hot
@@ -259,6 +261,6 @@ def replace_personal_data(docs: DataFrame, secret: str, text_col: str = "text")
     gaps = F.split("t", ANY, -1)
     woven = F.zip_with(gaps, F.col("said.said"), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     back = back.select("doc", F.array_join(woven, "").alias("new"), "n")
-    out = quiet.unionByName(back).select(F.col("doc").withField(text_col, F.col("new")).withField("n_replaced", F.col("n")).alias("doc"))
+    out = quiet.unionByName(back).select(F.col("doc").withField(text_col, F.col("new")).withField(count_col, F.col("n")).alias("doc"))
     return Replaced(out.select("doc.*"), entities)
 

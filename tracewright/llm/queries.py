@@ -14,6 +14,7 @@ from tracewright.llm.exact import exact_dedup
 from tracewright.llm.hosts import host_rules
 from tracewright.llm.langid import identify, learn
 from tracewright.llm.packing import pack, pieces
+from tracewright.llm.pages import main_texts
 from tracewright.llm.pii import replace_personal_data
 from tracewright.llm.sharding import kd_shards
 from tracewright.llm.simhash import near_duplicates
@@ -28,6 +29,11 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 @query
 def op2_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select(
