@@ -1,0 +1,260 @@
+"""Nulls, empty and very long texts, ties, repeated rows, empty tables, clashing columns."""
+
+import hashlib
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tracewright.llm.bpe import Bpe, LibraryBpe, encode_documents, read_spec
+from tracewright.llm.chat import CHATML, format_conversations, loss_text, read_turns
+from tracewright.llm.common import free_name, words
+from tracewright.llm.exact import build_slots, exact_dedup, find_slots
+from tracewright.llm.hosts import host_of, host_rules
+from tracewright.llm.langid import UNKNOWN, identify, learn
+from tracewright.llm.packing import best_two_fit, pack, pieces
+from tracewright.llm.pages import Page, main_texts
+from tracewright.llm.pii import replace_personal_data
+from tracewright.llm.queries import vocabulary
+from tracewright.llm.sharding import kd_shards
+from tracewright.llm.simhash import near_duplicates
+
+LONG = "lorem ipsum dolor sit amet " * 20_000
+ROWS = [
+    (1, None, None, None), (2, "", "en", "a"), (3, " \t\n\x0b\x0c\r ", "en", "a"), (None, "a text without an id", None, "b"),
+    (5, "the same row twice", "en", "b"), (5, "the same row twice", "en", "b"), (6, "the  same row\ttwice", "de", None),
+    (7, LONG, "en", "a"), (8, "x" * 200_000, "de", "a"), (9, "Ünï ß 😀 中文 <|endoftext|>", "de", "http://Host.example/x"),
+]
+CLASH = ["id", "digest", "fp", "w", "host", "unit", "node", "lang_pred", "score", "doc", "t", "m", "n", "text_", "part"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    df = spark.createDataFrame(ROWS, "doc_id long, text string, lang string, source string")
+    return df.withColumns({c: F.lit("clash") for c in CLASH}).cache()
+
+
+@pytest.fixture(scope="module")
+def spec():
+    return vocabulary()
+
+
+def test_words_and_names(spark, docs):
+    got = docs.where("doc_id = 6").select(words(F.col("text")).alias("x")).first().x
+    assert got == ["the", "same", "row", "twice"]
+    assert docs.where("doc_id = 3").select(words(F.col("text")).alias("x")).first().x == []
+    assert free_name(docs, "TEXT") == "TEXT__"
+
+
+def test_exact(docs):
+    out = {r.id: r for r in exact_dedup(docs, F.col("doc_id") % 2 == 0).collect()}
+    assert len(out) == 9 and exact_dedup(docs, F.lit(True)).count() == len(ROWS)
+    assert [(out[k].keep_id, out[k].group_size, out[k].kept) for k in (1, 2, 3)] == [(3, 3, False), (3, 3, False), (3, 3, True)]
+    assert (out[6].keep_id, out[6].group_size, out[6].kept, out[5].kept) == (6, 3, True, False)
+    assert out[None].kept and bytes(out[1].digest) == hashlib.sha256(b"").digest()
+    assert exact_dedup(docs.limit(0), F.lit(True)).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 50, 5_000])
+def test_perfect_hash(n):
+    raw = np.frombuffer(b"".join(hashlib.sha256(str(i).encode()).digest() for i in range(n)), np.uint8).reshape(-1, 32)
+    moved, slot = build_slots(raw)
+    assert sorted(slot) == list(range(n))
+    assert (find_slots(raw, moved, n) == slot).all()
+    other = np.frombuffer(hashlib.sha256(b"other").digest(), np.uint8).reshape(-1, 32)
+    assert 0 <= find_slots(other, moved, n)[0] < n
+
+
+def test_near(docs):
+    out = near_duplicates(docs).collect()
+    assert len(out) == len(ROWS)
+    by = {r.id: r for r in out}
+    assert {by[k].component_id for k in (1, 2, 3)} == {1} and by[1].fp == 0
+    assert by[6].component_id == 5 and by[None].component_id is None
+    assert near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_personal_data(spark, docs):
+    out = replace_personal_data(docs, "k").docs
+    assert out.columns == [*docs.columns, "n_replaced"]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in out.collect()))) == sorted(map(str, ((r[0], r[1]) for r in ROWS)))
+    assert replace_personal_data(docs.limit(0), "k").docs.count() == 0
+
+
+def test_hosts(spark, docs):
+    out = host_rules(docs).collect()
+    assert len(out) == len(ROWS)
+    by = {r.id: r for r in out}
+    assert by[1].n_words == 0 and by[1].base_failed and by[1].host is None
+    assert by[7].n_words == 100_000 and by[7].n_repeat_words == 100_000 and by[7].base_failed
+    assert by[9].host == "host.example"
+    assert host_rules(docs.limit(0)).count() == 0
+    got = spark.createDataFrame([("HTTPS://u:p@A.b:80/x",), ("src1",), (None,)], "s string").select(host_of(F.col("s"))).collect()
+    assert [r[0] for r in got] == ["a.b", "src1", None]
+
+
+def test_host_rates_shrink(spark):
+    good, bad = "one two three four five six " * 3 + " ".join(f"w{i}" for i in range(60)), "short"
+    rows = [(i, bad if i % 10 else good, "poor") for i in range(200)] + [(1000 + i, good, f"h{i % 20}") for i in range(200)]
+    rows.append((5000, good, "new"))
+    out = {r.id: r for r in host_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert not out[0].kept and not out[0].base_failed and out[0].host_rate < 0.9
+    assert out[1000].kept and out[5000].kept and 0 < out[5000].host_rate < 0.5
+
+
+def test_encode(docs, spec):
+    out = {r.id: r for r in encode_documents(docs, spec).collect()}
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_str(spec)
+    for i, text, *_ in ROWS:
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        assert out[i].ids == ids and out[i].decoded == library.decode(ids, skip_special_tokens=False)
+    assert encode_documents(docs.limit(0), spec).count() == 0
+
+
+def test_encoders_agree_with_the_library(spec):
+    import random
+
+    from tokenizers import Tokenizer
+
+    library, own, quick, rnd = Tokenizer.from_str(spec), Bpe(spec), LibraryBpe(spec), random.Random(3)
+    letters = "aAbBzZthe '\"<|>éÉßſΣσςİıŁ09²½\t\n\r\x0b\x1c\x1f\x85\xa0́̈́日ー　😀-_.,"
+    texts = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 80))) for _ in range(1500)]
+    texts += ["<|endoftext|><|startoftext|> x", "a" * 3_000, "'s's 't don't", "ab" * 700 + "!" * 900, "<|endoftext|"]
+    for t in texts:
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert own.encode(t) == ids == quick.encode(t), t
+        assert own.decode(ids) == library.decode(ids, skip_special_tokens=False)
+
+
+def test_forced_boundaries_cut_no_token(spec):
+    own = Bpe(spec)
+    for token in list(own.vocab)[::97]:
+        plain = token.removesuffix(own.end)
+        assert not plain or own.cut(plain) == [plain]
+    assert any(len(own.cut(x)) > 1 for x in ("qzxjq", "zqjx", "0x!q"))
+
+
+def test_pack(docs, spec):
+    out = pack(pieces(docs, spec)).collect()
+    assert len({(r.id, r.piece) for r in out}) == len(out) - 1  # the repeated row
+    by = {}
+    for r in out:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in by.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 4_096
+    assert sorted(r.length for r in out if r.id in (1, 2, 3)) == [1, 1, 1]
+    empty = next(r for r in out if r.id == 2)
+    assert empty.ids_crc32 == zlib.crc32((1).to_bytes(4, "little"))
+    assert pack(pieces(docs.limit(0), spec)).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_best_two_fit(seed):
+    lengths = np.random.default_rng(seed).integers(1, 101, 400)
+    bins = best_two_fit(lengths, 100)
+    assert sorted(i for b in bins for i in b) == list(range(400))
+    assert all(lengths[b].sum() <= 100 for b in bins)
+    # No packing needs fewer bins than the items above half, or than the sum.
+    assert len(bins) <= 1.04 * max(int((lengths > 50).sum()), -(-int(lengths.sum()) // 100)) + 1
+
+
+def test_two_replace_the_smallest():
+    # 60 and then 35 fill greedily to 95; 20 + 20 fill the widened gap of 40 to the end.
+    bins = best_two_fit(np.array([60, 35, 20, 20]), 100)
+    assert sorted(map(sorted, bins)) == [[0, 2, 3], [1]]
+
+
+def test_shards(docs):
+    out = kd_shards(docs, shards=3).collect()
+    assert len(out) == len(ROWS)
+    for s in range(3):
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
+    assert {r.size for r in out if r.id in (1, 2)} == {1}
+    assert len({r.shard for r in out if r.id == 5}) == 1
+    assert kd_shards(docs.limit(0), shards=3).count() == 0
+
+
+def test_shards_are_even_and_keep_copies(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, "w " * int(n), "en", f"s{i % 7}") for i, n in enumerate(rng.integers(1, 400, 1500))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = kd_shards(df, shards=5).collect()
+    sizes = np.bincount([r.shard for r in out], weights=[r["size"] for r in out], minlength=5)
+    assert sizes.max() / sizes.min() < 1.03
+    groups = {}
+    for r in out:
+        groups.setdefault((r["size"], r.text_crc32), set()).add(r.shard)
+    assert all(len(g) == 1 for g in groups.values())
+    target = kd_shards(df, target_bytes=int(sizes.sum() / 4)).select("shard").distinct().count()
+    assert target == 4
+
+
+def test_a_group_above_a_leaf_is_divided(spark):
+    rows = [(i, "copy " * 50, "en", "s") for i in range(900)] + [(1000 + i, f"t{i} " * 40, "en", "s") for i in range(300)]
+    out = kd_shards(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), shards=4).collect()
+    sizes = np.bincount([r.shard for r in out], weights=[r["size"] for r in out], minlength=4)
+    assert sizes.max() / sizes.min() < 1.2
+
+
+def test_language(spark, docs):
+    rows = [(i, w * 30, k) for i in range(40) for w, k in ((f"the cat {i} sat ", "en"), (f"der Hund {i} lief ", "de"))]
+    net = learn(spark.createDataFrame(rows, "id long, text string, lang string"))
+    out = {r.doc_id: r for r in identify(docs, net, "doc_id", "text", *CLASH[:7], text_col="text").collect()}
+    assert [(out[k].lang_pred, out[k].score) for k in (1, 2, 3)] == [(UNKNOWN, 0.0)] * 3
+    assert all(out[k].lang_pred in ("de", "en") and 0 < out[k].score <= 1 for k in (5, 7, 8, 9))
+    test = spark.createDataFrame([(1, "the cat sat"), (2, "der Hund lief")], "doc_id long, text string")
+    assert [r.lang_pred for r in identify(test, net, "doc_id").orderBy("doc_id").collect()] == ["en", "de"]
+    none = learn(docs.where("lang IS NULL"), key="doc_id")
+    assert {r.lang_pred for r in identify(docs, none, "doc_id").collect()} == {UNKNOWN}
+    assert identify(docs.limit(0), net, "doc_id").count() == 0
+
+
+def test_chat(spark):
+    rows = [
+        (1, 1, "assistant", "b"), (1, 0, "user", "a<|im_end|>\\<\\|x"), (2, 0, "assistant", "first"), (3, 0, None, None),
+        (None, 0, "user", "q"), (None, 0, "user", "q"), (4, None, "user\nx", "t"), (5, 0, "user", "\\n<" + "|" * 3), (5, 1, "assistant", ""),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("n", F.lit("clash"))
+    out = format_conversations(df).select("*", read_turns(F.col("formatted")).alias("read"), loss_text(F.col("segments")).alias("loss"))
+    by = {r.conv_id: r for r in out.collect()}
+    assert [tuple(x) for x in by[1].read] == [("user", "a<|im_end|>\\<\\|x"), ("assistant", "b")]
+    assert by[1].valid and by[1].loss == "b" and by[1].bad_turn is None
+    assert (by[2].valid, by[2].bad_turn) == (False, 0) and (by[None].n_turns, by[None].bad_turn) == (2, 1)
+    assert [tuple(x) for x in by[3].read] == [("", "")] and [tuple(x) for x in by[4].read] == [("user\nx", "t")]
+    assert by[5].read[0].text == "\\n<|||" and by[5].valid
+    assert [s.string for s in by[2].segments if s.loss] == ["first"]
+    assert format_conversations(df.limit(0)).count() == 0 and CHATML.loss_roles == ("assistant",)
+
+
+PAGE = (
+    '<body class="has-sidebar"><header><h1>Site</h1></header><div class="with-sidebar"><article><header><h1>A &amp; B</h1></header>'
+    '<p>One <b>two</b><br>three&nbsp;x<p>Four<ul><li>a<li>b</ul><aside>no</aside><form>f</form><div class="comments">bad</div>'
+    "<script>var s='</p>';</script>tail a < b</article></div><footer>f</footer>")
+
+
+def test_page():
+    assert Page(PAGE).main_text() == "A & B\n\nOne two three x\n\nFour\n\na\n\nb\n\ntail a < b"
+    assert Page("<p>one<p>two<!-- open").main_text() == "one\n\ntwo"
+    assert [Page(x).main_text() for x in ("", "<", "<script>x", "<nav>m</nav>")] == ["", "<", "", ""]
+    assert len(Page("<p>word " * 50_000).blocks) == 50_000
+
+
+def test_repeated_branches_go(spark):
+    rows = [(i, "http://h.example/x", f"<body><div class=top><p>Same words on each page</p></div><div class=main><p>Own text {i}</p></div>") for i in range(20)]
+    rows += [(100, "http://few.example/", "<div class=top><p>Same words on each page</p></div>"), (101, None, None), (102, "", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("clash") for c in ("host", "page", "path", "low")})
+    out = {r.page_id: r for r in main_texts(df).collect()}
+    assert out[3].text == "Own text 3" and out[100].text == "Same words on each page"
+    assert (out[101].text, out[102].text, out[101].n_chars) == ("", "", 0) and out[3].host == "clash"
+    assert main_texts(df.limit(0)).count() == 0
+
+
+def test_vocabulary_file(spec):
+    assert spec.startswith("{") and read_spec(__file__).startswith('"""')

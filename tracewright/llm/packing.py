@@ -53,52 +53,84 @@ def pieces(
     return rows.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
+class _Pools:
+    """Items by a whole number; finds the nearest number that has one."""
+
+    def __init__(self, limit: int):
+        self.items: list[list[int]] = [[] for _ in range(limit + 1)]
+        self.count = np.zeros(limit + 1, np.int64)
+        self.there = 0  # bit n: there is an item of number n
+
+    def put(self, n: int, item: int) -> None:
+        self.items[n].append(item)
+        self.count[n] += 1
+        self.there |= 1 << n
+
+    def take(self, n: int) -> int:
+        self.count[n] -= 1
+        if not self.count[n]:
+            self.there &= ~(1 << n)
+        return self.items[n].pop()
+
+    def most(self, limit: int) -> int:
+        """The largest number up to the limit, or -1."""
+        return (self.there & ((1 << (limit + 1)) - 1)).bit_length() - 1
+
+    def least(self, limit: int) -> int:
+        """The smallest number from the limit on, or -1."""
+        above = self.there >> limit
+        return limit + (above & -above).bit_length() - 1 if above else -1
+
+
 def best_two_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
     """Bins of item numbers; every length is from 1 to the capacity.
 
-    A bin takes the longest item left, then again and again the longest that fits.
-    When none fits and there is a gap, the bin's smallest item is put back for the
-    two left-over items whose lengths fill the widened gap best, if they fill it
-    better than the item did.
+    First the items above a sixth of the capacity: a bin takes the longest item left,
+    then again and again the longest that fits. When none fits and there is a gap,
+    the bin's smallest item is put back for the two left-over items that fill the
+    widened gap best, if they fill it better than the item did. Then the short items,
+    longest first, each into the bin whose gap it fits most tightly.
     """
-    pools: list[list[int]] = [[] for _ in range(capacity + 1)]
+    left, short = _Pools(capacity), []
     for i in np.argsort(lengths, kind="stable")[::-1]:
-        pools[lengths[i]].append(int(i))
-    count = np.array([len(p) for p in pools])
-    there = sum(1 << int(n) for n in np.flatnonzero(count))  # bit n: an item of length n is left
+        if 6 * lengths[i] > capacity:
+            left.put(int(lengths[i]), int(i))
+        else:
+            short.append(int(i))
     sizes = np.arange(capacity + 1)
     bins: list[list[int]] = []
-
-    def take(n: int) -> int:
-        nonlocal there
-        count[n] -= 1
-        if not count[n]:
-            there &= ~(1 << n)
-        return pools[n].pop()
-
-    def longest(most: int) -> int:
-        return (there & ((1 << (most + 1)) - 1)).bit_length() - 1
-
-    while there:
+    gaps = _Pools(capacity)
+    while left.there:
         items, gap = [], capacity
-        while gap and (n := longest(gap)) > 0:
-            items.append((n, take(n)))
+        while gap and (n := left.most(gap)) > 0:
+            items.append((n, left.take(n)))
             gap -= n
-        if gap and len(items) > 1 and there:
+        if gap and len(items) > 1 and left.there:
             small = items[-1][0]  # items come in falling length
             wide = gap + small
-            below = np.maximum.accumulate(np.where(count[: wide + 1] > 0, sizes[: wide + 1], 0))
-            a = np.flatnonzero(count[: wide + 1])
+            count = left.count[: wide + 1]
+            below = np.maximum.accumulate(np.where(count > 0, sizes[: wide + 1], 0))
+            a = np.flatnonzero(count)
             b = below[np.minimum(wide - a, np.where(count[a] > 1, a, a - 1))]
             both = np.where(b > 0, a + b, 0)
             k = int(np.argmax(both)) if len(both) else -1
             if k >= 0 and both[k] > small:
                 n, back = items.pop()
-                items += [(int(x), take(int(x))) for x in (a[k], b[k])]
-                pools[n].append(back)
-                count[n] += 1
-                there |= 1 << n
+                items += [(int(x), left.take(int(x))) for x in (a[k], b[k])]
+                left.put(n, back)
+                gap = wide - int(both[k])
+        gaps.put(gap, len(bins))
         bins.append([i for _, i in items])
+    for i in short:
+        n = int(lengths[i])
+        gap = gaps.least(n)
+        if gap < 0:
+            gap, k = capacity, len(bins)
+            bins.append([])
+        else:
+            k = gaps.take(gap)
+        bins[k].append(i)
+        gaps.put(gap - n, k)
     return bins
 
 
