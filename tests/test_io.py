@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from tracewright import presets, schema
 from tracewright.operators import canonicalize as CN
-from tracewright.operators import corpus, instructions
+from tracewright.functions.prompts import NEXT, TIME
+from tracewright.operators import corpus, instructions, outcomes
 from tracewright.operators.outcomes import Contains
-from tracewright.operators.scoring import predict_in_batches
+from tracewright.operators.scoring import predict_in_batches, score
 from tracewright.plans import flows, preparation
 from tracewright.sources import readers, writers
 from workload.logs import NARRATIVES, item_log
@@ -110,7 +111,7 @@ def test_folders(spark, tmp_path):
     names = spark.createDataFrame([("Helpdesk", "Take", "take in charge ticket"), ("Helpdesk", "Closed", "close ticket"),
                                    ("BPIC2019", "x", "y")], "dataset string, raw string, canonical string")
     first = preparation.canonicalize_logs(spark, raw, f"{out}/mapped", names, fmt="parquet")
-    assert [d["dataset"] for d in first.done] == ["Helpdesk"] and len(first.skipped) == 1
+    assert [d["dataset"] for d in first.done] == ["Helpdesk"] and first.skipped.count() == 1
     assert first.errors[0]["dataset"] == "BPIC2019" and "outside the map" in first.errors[0]["error"]
     assert spark.read.json(f"{out}/mapped/_errors").count() == 1
     second = preparation.label_logs(spark, f"{out}/mapped", f"{out}/labelled", presets.outcome_rules(), fmt="parquet")
@@ -123,6 +124,78 @@ def test_folders(spark, tmp_path):
         ("2", "take in charge ticket", "failure", "0.0")}
 
 
+def test_logs_of_several_parts(spark, tmp_path):
+    rows = [(f"c{i % 20}", "closed" if i >= 380 and i % 2 else "take", f"2020-01-01 00:{i // 60:02d}:{i % 60:02d}") for i in range(400)]
+    log = spark.createDataFrame(rows, "`Case ID` string, Activity string, `Complete Timestamp` string")
+    raw = str(tmp_path / "raw")
+    log.repartition(3).write.parquet(f"{raw}/helpdesk.parquet")
+    names = spark.createDataFrame([("Helpdesk", "take", "take"), ("Helpdesk", "closed", "close ticket")], "dataset string, raw string, canonical string")
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 100)
+    try:
+        preparation.canonicalize_logs(spark, raw, f"{raw}1", names, fmt="csv")
+        labelled = preparation.label_logs(spark, f"{raw}1", f"{raw}2", presets.outcome_rules(), fmt="parquet")
+        timed = preparation.remaining_time_logs(spark, f"{raw}2", f"{raw}3", fmt="parquet")
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert not labelled.errors and not timed.errors
+    assert labelled.done[0]["n_events"] == "400" or labelled.done[0]["n_events"] == 400
+    assert (labelled.done[0]["n_positive_cases"], labelled.done[0]["n_negative_cases"]) == (10, 10)
+    back = readers.read_named(spark, f"{raw}3", "Helpdesk")
+    assert back.count() == 400 and back.groupBy("case_id").agg(F.count_distinct("label").alias("n")).where("n <> 1").count() == 0
+    assert back.where("remaining_time IS NULL").count() == 0
+
+
+def test_labels_from_a_related_log(spark, tmp_path):
+    raw = str(tmp_path / "raw")
+    for name, act in (("bpic2012a", "accept application"), ("bpic2012w", "work")):
+        df = spark.createDataFrame([("1", act, "2020-01-01"), ("2", "other", "2020-01-01")], "case_id string, activity string, timestamp string")
+        df.write.parquet(f"{raw}/{name}.parquet")
+    done = preparation.label_logs(spark, raw, f"{tmp_path}/out", presets.outcome_rules(), fmt="parquet")
+    assert not done.errors and {d["dataset"] for d in done.done} == {"BPIC2012A", "BPIC2012W"}
+    got = readers.read_named(spark, f"{tmp_path}/out", "BPIC2012W").select("case_id", "label").collect()
+    assert {tuple(r) for r in got} == {("1", "success"), ("2", "failure")}
+
+
+def test_mixed_kinds_of_an_attribute_stay_text(spark, tmp_path):
+    (tmp_path / "l.xes").write_text(
+        '<log><trace><string key="concept:name" value="1"/><event><string key="concept:name" value="a"/><int key="v" value="3"/></event>'
+        '<event><string key="concept:name" value="b"/><string key="v" value="high"/></event></trace></log>')
+    got = readers.read_xes(spark, str(tmp_path / "l.xes"))
+    assert dict(got.dtypes)["v"] == "string" and {r["v"] for r in got.collect()} == {"3", "high"}
+
+
+def test_rule_columns_by_other_spellings(spark):
+    rules = presets.outcome_rules()
+    bills = spark.createDataFrame([("Hospital-billing", "1", "new", True), ("Hospital-billing", "2", "new", False)],
+                                  "dataset string, case_id string, activity string, IS_CLOSED boolean")
+    fines = spark.createDataFrame([("Road_Traffic_Fine", "1", "x", 10.0, 10.0), ("Road_Traffic_Fine", "2", "x", 10.0, 9.0)],
+                                  "dataset string, case_id string, activity string, `fine amount` double, Total_Payment_Amount double")
+    parts = spark.createDataFrame([("Production", "1", "x", 0), ("Production", "2", "x", 2)],
+                                  "dataset string, case_id string, activity string, `qty rejected today` int")
+    services = spark.createDataFrame([("Service-process", "1", "x", "yes"), ("Service-process", "2", "x", "no")],
+                                     "dataset string, case_id string, activity string, repair_in_time_5d string")
+    for log in (bills, fines, parts, services):
+        log = log.withColumns({"ts": F.lit(None).cast("timestamp"), "in_order": F.lit(0).cast("long")})
+        dataset = log.first()["dataset"]
+        got = {r["case_id"]: r["value"] for r in outcomes.case_outcomes(log, {dataset: rules[dataset]}).collect()}
+        assert got == {"1": 1, "2": 0}, dataset
+
+
+def test_every_prompt_is_scored(spark):
+    prompts = spark.createDataFrame(
+        [("d", NEXT, "1", 2, "pay"), ("d", NEXT, "2", 2, "pay"), ("d", TIME, "1", 2, "3")],
+        "dataset string, task string, case_id string, prefix_len int, gold string").withColumns({
+            "trace_len": F.lit(5), "prefix_ratio": F.lit(0.4), "story_segment_start": F.lit(0), "story_n_events": F.lit(2),
+            "candidates": F.array(F.lit("pay"), F.lit("go"))})
+    inventory = spark.createDataFrame([("d", ["pay", "go"])], "dataset string, activities array<string>")
+    out = spark.createDataFrame([("d", NEXT, "1", 2, "\u00a0Pay ")], "dataset string, task string, case_id string, prefix_len int, raw_output string")
+    got = {(r["task"], r["case_id"]): r for r in score(prompts, out, inventory).collect()}
+    assert len(got) == 3 and got[NEXT, "1"]["is_correct"] and got[NEXT, "1"]["raw_output"] == "Pay"
+    assert not got[NEXT, "2"]["is_valid_parse"] and not got[TIME, "1"]["is_valid_parse"] and got[TIME, "1"]["prediction"] == "0"
+    with pytest.raises(Exception, match="several outputs"):
+        score(prompts, out.unionByName(out), inventory).collect()
+
+
 def test_prepare_in_one_plan(spark):
     log = item_log(spark, SF)
     done = flows.prepare_logs(log, None, {"lineitem": Contains("r/f", ["r/f"])})

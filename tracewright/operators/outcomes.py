@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.text import label_word, norm_text, quoted, read_flag
 from tracewright.operators.ordering import days_between
-from tracewright.schema import CASE
+from tracewright.schema import CASE, find_column, find_keyword_column
 
 def _names(acts: Sequence[str]) -> list[str]:
     return sorted({" ".join(a.split()).lower() for a in acts})
@@ -36,6 +36,24 @@ def _flag(df: DataFrame, name: str) -> Column:
     return read_flag(F.col(quoted(name)), df.schema[name].dataType)
 
 
+Names = str | Sequence[str] | None
+
+
+def _column(df: DataFrame, names: Names) -> str | None:
+    """Column by its spellings: equal without case, else containing one."""
+    names = [names] if isinstance(names, str) else list(names or [])
+    return find_column(df.columns, names) if names else None
+
+
+def _column_with(df: DataFrame, words: Names, all_words: bool = False) -> str | None:
+    """First column that contains all words; unless ``all_words``, else one that contains any."""
+    words = [words] if isinstance(words, str) else list(words or [])
+    found = find_keyword_column(df.columns, words) if words else None
+    if found and all_words and not all(w.lower() in found.lower() for w in words):
+        return None
+    return found
+
+
 def _true(slot: str) -> Column:
     return F.coalesce(F.col(slot), F.lit(False))
 
@@ -107,15 +125,16 @@ class ContainsWithout(Rule):
 class ClosedNotReopened(Rule):
     """(flag true anywhere, last activity terminal, or a strong terminal anywhere) and no reopen."""
 
-    flag: str | None = None
+    flag: Names = None
     last_in: Sequence[str] = ()
     any_of: Sequence[str] = ()
     reopened: Sequence[str] = ()
 
     def slots(self, df):
         closed = _in(self.any_of)
-        if self.flag in df.columns:
-            closed = closed | F.coalesce(_flag(df, self.flag), F.lit(False))
+        flag = _column(df, self.flag)
+        if flag:
+            closed = closed | F.coalesce(_flag(df, flag), F.lit(False))
         return {
             "any_good": closed, "any_bad": _in(self.reopened), "last_good": _in(self.last_in),
         }
@@ -153,17 +172,21 @@ class NoReturnWithin(Rule):
 
 @dataclass(frozen=True)
 class AmountCovered(Rule):
-    """Collected -> 0; else paid covers amount when both are known; else any payment."""
+    """Collected -> 0; else paid covers amount when both are known; else any payment.
+
+    ``amount`` and ``paid`` are words of a column's name; all words of ``paid`` must be there.
+    """
 
-    amount: str | None = None
-    paid: str | None = None
+    amount: Names = None
+    paid: Names = None
     payment: Sequence[str] = ()
     collected: Sequence[str] = ()
 
     def slots(self, df):
         out = {"any_good": _in(self.payment), "any_bad": _in(self.collected)}
-        if self.amount in df.columns and self.paid in df.columns:
-            out |= {"max_amount": _number(self.amount), "max_paid": _number(self.paid)}
+        amount, paid = _column_with(df, self.amount), _column_with(df, self.paid, all_words=True)
+        if amount and paid:
+            out |= {"max_amount": _number(amount), "max_paid": _number(paid)}
         return out
 
     def verdict(self):
@@ -175,15 +198,16 @@ class AmountCovered(Rule):
 class FlagOrDuration(Rule):
     """First readable flag in input order; else completed within ``days``; else completed."""
 
-    flag: str | None = None
+    flag: Names = None
     completed: Sequence[str] = ()
     days: float = 5.0
 
     def slots(self, df):
         ts = F.col("ts")
         out = {"any_good": _in(self.completed), "earliest": ts, "latest": ts, "n_timed": ts}
-        if self.flag in df.columns:
-            out["first_flag"] = _flag(df, self.flag)
+        flag = _column(df, self.flag)
+        if flag:
+            out["first_flag"] = _flag(df, flag)
         return out
 
     def verdict(self):
@@ -196,12 +220,13 @@ class FlagOrDuration(Rule):
 class NumericPositive(Rule):
     """Column above zero anywhere -> 0; without the column, a keyword in any activity -> 0."""
 
-    column: str | None = None
+    column: Names = None
     keywords: Sequence[str] = ()
 
     def slots(self, df):
-        if self.column in df.columns:
-            return {"any_bad": F.coalesce(_number(self.column) > 0, F.lit(False))}
+        column = _column(df, self.column)
+        if column:
+            return {"any_bad": F.coalesce(_number(column) > 0, F.lit(False))}
         hits = [F.contains(F.col("_act"), F.lit(k.lower())) for k in self.keywords]
         return {"any_bad": F.greatest(F.lit(False), F.lit(False), *hits)}
 

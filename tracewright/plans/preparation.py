@@ -16,32 +16,59 @@ from tracewright.operators.canonicalize import (
     canonicalize, detect_activity_column, mapping_summary,
 )
 from tracewright.operators.ordering import add_remaining_time
-from tracewright.operators.outcomes import Rule, case_outcomes, label_outcomes, label_summary, rule_texts
-from tracewright.schema import DATASET_SPELLINGS, event_log
+from tracewright.operators.outcomes import Lookup, Rule, case_outcomes, label_outcomes, label_summary, rule_texts
+from tracewright.schema import (
+    ACTIVITY_NAMES, CASE_NAMES, DATASET_SPELLINGS, TIMESTAMP_NAMES, event_log, resolve_column,
+)
 from tracewright.sources.readers import log_files, read_any
 from tracewright.sources.writers import write_logs, write_report
 
-MAX_FILES = 10_000
+# Logs that take their labels from another log.
+RELATED = {"BPIC2012W": "BPIC2012A"}
 
 
 @dataclass
 class Report:
-    """What a run did: written logs, logs that failed, files without a dataset."""
+    """What a run did: written logs, logs that failed, and the files that name no dataset."""
 
+    skipped: DataFrame
     done: list[dict] = field(default_factory=list)
     errors: list[dict] = field(default_factory=list)
-    skipped: list[str] = field(default_factory=list)
 
 
 def find_logs(
     spark: SparkSession, root: str, spellings: Mapping[str, Sequence[str]] = DATASET_SPELLINGS
-) -> tuple[list[tuple[str, str]], list[str]]:
-    """(dataset, path) of every log below ``root``, and the paths that name no dataset."""
-    rows = log_files(spark, root, spellings).orderBy("path").limit(MAX_FILES + 1).collect()
-    if len(rows) > MAX_FILES:
-        raise ValueError(f"more than {MAX_FILES} log files below {root}")
-    named = [(r["dataset"], r["path"]) for r in rows if r["dataset"]]
-    return named, [r["path"] for r in rows if not r["dataset"]]
+) -> tuple[dict[str, dict[str, list[str]]], DataFrame]:
+    """Paths of every dataset below ``root`` by file ending, and the paths that name no dataset.
+
+    A folder whose files of one ending are all of one dataset counts as one path.
+    """
+    files = log_files(spark, root, spellings)
+    folder = F.regexp_replace("path", "/[^/]*$", "")
+    ending = F.regexp_extract(F.lower("path"), r"\.(xes\.gz|[a-z]+)$", 1)
+    kinds = files.withColumns({"folder": folder, "ending": ending})
+    pure = kinds.groupBy("folder", "ending").agg(
+        F.min("dataset").alias("low"), F.max("dataset").alias("high"), F.count("dataset").alias("named"), F.count("*").alias("n"))
+    whole = (F.col("low") == F.col("high")) & (F.col("named") == F.col("n"))
+    mixed = pure.where(~F.coalesce(whole, F.lit(False))).select("folder", "ending")
+    paths = pure.where(whole).select(F.col("low").alias("dataset"), "ending", F.concat_ws("/*.", "folder", "ending").alias("path"))
+    paths = paths.unionByName(
+        kinds.join(mixed, ["folder", "ending"], "left_semi").where("dataset IS NOT NULL").select("dataset", "ending", "path"))
+    logs: dict[str, dict[str, list[str]]] = {}
+    for r in paths.orderBy("dataset", "ending", "path").collect():
+        logs.setdefault(r["dataset"], {}).setdefault(r["ending"], []).append(r["path"])
+    return logs, files.where("dataset IS NULL").select("path")
+
+
+def read_log(spark: SparkSession, dataset: str, paths: Mapping[str, Sequence[str]],
+             roles: Callable[[DataFrame, str], dict] = lambda raw, dataset: {}) -> DataFrame:
+    """One event log from all parts of a dataset, also of several formats."""
+    log: DataFrame | None = None
+    for parts in paths.values():
+        raw = read_any(spark, list(parts))
+        part = event_log(raw, dataset, **roles(raw, dataset))
+        log = part if log is None else log.unionByName(part, allowMissingColumns=True)
+    return log
 
 
 def _each_log(
@@ -49,19 +76,20 @@ def _each_log(
     fmt: str, spellings: Mapping[str, Sequence[str]],
     roles: Callable[[DataFrame, str], dict] = lambda raw, dataset: {},
 ) -> Report:
-    named, skipped = find_logs(spark, root, spellings)
-    if not named:
+    """All parts of a dataset are one log: read together, processed once, written once."""
+    logs, skipped = find_logs(spark, root, spellings)
+    if not logs:
         raise FileNotFoundError(f"no log of a known dataset below {root}")
-    report = Report(skipped=skipped)
-    for dataset, path in named:
+    report = Report(skipped)
+    for dataset, paths in logs.items():
+        inputs = ", ".join(p for parts in paths.values() for p in parts)
         try:
-            raw = read_any(spark, path)
-            result, facts = work(event_log(raw, dataset, **roles(raw, dataset)), dataset)
+            result, facts = work(read_log(spark, dataset, paths, roles), dataset)
             target = f"{out.rstrip('/')}/{dataset}"
             write_logs(result, target, fmt)
-            report.done.append({"dataset": dataset, "input": path, "output": target, **facts})
+            report.done.append({"dataset": dataset, "input": inputs, "output": target, **facts})
         except Exception as problem:  # noqa: BLE001 - one bad log must not stop the others
-            report.errors.append({"dataset": dataset, "file": path, "error": str(problem)})
+            report.errors.append({"dataset": dataset, "file": inputs, "error": str(problem)})
     for name, rows in (("summary", report.done), ("errors", report.errors)):
         if rows:
             texts = [{k: None if v is None else str(v) for k, v in r.items()} for r in rows]
@@ -75,11 +103,14 @@ def canonicalize_logs(
 ) -> Report:
     """Canonical activity names for every log; a log with uncovered names is an error."""
     def roles(raw: DataFrame, dataset: str) -> dict:
-        return {"activity": activity or detect_activity_column(raw, activity_map, dataset)}
+        used[dataset] = activity or detect_activity_column(raw, activity_map, dataset)
+        return {"activity": used[dataset]}
+
+    used: dict[str, str] = {}
 
     def work(log: DataFrame, dataset: str) -> tuple[DataFrame, dict]:
         mine = activity_map.where(F.col("dataset") == dataset)
-        facts = mapping_summary(log, mine).first().asDict()
+        facts = {"activity_col": used[dataset], **mapping_summary(log, mine).first().asDict()}
         if not facts["one_to_one"]:
             raise ValueError(f"{dataset}: canonical names are not one-to-one")
         return canonicalize(log, mine, strict=True), facts
@@ -92,14 +123,32 @@ def label_logs(
     positive: str = "success", negative: str = "failure", drop_unlabeled: bool = False,
     spellings: Mapping[str, Sequence[str]] = DATASET_SPELLINGS,
 ) -> Report:
-    """Outcome of its case on every event of every log, with rules and summary."""
+    """Outcome of its case on every event of every log, with rules and summary.
+
+    A log without a rule whose labels come from another log of the same tree
+    (``RELATED``) is labelled from it.
+    """
+    rules = dict(rules)
+    logs, _ = find_logs(spark, root, spellings)
+    for dataset, other in RELATED.items():
+        if dataset in logs and dataset not in rules and other in logs and other in rules:
+            related = related_labels(read_log(spark, other, logs[other]), rules[other], other)
+            rules[dataset] = Lookup(f"the same case is a success in {other}", labels=related)
+    columns: dict[str, dict] = {}
+
+    def roles(raw: DataFrame, dataset: str) -> dict:
+        found = {k: resolve_column(raw.columns, names, required=False) for k, names in (
+            ("case_col", CASE_NAMES), ("activity_col", ACTIVITY_NAMES), ("timestamp_col", TIMESTAMP_NAMES))}
+        columns[dataset] = {**found, "label_col": "label"}
+        return {}
+
     def work(log: DataFrame, dataset: str) -> tuple[DataFrame, dict]:
         rule = {dataset: rules[dataset]}
         labelled = label_outcomes(log, rule, positive, negative, drop_unlabeled=drop_unlabeled)
-        return labelled, label_summary(log, rule, positive, negative).first().asDict()
+        return labelled, {**columns[dataset], **label_summary(log, rule, positive, negative).first().asDict()}
 
     texts = rule_texts(rules, positive, negative)
-    report = _each_log(spark, root, out, work, fmt, spellings)
+    report = _each_log(spark, root, out, work, fmt, spellings, roles)
     frame = spark.createDataFrame(list(texts.items()), "dataset string, rule string")
     write_report(frame, f"{out.rstrip('/')}/_rules", json=True)
     return report

@@ -52,11 +52,16 @@ RECEIPT_BRANCHES = [
     "determine stop indication report",
     "print stop indication report",
 ]
-RELEASES = [f"release {x}" for x in "abcde"] + [f"release patient {x}" for x in "abcde"]
+# Releases of the sepsis log, in raw, then in canonical spelling.
+RELEASES = [
+    "release a", "release b", "release c", "release d", "release e",
+    "release patient a", "release patient b", "release patient c", "release patient d", "release patient e",
+]
 
 
 def outcome_rules(application_labels: DataFrame | None = None) -> dict[str, Rule]:
     """Rule per public log; ``application_labels`` (case_id, value) feeds BPIC2012W."""
+    # Rule texts, activity names and column names per log.
     paid = Contains("the case contains handle payment", ["handle payment", "payment handled"])
     accepted = ["accept application", "accept offer", "accepted"]
     closed = ["complete incident", "complete problem", "complete case", "completed"]
@@ -74,7 +79,7 @@ def outcome_rules(application_labels: DataFrame | None = None) -> dict[str, Rule
         "BPIC2012O": Contains("the case contains accept offer", accepted),
         "Hospital-billing": ClosedNotReopened(
             "the case is finalized or issued and never reopened",
-            flag="isClosed",
+            flag=["isClosed", "is_closed", "closed"],
             last_in=[*billed, "fin", "billed", "release", "delete", "set status"],
             any_of=billed,
             reopened=["reopen bill", "reopen"],
@@ -95,11 +100,11 @@ def outcome_rules(application_labels: DataFrame | None = None) -> dict[str, Rule
         ),
         "Production": NumericPositive(
             "the rejected quantity is zero for the whole case",
-            column="Qty_Rejected", keywords=["rework", "reject"],
+            column=["Qty_Rejected", "Qty Rejected", "rejected qty"], keywords=["rework", "reject"],
         ),
         "Road_Traffic_Fine": AmountCovered(
             "the fine is paid and never sent for debt collection",
-            amount="amount", paid="totalPaymentAmount",
+            amount=["amount"], paid=["total", "payment", "amount"],
             payment=["payment", "receive payment"],
             collected=["send for credit collection", "send for debt collection",
                        "send case for debt collection"],
