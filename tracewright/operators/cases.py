@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.structs import record
 from tracewright.functions.text import label_word, strip
+from tracewright.operators.blocks import BLOCK_EVENTS
 from tracewright.schema import CASE
 
 
@@ -15,18 +16,13 @@ def target_activity() -> Column:
     return strip(F.coalesce(F.col("activity"), F.lit("nan")))
 
 
-LONGEST_TEXT = 100_000
-
-
-def variant_id(where: Column | None = None) -> Column:
+def variant_id() -> Column:
     """Aggregate: fingerprint of the activity sequence, 120 bits and the length.
 
     Sums of md5 parts of (position, activity): equal sequences give equal ids,
     no order or gathering is needed, and map tasks combine.
     """
     digest = F.md5(F.concat_ws("|", F.col("seq").cast("string"), target_activity()))
-    if where is not None:
-        digest = F.when(where, digest)
 
     def part(at: int) -> Column:
         return F.sum(F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(38,0)"))
@@ -55,20 +51,18 @@ def case_table(ordered: DataFrame, min_events: int = 3, label: str | None = "lab
     return cases.where("_low = _high").withColumn("label", word).drop("_low", "_high")
 
 
-def variant_texts(ordered: DataFrame, longest: int = LONGEST_TEXT) -> DataFrame:
+def variant_texts(ordered: DataFrame, block: int = BLOCK_EVENTS) -> DataFrame:
     """The variant of every case written out, with its length.
 
-    The text is as long as the case. A case of more than ``longest`` events is
-    never gathered: its variant is the ``variant_id``, which names it as exactly.
+    The text is as long as the case, whatever its length; use ``variant_id`` as a
+    key. Names are joined block by block, so no list grows with the case.
     """
-    short = F.col("trace_len") <= longest
-    event = F.when(short, record(seq=F.col("seq"), name=target_activity()))
-    names = F.array_sort(F.collect_list(event))
-    return ordered.groupBy(*CASE).agg(
-        F.count("*").alias("trace_len"),
-        F.array_join(F.transform(names, lambda s: s["name"]), " || ").alias("_text"),
-        variant_id(where=~short).alias("_id"),
-    ).select(
-        *CASE, "trace_len",
-        F.when(F.col("trace_len") <= longest, F.col("_text")).otherwise(F.col("_id")).alias("variant"),
+    event = record(seq=F.col("seq"), name=target_activity())
+    blocks = ordered.groupBy(*CASE, F.floor(F.col("seq") / block).alias("block")).agg(
+        F.count("*").alias("n"), F.array_sort(F.collect_list(event)).alias("events"))
+    said = F.array_join(F.transform("events", lambda s: s["name"]), " || ")
+    parts = blocks.select(*CASE, "n", record(block=F.col("block"), said=said).alias("part"))
+    return parts.groupBy(*CASE).agg(
+        F.sum("n").alias("trace_len"),
+        F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["said"]), " || ").alias("variant"),
     )

@@ -20,10 +20,8 @@ from tracewright.scale import BROADCAST_BYTES, broadcast_if_small
 from tracewright.schema import CASE, REMAINING_NAMES, resolve_column
 
 DEFAULT_RATIOS = (0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.9)
-# Up to this many open lengths they are listed and sorted by hash; above, a
-# random start and stride are walked instead, so arrays stay short.
-_LISTED = 1024
-_STRIDE = (1 << 31) - 1  # prime
+# The stride of the walk over the open lengths: a prime, so that each comes once.
+_STRIDE = (1 << 31) - 1
 
 
 def thin_evenly(values: Column, n: int) -> Column:
@@ -50,21 +48,14 @@ def prefix_lengths(n: Column, cap: int, ratios: Sequence[float], seed: int) -> C
     key = [F.col(c) for c in CASE]
     open_n = n - 2
 
-    def listed() -> Column:
-        rest = F.array_except(F.sequence(two, end), chosen)
-        tagged = F.transform(
-            rest, lambda p: record(h=hash_order(seed, "prefix", *key, p), p=p)
-        )
-        return F.transform(F.array_sort(tagged), lambda s: s["p"])
-
+    # A walk from a start drawn by hash, with a fixed stride: short for cases of any length.
     start = F.conv(F.substring(hash_order(seed, "prefix-walk", *key), 1, 7), 16, 10).cast("long")
+    steps = F.least(open_n, F.lit(2 * cap + len(ratios) + 3)) - 1
     walk = F.transform(
-        F.sequence(F.lit(0).cast("long"), F.lit(2 * cap + len(ratios) + 2).cast("long")),
+        F.sequence(F.lit(0).cast("long"), F.greatest(steps, F.lit(0)).cast("long")),
         lambda t: 2 + (start + (F.lit(_STRIDE) % open_n) * t) % open_n,
     )
-    more = F.when(open_n <= _LISTED, listed()).otherwise(
-        F.array_except(walk, chosen)
-    )
+    more = F.array_except(walk, chosen)
     topped = F.concat(chosen, F.slice(more, F.lit(1), F.greatest(F.lit(cap) - F.size(chosen), F.lit(0))))
     return (
         F.when(n < 3, F.array().cast("array<bigint>"))

@@ -198,6 +198,30 @@ def segment_stories(
     return told.where("text <> ''")
 
 
+def case_stories(
+    events: DataFrame, narratives: Mapping[str, Narrative], intro: bool = True, quote: bool = True,
+    hot: HotCases | None = None,
+) -> DataFrame:
+    """``dataset, case_id, n_events, text``: every case told whole, whatever its length.
+
+    Sentences are joined block by block and the blocks in order, so no list of
+    events grows with the case; the text does.
+    """
+    fields = case_field_columns(events, narratives)
+    ordered = order_events(events, hot, fields)
+    blocks = case_blocks(
+        with_event_sentences(ordered, narratives, quote), {c: F.col(c) for c in SENTENCES},
+        halo=0, case_columns=list(fields),
+    ).withColumn("case_text", case_sentence(events, narratives, intro))
+    said = F.transform("events", lambda e: F.when(e["seq"] == 0, e["head"]).otherwise(e["mid"]))
+    part = record(block=F.col("block"), said=F.array_join(F.filter(said, lambda x: x != ""), " "))
+    whole = blocks.groupBy(*CASE).agg(
+        F.sum(F.size("events")).alias("n_events"), F.first("case_text").alias("case_text"),
+        F.array_sort(F.collect_list(part)).alias("parts"))
+    said = F.concat(F.array("case_text"), F.transform("parts", lambda p: p["said"]))
+    return whole.select(*CASE, "n_events", F.array_join(F.filter(said, lambda x: x != ""), " ").alias("text"))
+
+
 def variant_name() -> Column:
     """Activity as it enters a segment's variant: compacted, lower case."""
     return F.lower(compact_text(F.coalesce(F.col("activity"), F.lit("nan"))))

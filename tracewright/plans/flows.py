@@ -46,13 +46,14 @@ def prepare_logs(
 
 def story_corpus(
     events: DataFrame, narratives: Mapping[str, Narrative], windows: Windows = Windows(),
-    target: int = 8000, strategy: str = "fixed", per_variant: int = 64, dedup: bool = True,
+    target: int = 0, strategy: str = "fixed", per_variant: int = 0, dedup: bool = True,
     intro: bool = True, quote: bool = True, seed: int = 3407,
 ) -> DataFrame:
-    """Stories of all datasets, each capped and balanced over variants.
+    """Stories of all datasets; with a cap, each is balanced over variants.
 
-    The candidates are frozen once: the caps are counted from them and the
-    sample is drawn from them.
+    All stories are kept unless ``target``, ``strategy`` or ``per_variant`` (say
+    ``presets.CORPUS_LIMITS``) sets a cap. The candidates are frozen once: the caps
+    are counted from them and the sample is drawn from them.
     """
     stories = segment_stories(events, narratives, windows, intro, quote)
     if dedup:
@@ -73,9 +74,11 @@ def story_corpus(
 
 @dataclass(frozen=True)
 class InstructionSettings:
-    max_cases: int = 1500
-    prefixes_per_case: int = 6
-    max_prefixes: int = 8000
+    """Limits of 0 keep all; ``presets.INSTRUCTION_LIMITS`` holds the usual ones."""
+
+    max_cases: int = 0
+    prefixes_per_case: int = 0
+    max_prefixes: int = 0
     ratios: Sequence[float] = DEFAULT_RATIOS
     validation_ratio: float = 0.02
     max_story_events: int = 40

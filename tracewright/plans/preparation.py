@@ -92,8 +92,10 @@ def _each_log(
             report.errors.append({"dataset": dataset, "file": inputs, "error": str(problem)})
     for name, rows in (("summary", report.done), ("errors", report.errors)):
         if rows:
-            texts = [{k: None if v is None else str(v) for k, v in r.items()} for r in rows]
-            write_report(spark.createDataFrame(texts), f"{out.rstrip('/')}/_{name}", json=True)
+            columns = list(rows[0])
+            texts = [tuple(None if r[k] is None else str(r[k]) for k in columns) for r in rows]
+            frame = spark.createDataFrame(texts, ", ".join(f"`{k}` string" for k in columns))
+            write_report(frame, f"{out.rstrip('/')}/_{name}", json=True)
     return report
 
 
@@ -138,7 +140,7 @@ def label_logs(
 
     def roles(raw: DataFrame, dataset: str) -> dict:
         found = {k: resolve_column(raw.columns, names, required=False) for k, names in (
-            ("case_col", CASE_NAMES), ("activity_col", ACTIVITY_NAMES), ("timestamp_col", TIMESTAMP_NAMES))}
+            ("case_col", CASE_NAMES), ("activity_col", ACTIVITY_NAMES), ("timestamp_col", ["ts", *TIMESTAMP_NAMES]))}
         columns[dataset] = {**found, "label_col": "label"}
         return {}
 

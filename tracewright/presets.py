@@ -20,6 +20,10 @@ EVALUATION_DATASETS = [
     "BPIC2013C", "BPIC2017O", "BPIC2020R", "BPIC2012W", "Hospital-billing", "Helpdesk",
 ]
 
+# The usual limits of a story corpus and of instruction data.
+CORPUS_LIMITS = {"target": 8000, "per_variant": 64}
+INSTRUCTION_LIMITS = {"max_cases": 1500, "prefixes_per_case": 6, "max_prefixes": 8000}
+
 # Activities of the permit-receipt log that mean hold, stop or
 # unlicensed, first in raw, then in canonical spelling.
 RECEIPT_BRANCHES = [

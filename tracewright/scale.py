@@ -6,14 +6,15 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 # A side is broadcast only when measured to be at most this large.
 BROADCAST_ROWS = 50_000
 LOCAL_ROWS = 1_000
-BROADCAST_BYTES = 64 << 20  # for rows that hold lists
+LOCAL_WIDTH = 64 << 10  # bytes of a row
+BROADCAST_BYTES = 64 << 20
 # Below this limit Spark's window group limit prunes before the shuffle.
 GROUP_LIMIT = 1_000
 
@@ -29,6 +30,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh_folder(spark: SparkSession) -> str:
+    """A new folder below the checkpoint folder, which all executors share."""
+    return f"{_checkpoint_folder(spark.range(0))}/{uuid.uuid4().hex}"
+
+
 def _checkpoint_folder(df: DataFrame) -> str:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
@@ -46,20 +52,22 @@ def broadcast_if_small(
 ) -> DataFrame:
     """Ship an aggregated side as a broadcast when it is measured to be small.
 
-    At most ``max_rows + 1`` rows are looked at. With ``max_bytes`` the size is
-    measured first, for rows of unbounded width. A very small side is held as
-    local rows, so it is computed once. A large one is returned unhinted: Spark
+    A very small side is held as local rows, so it is computed once; rows wider than
+    ``LOCAL_WIDTH`` don't reach the driver. Otherwise one job counts rows and bytes,
+    of ``max_rows + 1`` rows at most. A large side is returned unhinted: Spark
     shuffles the join and AQE splits its hot keys.
     """
-    if max_bytes is not None:
-        text = F.to_json(F.struct(*df.columns))
-        size = df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
-        if size > max_bytes:
-            return df
-    rows = df.limit(LOCAL_ROWS + 1).collect()
-    if len(rows) <= LOCAL_ROWS:
-        return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    limit = BROADCAST_BYTES if max_bytes is None else max_bytes
+    row = F.struct(*df.columns)
+    sized = df.select(row.alias("row"), F.octet_length(F.to_json(row)).cast("long").alias("bytes"))
+    narrow = F.when(F.col("bytes") <= LOCAL_WIDTH, F.col("row"))
+    rows = sized.limit(LOCAL_ROWS + 1).select(narrow.alias("row"), "bytes").collect()
+    if sum(r["bytes"] for r in rows) > limit:
+        return df
+    if len(rows) <= LOCAL_ROWS and all(r["row"] is not None for r in rows):
+        return F.broadcast(df.sparkSession.createDataFrame([r["row"] for r in rows], df.schema))
+    n, size = sized.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    return F.broadcast(df) if n <= max_rows and size <= limit else df
 
 
 def top_per_group(

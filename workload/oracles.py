@@ -189,9 +189,10 @@ def plan(src: str, cap: int = 6) -> dict[str, str]:
   list_transform(range(0, {cap}), lambda i: anchors[CAST(round_even(i * (len(anchors) - 1) / {cap - 1}.0::DOUBLE, 0) AS BIGINT) + 1]))
   END AS chosen FROM anchored""",
         "lengths": f"""SELECT * EXCLUDE (chosen), CASE WHEN trace_len < 3 THEN [] WHEN trace_len - 2 <= {cap} THEN range(2, trace_len)
-  ELSE list_concat(chosen, list_transform(list_sort(list_transform(
-    list_filter(range(2, trace_len), lambda p: NOT list_contains(chosen, p)),
-    lambda p: {{'h': md5(concat_ws('|', '{SEED}', 'prefix', dataset, case_id, CAST(p AS VARCHAR))), 'p': p}})), lambda s: s.p)[1:{cap} - len(chosen)])
+  ELSE list_concat(chosen, list_filter(list_transform(range(0, least(trace_len - 2, {2 * cap + len(RATIOS) + 3})),
+    lambda t: 2 + (CAST('0x' || substr(md5(concat_ws('|', '{SEED}', 'prefix-walk', dataset, case_id)), 1, 7) AS BIGINT)
+      + (2147483647 % (trace_len - 2)) * t) % (trace_len - 2)),
+    lambda p: NOT list_contains(chosen, p))[1:{cap} - len(chosen)])
   END AS lens FROM thinned""",
         "plan": "SELECT * EXCLUDE (lens), unnest(lens) AS prefix_len FROM lengths",
     }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,12 +26,14 @@ from tracewright.operators.instructions import (
 )
 from tracewright.operators.ordering import add_remaining_time, find_hot_cases, order_events
 from tracewright.operators.scoring import majority_baseline, repeat_last_activity, score
-from tracewright.operators.segments import Windows, segment_cases, segment_stories
+from tracewright.operators.segments import case_stories, segment_cases, segment_stories
 from tracewright.plans.flows import (
     EvaluationSettings, InstructionSettings, evaluation_prompts, instruction_data, labelled_cases,
     story_corpus,
 )
-from tracewright.scale import BROADCAST_BYTES, broadcast_if_small, checkpoint
+from tracewright.plans.preparation import canonicalize_logs, label_logs, remaining_time_logs
+from tracewright.scale import BROADCAST_BYTES, broadcast_if_small, checkpoint, fresh_folder
+from tracewright.sources.readers import read_named
 from tracewright.schema import (
     CASE, dataset_from_path, first_dataset_in_path, normalize_dataset_name,
 )
@@ -227,11 +230,12 @@ def label_return_gap(spark, sf):
 @register(Q.query(
     """SELECT dataset, case_id, CAST(NOT bool_or(activity = 'N/O') AND
  coalesce(max(l_extendedprice) >= max(o_totalprice), bool_or(activity = 'R/F')) AS INT) AS value
- FROM l LEFT JOIN orders o ON o.o_orderkey = CAST(l.case_id AS BIGINT) AND o.o_orderkey % 4 <> 0 GROUP BY 1, 2""",
+ FROM l LEFT JOIN (SELECT o_orderkey, CASE WHEN o_orderpriority <> '2-HIGH' THEN o_totalprice END AS o_totalprice FROM orders) o
+ ON o.o_orderkey = CAST(l.case_id AS BIGINT) GROUP BY 1, 2""",
     l=Q.L))
 def label_amount_covered(spark, sf):
-    totals = table(spark, sf, "orders").where(F.col("o_orderkey") % 4 != 0).select(
-        F.col("o_orderkey").cast("string").alias("case_id"), F.col("o_totalprice").alias("amount"))
+    known = F.when(F.col("o_orderpriority") != "2-HIGH", F.col("o_totalprice"))
+    totals = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("case_id"), known.alias("amount"))
     log = item_log(spark, sf).join(totals, "case_id", "left")
     return OUT.case_outcomes(log, {"lineitem": OUT.AmountCovered(
         "paid in full and never n/o", amount="amount", paid="l_extendedprice",
@@ -372,9 +376,6 @@ def event_sentences_told(spark, sf):
     return told.select("case_id", "seq", "head", "mid")
 
 
-WHOLE = Windows(full_max=1_000_000)
-
-
 def whole_story_sql(log: str) -> str:
     return Q.query(
         f"""SELECT t.case_id, any_value(i.sentence) || ' ' || string_agg(CASE WHEN seq = 0 THEN head ELSE mid END, ' ' ORDER BY seq) AS text
@@ -384,12 +385,12 @@ def whole_story_sql(log: str) -> str:
 
 @register(whole_story_sql("E"))
 def case_story(spark, sf):
-    return segment_stories(user_log(spark, sf), NARRATIVES, WHOLE).select("case_id", "text")
+    return case_stories(user_log(spark, sf), NARRATIVES).select("case_id", "text")
 
 
 @register(whole_story_sql("L"))
 def case_story_items(spark, sf):
-    return segment_stories(item_log(spark, sf), NARRATIVES).select("case_id", "text")
+    return case_stories(item_log(spark, sf), NARRATIVES).select("case_id", "text")
 
 
 # ---- segments --------------------------------------------------------------
@@ -473,9 +474,6 @@ def target_caps(spark, sf):
     return spark.createDataFrame(caps, "min_cap long, median_cap long, fixed_cap long")
 
 
-CORPUS_TARGET = 2000
-
-
 def corpus_sql() -> str:
     ctes: dict[str, str] = {}
     for log in ("E", "L", "O"):
@@ -488,8 +486,7 @@ def corpus_sql() -> str:
     ctes["stories"] = " UNION ALL ".join(f"SELECT * FROM stories_{x}" for x in ("E", "L", "O"))
     ctes["uniq"] = """SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY dataset, text ORDER BY case_order, case_id, slice_id) AS r
  FROM stories) WHERE r = 1"""
-    ctes["b"] = Q.balanced("uniq", "variant_key", PREFER, Q.h("round", "dataset", "variant_key"), CORPUS_TARGET, 64)
-    return Q.query("SELECT dataset, text FROM b", **ctes)
+    return Q.query("SELECT dataset, text FROM uniq", **ctes)
 
 
 def _rename(sql: str, old: str, new: str) -> str:
@@ -503,7 +500,7 @@ def story_corpus_all(spark, sf):
     logs = [f(spark, sf) for f in (user_log, item_log, order_log)]
     union = logs[0].unionByName(logs[1], allowMissingColumns=True).unionByName(
         logs[2], allowMissingColumns=True)
-    return story_corpus(union, NARRATIVES, target=CORPUS_TARGET, seed=SEED).select("dataset", "text")
+    return story_corpus(union, NARRATIVES, seed=SEED).select("dataset", "text")
 
 
 # ---- cases and splits ------------------------------------------------------
@@ -637,25 +634,15 @@ def candidate_order(spark, sf):
 
 # ---- samples ---------------------------------------------------------------
 
-SETTINGS = InstructionSettings(max_cases=3000, max_prefixes=6000, seed=SEED)
+SETTINGS = InstructionSettings(prefixes_per_case=6, seed=SEED)
 ITEM_RULE = RULE_TEXTS["lineitem"]
 
 
 def _instruction_ctes() -> dict[str, str]:
     pk = "CAST(p.prefix_len AS VARCHAR)"
-    place = Q.h("plan", "dataset", "case_id", "CAST(prefix_len AS VARCHAR)") + ", prefix_len"
-    rnd = Q.h("plan-round", "dataset", "case_id")
-    capped = {
-        part: Q.balanced(f"(SELECT * FROM plan_all WHERE split = '{part}')", "case_id", place, rnd, n, -1)
-        for part, n in (("train", 6000), ("validation", 120))
-    }
-    plan = {("plan_all" if k == "plan" else k): v for k, v in Q.plan("split_cases").items()}
     return {
-        **Q.cases("L"), "capped": f"SELECT * EXCLUDE (round_no, group_rows, place) FROM ({CAP_SQL.replace('<= 1500', '<= 3000')})",
-        **Q.split("capped", "variant_id", 0.02, 5, "validation", "case-split"),
-        **plan,
-        "plan": f"SELECT * FROM ({capped['train']}) UNION ALL SELECT * FROM ({capped['validation']})",
-        **Q.examples("L"),
+        **Q.cases("L"), **Q.split("cases", "variant_id", 0.02, 5, "validation", "case-split"),
+        **Q.plan("split_cases"), **Q.examples("L"),
         "rows": f"""SELECT p.split, x.*, p.label AS final_outcome, p.variant,
   {Q.shuffle_sql('acts', 'next', 'p.dataset', 'p.case_id', pk)} AS nc,
   {Q.shuffle_sql("['success', 'failure']", 'outcome', 'p.dataset', 'p.case_id', pk)} AS oc
@@ -680,9 +667,9 @@ def prompt_sql(response: str, rule: str = ITEM_RULE) -> str:
             f" || {nl} || {nl} || '### Response' || {nl} || {response}")
 
 
-def instruction_frame(spark: SparkSession, sf: str) -> DataFrame:
-    return instruction_data(
-        item_log(spark, sf), NARRATIVES, RULE_TEXTS, SETTINGS, item_labels(spark, sf))
+def instruction_frame(spark: SparkSession, sf: str, variant_text: bool = False) -> DataFrame:
+    settings = replace(SETTINGS, variant_text=variant_text)
+    return instruction_data(item_log(spark, sf), NARRATIVES, RULE_TEXTS, settings, item_labels(spark, sf))
 
 
 @register(Q.query(f"SELECT split, {prompt_sql('response')} AS text FROM tasks", **_instruction_ctes()))
@@ -695,7 +682,7 @@ def instruction_texts(spark, sf):
  next_activity, remaining_time_days, final_outcome, CASE WHEN candidates IS NULL THEN NULL ELSE {Q.json_list('candidates')} END AS candidates,
  '{ITEM_RULE}' AS rule_description, variant FROM tasks""", **_instruction_ctes()))
 def instruction_meta(spark, sf):
-    return sample_meta(instruction_frame(spark, sf)).withColumn("candidates", json_list(F.col("candidates")))
+    return sample_meta(instruction_frame(spark, sf, variant_text=True)).withColumn("candidates", json_list(F.col("candidates")))
 
 
 @register(Q.query(
@@ -1046,3 +1033,78 @@ def _masked_words(samples: DataFrame) -> DataFrame:
     return out.select(
         "conv_id", "turn", F.size("input_ids").alias("n_kept"), masked.alias("n_masked"), "loss_tokens",
         F.array_join(F.slice(words, F.greatest(F.size(words) - 2, F.lit(1)), F.lit(3)), " ").alias("last_tokens"))
+
+
+# ---- folders of logs -------------------------------------------------------
+
+TREE = {"events": ["events"], "lineitem": ["lineitem"], "orders": ["orders"]}
+
+
+def log_tree(spark: SparkSession, sf: str, parts: int = 3) -> str:
+    """A fresh folder that holds every log whole, each written in several parts."""
+    root = fresh_folder(spark)
+    for log in (user_log, item_log, order_log):
+        one = log(spark, sf).select("dataset", "case_id", "activity", "ts", "in_order")
+        name = one.first()["dataset"]
+        one.drop("dataset").repartition(parts).write.parquet(f"{root}/raw/{name}.parquet")
+    return root
+
+
+def read_tree(spark: SparkSession, root: str) -> DataFrame:
+    logs = [read_named(spark, f"{root}/{name}", name, spellings=TREE) for name in TREE]
+    return logs[0].unionByName(logs[1], allowMissingColumns=True).unionByName(logs[2], allowMissingColumns=True)
+
+
+@register(Q.query(
+    """SELECT l.dataset, l.case_id, l.in_order, coalesce(m.canonical, lower(l.activity)) AS activity
+ FROM logs l LEFT JOIN m ON m.dataset = l.dataset AND m.raw = l.activity""",
+    logs=Q.ALL, m=MAP_SQL + " UNION ALL SELECT DISTINCT 'lineitem', activity, replace(lower(activity), '/', ' ') FROM (" + Q.L + ")"
+    + " UNION ALL SELECT 'events', 'signup', 'signup'"))
+def canonicalize_tree(spark, sf):
+    root = log_tree(spark, sf)
+    names = item_log(spark, sf).select(
+        "dataset", F.col("activity").alias("raw"), F.replace(F.lower("activity"), F.lit("/"), F.lit(" ")).alias("canonical"))
+    extra = spark.createDataFrame([("events", "signup", "signup")], "dataset string, raw string, canonical string")
+    whole = activity_map(spark).unionByName(names.distinct()).unionByName(extra)
+    report = canonicalize_logs(spark, f"{root}/raw", f"{root}/out", whole, fmt="parquet", activity="activity", spellings=TREE)
+    if report.errors:
+        raise ValueError(report.errors)
+    return read_tree(spark, f"{root}/out").select("dataset", "case_id", "in_order", "activity")
+
+
+@register(Q.query("SELECT dataset, case_id, label, n AS n_events FROM c", logs=Q.ALL, c=ALL_LABELS))
+def label_tree(spark, sf):
+    root = log_tree(spark, sf)
+    report = label_logs(spark, f"{root}/raw", f"{root}/out", view_rules(), fmt="parquet", spellings=TREE)
+    if report.errors:
+        raise ValueError(report.errors)
+    return read_tree(spark, f"{root}/out").groupBy("dataset", "case_id", "label").agg(F.count("*").alias("n_events"))
+
+
+@register(Q.query(
+    """SELECT dataset, case_id, in_order, round_even(greatest((epoch_us(max(ts) OVER (PARTITION BY dataset, case_id)) - epoch_us(ts))
+ / 1e6 / 86400::DOUBLE, 0), 0) AS remaining_time FROM logs""", logs=Q.ALL))
+def remaining_time_tree(spark, sf):
+    root = log_tree(spark, sf)
+    report = remaining_time_logs(spark, f"{root}/raw", f"{root}/out", fmt="parquet", spellings=TREE)
+    if report.errors:
+        raise ValueError(report.errors)
+    return read_tree(spark, f"{root}/out").select("dataset", "case_id", "in_order", "remaining_time")
+
+
+# ---- absent outputs --------------------------------------------------------
+
+@register(Q.query(
+    """SELECT case_id, prefix_len, CASE WHEN last_activity = 'N/O' THEN '__INVALID__' ELSE last_activity END AS prediction,
+ last_activity <> 'N/O' AS is_valid_parse, last_activity <> 'N/O' AND last_activity = next_activity AS is_correct
+ FROM (SELECT x.case_id, x.prefix_len, x.next_activity, la.activity AS last_activity FROM ex x
+ JOIN ev la ON la.case_id = x.case_id AND la.seq = x.prefix_len - 1)""",
+    **Q.cases("L"), **EVERY, **Q.examples("L")))
+def score_missing(spark, sf):
+    """Every prefix is scored; the predictor says nothing after n/o."""
+    log = item_log(spark, sf)
+    inventory = checkpoint(CN.activity_inventory(log))
+    rows = PX.all_examples(log, None, NARRATIVES, story=False).withColumn("final_outcome", F.lit("success"))
+    rows = checkpoint(evaluation_tasks(PX.add_candidates(rows, inventory, shuffle=False)).where(F.col("task") == P.NEXT))
+    said = repeat_last_activity(rows).where("raw_output <> 'N/O'")
+    return score(rows, said, inventory).select("case_id", "prefix_len", "prediction", "is_valid_parse", "is_correct")
