@@ -194,3 +194,19 @@ def test_caps_hold_and_full_dataset_is_split(spark):
     got = {r["split"]: r["count"] for r in plan.groupBy("split").count().collect()}
     assert got["train"] == 200 and got["validation"] <= 20
     assert plan.where("prefix_len < 2 or prefix_len >= trace_len").count() == 0
+
+
+def test_borders_by_hash(spark, monkeypatch):
+    from tracewright.operators import sampling
+
+    monkeypatch.setattr(sampling, "_BORDER_ROWS", 3)
+    df = spark.range(2000).withColumn("text", F.lit("long text"))
+    ranked = sorted((hashlib.md5(f"7|sample|{i}".encode()).hexdigest(), i) for i in range(2000))
+    for n in (0, 1, 2, 999, 1999, 2000, 5000):
+        got = sampling.random_rows(df, n, 7, ["id"])
+        assert {r["id"] for r in got.collect()} == {i for _, i in ranked[:n]}
+        assert "Exchange" not in got._jdf.queryExecution().toString()
+    held = sampling.holdout_split(df, 0.013, 7, ["id"])
+    assert held.where("split = 'validation'").count() == 26
+    assert "Exchange" not in held._jdf.queryExecution().toString()
+    assert sampling.random_rows(df.limit(0), 5, 7, ["id"]).count() == 0

@@ -7,6 +7,7 @@ computed from counts.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,9 @@ from tracewright.functions.text import hash_order
 from tracewright.scale import broadcast_if_small, rank_by_hash, top_per_group
 from tracewright.schema import CASE
 
+# Rows sorted to find a border, at most, but for rows of one hash.
+_BORDER_ROWS = 10_000
+
 
 def dedup_text(
     df: DataFrame, order: Sequence[Column], keys: Sequence[str] = ("dataset",), text: str = "text"
@@ -212,13 +216,37 @@ def _stratified(
 
 # ---- plain rows ------------------------------------------------------------
 
+def first_by_hash(df: DataFrame, n: int, hashed: Column, key: Sequence[str]) -> Column:
+    """Whether a row is among the first n by a hex hash, then by the key.
+
+    The border is found by histograms of hash prefixes over the key columns alone, a
+    few thousand counts each; the rows themselves are only filtered, not shuffled.
+    Rows that are equal in the key fall on the same side.
+    """
+    narrow = df.select(hashed.alias("_hash"), *key)
+    prefix, left, held = "", n, None
+    while n > 0 and (held is None or held > _BORDER_ROWS) and len(prefix) < 30:
+        width = len(prefix) + 3
+        bins = narrow.where(F.startswith("_hash", F.lit(prefix))).groupBy(
+            F.substring("_hash", 1, width).alias("p")).count().orderBy("p").collect()
+        for r in bins:
+            if left <= r["count"]:
+                prefix, held = r["p"], r["count"]
+                break
+            left -= r["count"]
+        else:
+            return F.lit(True)
+    if n <= 0:
+        return F.lit(False)
+    border = narrow.where(F.startswith("_hash", F.lit(prefix))).orderBy("_hash", *key).limit(left).collect()[-1]
+    place = F.struct(*[F.lit(border[k]).cast(df.schema[k].dataType).alias(k) for k in key])
+    same = (hashed == border["_hash"]) & (F.struct(*key) <= place)
+    return (hashed < border["_hash"]) | same
+
+
 def random_rows(df: DataFrame, n: int, seed: int, key: Sequence[str]) -> DataFrame:
     """n rows in hash order of the key; the same rows for any partitioning."""
-    hashed = df.withColumn("_hash", hash_order(seed, "sample", *[F.col(c) for c in key]))
-    return (
-        rank_by_hash(hashed, [], "_hash", tie=key, rank="_place", total="_all")
-        .where(F.col("_place") <= n).select(*df.columns)
-    )
+    return df.where(first_by_hash(df, n, hash_order(seed, "sample", *[F.col(c) for c in key]), key))
 
 
 def first_rows(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
@@ -232,13 +260,9 @@ def holdout_split(
     """Add ``split``: ceil(ratio * rows) rows, in hash order, are held out."""
     if ratio <= 0:
         return df.withColumn("split", F.lit("train"))
-    hashed = df.withColumn("_hash", hash_order(seed, "holdout", *[F.col(c) for c in key]))
-    ranked = rank_by_hash(hashed, [], "_hash", tie=key)
-    return ranked.select(
-        *df.columns,
-        F.when(F.col("hash_rank") <= F.ceil(F.col("group_size") * F.lit(ratio)), held)
-        .otherwise("train").alias("split"),
-    )
+    wanted = math.ceil(df.count() * ratio)
+    first = first_by_hash(df, wanted, hash_order(seed, "holdout", *[F.col(c) for c in key]), key)
+    return df.withColumn("split", F.when(first, held).otherwise("train"))
 
 
 def shuffled(items: Column, seed: int, purpose: str, *key: Column) -> Column:
