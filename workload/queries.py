@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.functions import prompts as P
@@ -33,9 +33,10 @@ from tracewright.plans.flows import (
 )
 from tracewright.plans.preparation import canonicalize_logs, label_logs, remaining_time_logs
 from tracewright.scale import BROADCAST_BYTES, broadcast_if_small, checkpoint, fresh_folder
-from tracewright.sources.readers import read_named
+from tracewright.sources.readers import read_corpus, read_csv, read_named, read_xes
+from tracewright.sources.writers import write_case_splits, write_corpus, write_samples
 from tracewright.schema import (
-    CASE, dataset_from_path, first_dataset_in_path, normalize_dataset_name,
+    CASE, dataset_from_path, event_log, first_dataset_in_path, normalize_dataset_name, unparsed_timestamps,
 )
 from workload import oracles as Q
 from workload.logs import NARRATIVES, all_logs, chat_log, item_log, order_log, table, user_log
@@ -1016,23 +1017,30 @@ def response_split(spark, sf):
 TOKENS = r"[\p{L}\p{M}\p{N}\p{Pc}]+|[^\p{L}\p{M}\p{N}\p{Pc}\s]"
 
 
-@register(Q.query(
-    f"""SELECT conv_id, turn, n_kept, n_masked, n_kept - n_masked AS loss_tokens, last_tokens FROM (SELECT conv_id, turn, least(n, 48) AS n_kept,
- greatest(least(p, n) - (n - least(n, 48)), 0) AS n_masked, array_to_string(t[-3:], ' ') AS last_tokens
- FROM (SELECT *, len(t) AS n, len(regexp_extract_all('### Instruction' || chr(10) || role || chr(10) || chr(10) || '### Response' || chr(10), '{TOKENS}')) AS p
-  FROM (SELECT c.*, v.role, regexp_extract_all(c.text, '{TOKENS}') AS t FROM c JOIN conversations v USING (conv_id, turn)))) WHERE n_kept > n_masked""",
-    c=CHAT_TEXT))
-def response_mask(spark, sf):
-    return _masked_words(chat_samples(spark, sf))
+def id_sql(text: str) -> str:
+    return f"list_transform(regexp_extract_all({text}, '{TOKENS}'), lambda w: CAST('0x' || substr(md5(w), 1, 6) AS BIGINT))"
+
 
+PROMPT_SQL = "'### Instruction' || chr(10) || role || chr(10) || chr(10) || '### Response' || chr(10)"
 
-def _masked_words(samples: DataFrame) -> DataFrame:
-    words = CP.word_tokens(F.col("text"))
-    out = CP.mask_prompt(samples, 48)
-    masked = F.size(F.filter("labels", lambda x: x == CP.IGNORED))
-    return out.select(
-        "conv_id", "turn", F.size("input_ids").alias("n_kept"), masked.alias("n_masked"), "loss_tokens",
-        F.array_join(F.slice(words, F.greatest(F.size(words) - 2, F.lit(1)), F.lit(3)), " ").alias("last_tokens"))
+
+def hashed_ids(text: Column) -> Column:
+    """A tokeniser that SQL can write too: a number from the hash of each word."""
+    return F.transform(CP.word_tokens(text), lambda w: F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("long"))
+
+
+@register(Q.query(
+    """SELECT conv_id, turn, array_to_string(kept, ' ') AS input_ids,
+ array_to_string(list_concat(list_transform(range(0, masked), lambda i: -100), kept[masked + 1:]), ' ') AS labels,
+ len(kept) - masked AS loss_tokens
+ FROM (SELECT *, greatest(least(p, len(ids)) - (len(ids) - len(kept)), 0) AS masked FROM (SELECT *, ids[-48:] AS kept FROM t))
+ WHERE len(kept) > masked""",
+    c=CHAT_TEXT, t=f"""SELECT conv_id, turn, {id_sql('c.text')} AS ids, len({id_sql(PROMPT_SQL)}) AS p
+ FROM c JOIN conversations v USING (conv_id, turn)"""))
+def response_mask(spark, sf):
+    out = CP.mask_prompt(chat_samples(spark, sf), 48, tokenizer=hashed_ids)
+    return out.select("conv_id", "turn", F.array_join("input_ids", " ").alias("input_ids"),
+                      F.array_join("labels", " ").alias("labels"), "loss_tokens")
 
 
 # ---- folders of logs -------------------------------------------------------
@@ -1108,3 +1116,99 @@ def score_missing(spark, sf):
     rows = checkpoint(evaluation_tasks(PX.add_candidates(rows, inventory, shuffle=False)).where(F.col("task") == P.NEXT))
     said = repeat_last_activity(rows).where("raw_output <> 'N/O'")
     return score(rows, said, inventory).select("case_id", "prefix_len", "prediction", "is_valid_parse", "is_correct")
+
+
+# ---- sources and sinks: a table written in the format, read back whole -----
+
+@register("SELECT CAST(event_id AS VARCHAR) AS event_id, event_type, props, value FROM events")
+def csv_sniffed(spark, sf):
+    """Semicolons, quotes and a Latin letter in Latin-1; separator and encoding are found."""
+    path = f"{fresh_folder(spark)}/log.csv"
+    rows = table(spark, sf, "events").select("event_id", "event_type", "props", "value", F.lit("é").alias("latin"))
+    rows.write.options(header=True, sep=";", quote='"', escape='"', encoding="ISO-8859-1").csv(path)
+    back = read_csv(spark, path).where("latin = 'é'")
+    return back.select(F.col("event_id").cast("string").alias("event_id"), "event_type", "props", F.col("value").cast("double").alias("value"))
+
+
+@register(Q.query("SELECT case_id, activity, ts, in_order FROM l", l=Q.E))
+def roles_by_name(spark, sf):
+    """Roles found by a part of the column's name."""
+    raw = user_log(spark, sf).select(
+        F.col("case_id").alias("The Case ID number"), F.col("activity").alias("the activity said"), F.col("ts").alias("its timestamp"), "in_order")
+    return event_log(raw, "events", substring_names=True).select("case_id", "activity", "ts", "in_order")
+
+
+@register("SELECT count(*) AS n_rows, count_if(event_type = 'error') AS n_unparsed FROM events")
+def lost_timestamps(spark, sf):
+    text = F.when(F.col("event_type") == "error", "someday").otherwise(F.col("ts").cast("string"))
+    return unparsed_timestamps(table(spark, sf, "events").withColumn("when", text), "when")
+
+
+@register(Q.query("SELECT case_id, activity, k, value FROM l", l=Q.E))
+def xes_scan(spark, sf):
+    """Every case as a trace of XES files; attributes come back with their types."""
+    def tags(key: str, value: Column) -> Column:
+        one = F.struct(F.lit(key).alias("_key"), value.cast("string").alias("_value"))
+        return F.filter(F.array(one), lambda x: x["_value"].isNotNull())
+
+    event = F.struct(tags("activity", F.col("activity")).alias("string"), tags("k", F.col("k")).alias("int"),
+                     tags("value", F.col("value")).alias("float"))
+    traces = user_log(spark, sf).groupBy("case_id").agg(F.collect_list(event).alias("event"))
+    path = f"{fresh_folder(spark)}/log.xes"
+    traces.select(tags("id", F.col("case_id")).alias("string"), "event").write.format("xml").options(
+        rootTag="log", rowTag="trace").save(path)
+    return read_xes(spark, path).select(F.col("`case:id`").alias("case_id"), "activity", "k", "value")
+
+
+@register("SELECT text FROM documents")
+def corpus_csv(spark, sf):
+    path = f"{fresh_folder(spark)}/train.csv"
+    write_corpus(table(spark, sf, "documents"), path)
+    return read_corpus(spark, path)["train"]
+
+
+@register("SELECT doc_id, text, CASE WHEN doc_id % 20 = 0 THEN 'validation' ELSE 'train' END AS split FROM documents")
+def corpus_folder(spark, sf):
+    """A corpus folder of two parts, one as JSON lines and one as Parquet."""
+    root, docs = fresh_folder(spark), table(spark, sf, "documents").select("doc_id", "text")
+    held = F.col("doc_id") % 20 == 0
+    docs.where(~held).write.json(f"{root}/train.jsonl")
+    docs.where(held).write.parquet(f"{root}/validation.parquet")
+    parts = read_corpus(spark, root)
+    return parts["train"].select("doc_id", "text", F.lit("train").alias("split")).unionByName(
+        parts["validation"].select("doc_id", "text", F.lit("validation").alias("split")))
+
+
+@register(Q.query(
+    f"SELECT conv_id, turn, text, {Q.json_list('[role, lang]')} AS candidates, role AS split FROM (SELECT *, 'x, y' AS lang FROM conversations)"))
+def samples_csv_and_jsonl(spark, sf):
+    """Samples in both formats, joined row by row: lists are JSON text in the one, lists in the other."""
+    root = fresh_folder(spark)
+    rows = table(spark, sf, "conversations").select(
+        "conv_id", "turn", "text", F.array(F.col("role"), F.lit("x, y")).alias("candidates"), F.col("role").alias("split"))
+    write_samples(rows, root, "both")
+    csv = spark.read.options(header=True, multiLine=True, quote='"', escape='"').csv(f"{root}/csv")
+    lines = spark.read.json(f"{root}/jsonl").select("conv_id", "turn", F.col("text").alias("t"), json_list(F.col("candidates")).alias("c"))
+    both = csv.withColumns({"conv_id": F.col("conv_id").cast("long"), "turn": F.col("turn").cast("long")}).join(lines, ["conv_id", "turn"])
+    return both.where("text = t AND candidates = c").select("conv_id", "turn", "text", "candidates", "split")
+
+
+@register(Q.query(
+    """SELECT s.split, l.case_id, l.in_order, l.activity FROM l JOIN split_cases s ON s.case_id = l.case_id""",
+    l=Q.L, **Q.cases("L"), **Q.split("cases", "label", 0.2, 2, "test", "label-split")))
+def case_split_files(spark, sf):
+    root = fresh_folder(spark)
+    parts = S.split_label_stratified(item_cases(spark, sf), 0.2, SEED)
+    write_case_splits(item_log(spark, sf).select(*CASE, "in_order", "activity"), parts, root)
+    back = spark.read.options(header=True, quote='"', escape='"').schema("case_id string, in_order long, activity string").csv(f"{root}/events")
+    return back.select("split", "case_id", "in_order", "activity")
+
+
+@register(Q.query(
+    f"""SELECT l.dataset, l.case_id, l.in_order, CASE WHEN v.value = 1 THEN 'success' ELSE 'failure' END AS label
+ FROM l JOIN ({LOOKUP_SQL}) v ON v.case_id = l.case_id WHERE v.value IS NOT NULL""", l=Q.L))
+def labelled_only(spark, sf):
+    """Events of cases whose rule gives a label; the others are dropped."""
+    urgent = OUT.case_outcomes(order_log(spark, sf), {"orders": OUT.Contains("urgent", ["1-urgent"])})
+    rule = {"lineitem": OUT.Lookup("urgent in orders", labels=urgent)}
+    return OUT.label_outcomes(item_log(spark, sf), rule, drop_unlabeled=True).select("dataset", "case_id", "in_order", "label")
