@@ -139,7 +139,7 @@ class Bpe:
     def _pieces(self, text: str) -> list[str]:
         """Pre-tokens; control strings stand alone, as the library has it by default."""
         pieces: list[str] = []
-        for part in self.parts.split(text) if "<|" in text else (text,):
+        for part in self.parts.split(text) if any(t in text for t in self.special) else (text,):
             if part in self.special:
                 pieces.append(part)
             elif SIMPLE.search(part) is None:
