@@ -203,10 +203,13 @@ def _stratified(
     held_out = (size >= smallest) & (F.col("hash_rank") <= wanted)
     marked = ranked.withColumn("_held", held_out)
     # Datasets with nothing held out give their first case, if they have two.
-    lacking = marked.groupBy("dataset").agg(
-        F.max("_held").alias("_some"), F.count("*").alias("_cases"),
-        F.min(F.struct("_hash", "case_id")).alias("_first"),
-    ).where("not _some and _cases > 1").select("dataset", F.col("_first")["case_id"].alias("_moved"))
+    # A stratum of ``smallest`` holds some out, so counts tell which; no rank is needed.
+    lacking = hashed.groupBy("dataset", stratum).agg(
+        F.count("*").alias("_n"), F.min(F.struct("_hash", "case_id")).alias("_first"),
+    ).groupBy("dataset").agg(
+        F.max("_n").alias("_largest"), F.sum("_n").alias("_cases"), F.min("_first").alias("_first"),
+    ).where((F.col("_largest") < smallest) & (F.col("_cases") > 1)).select(
+        "dataset", F.col("_first")["case_id"].alias("_moved"))
     return marked.join(broadcast_if_small(lacking), "dataset", "left").select(
         *cases.columns,
         F.when(F.col("_held") | (F.col("case_id") == F.coalesce("_moved", F.lit(None))), held)

@@ -510,9 +510,9 @@ def labelled_items(spark: SparkSession, sf: str) -> DataFrame:
     return OUT.label_outcomes(item_log(spark, sf), {"lineitem": view_rules()["lineitem"]})
 
 
-def item_cases(spark: SparkSession, sf: str) -> DataFrame:
+def item_cases(spark: SparkSession, sf: str, hot=None) -> DataFrame:
     """Labelled cases of L, narrow rows that are frozen because several steps read them."""
-    return labelled_cases(item_log(spark, sf), item_labels(spark, sf), items_hot(spark, sf))
+    return labelled_cases(item_log(spark, sf), item_labels(spark, sf), hot or items_hot(spark, sf))
 
 
 def item_labels(spark: SparkSession, sf: str) -> DataFrame:
@@ -711,11 +711,11 @@ PROMPT_ROWS = {
 
 
 def item_prompts(spark: SparkSession, sf: str, block: bool = False) -> DataFrame:
-    cases = checkpoint(S.split_label_stratified(item_cases(spark, sf), 0.2, SEED))
-    log = item_log(spark, sf)
+    log, hot = item_log(spark, sf), items_hot(spark, sf)
+    cases = checkpoint(S.split_label_stratified(item_cases(spark, sf, hot), 0.2, SEED))
     return evaluation_prompts(
         log, cases.where(F.col("split") == "test"), checkpoint(CN.activity_inventory(log)), NARRATIVES,
-        RULE_TEXTS, EvaluationSettings(candidate_block=block, seed=SEED), items_hot(spark, sf))
+        RULE_TEXTS, EvaluationSettings(candidate_block=block, seed=SEED), hot)
 
 
 @register(Q.query(
@@ -740,7 +740,7 @@ def candidate_universe(spark, sf):
 def baseline_predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Repeat the last activity; mean days and majority outcome of the train cases."""
     log, hot = item_log(spark, sf), items_hot(spark, sf)
-    cases = checkpoint(S.split_label_stratified(item_cases(spark, sf), 0.2, SEED))
+    cases = checkpoint(S.split_label_stratified(item_cases(spark, sf, hot), 0.2, SEED))
     inventory = checkpoint(CN.activity_inventory(log))
     rows = PX.all_examples(
         log, cases.withColumnRenamed("label", "final_outcome"), NARRATIVES, story=False, hot=hot)
