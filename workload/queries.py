@@ -904,14 +904,30 @@ def with_candidates(rows: DataFrame, names: DataFrame) -> DataFrame:
     return rows.join(broadcast_if_small(prepared, max_bytes=BROADCAST_BYTES), "dataset")
 
 
-@register()
+ORIGIN_SQL = "'from source ' || repeat(chr(97 + CAST(substr(source, 4) AS INT)), 4) || ' in ' || lang || lang"
+
+
+@register(f"""SELECT doc_id, CASE WHEN doc_id % 5 = 4 OR (doc_id % 5 = 2 AND langs > 1) THEN '__INVALID__' ELSE {ORIGIN_SQL} END AS prediction,
+ NOT (doc_id % 5 = 4 OR (doc_id % 5 = 2 AND langs > 1)) AS is_valid_parse
+ FROM documents JOIN (SELECT source, count(DISTINCT lang) AS langs FROM documents GROUP BY 1) USING (source)""")
 def parse_categorical_text(spark, sf):
-    """Whole conversation turns read as answers; all sources and languages are candidates."""
-    names = table(spark, sf, "documents").groupBy(F.lit("chat").alias("dataset")).agg(
-        F.array_sort(F.array_union(F.collect_set("source"), F.collect_set("lang"))).alias("names"))
-    turns = table(spark, sf, "conversations").withColumn("dataset", F.lit("chat"))
-    return parse_categorical(with_candidates(turns, names), "text", "cands").select(
-        "conv_id", "turn", "prediction", "is_valid_parse")
+    """The origin of each document told so that each rule decides some rows.
+
+    Equal after a lead-in; contained; by its first words, which other languages of
+    the source share; with two letters changed over, which leaves 23 of 24 letters
+    in order against 22 at most for any other name; and not at all.
+    """
+    letter = F.chr(F.substring("source", 4, 9).cast("int") + 97)
+    start = F.concat(F.lit("from source "), F.repeat(letter, F.lit(4)))
+    docs = table(spark, sf, "documents").withColumns({
+        "dataset": F.lit("docs"), "name": F.concat(start, F.lit(" in "), "lang", "lang")})
+    names = docs.groupBy("dataset").agg(F.sort_array(F.collect_set("name")).alias("names"))
+    way = F.col("doc_id") % 5
+    raw = F.when(way == 0, F.concat(F.lit("The prediction is: "), F.upper("name"))).when(
+        way == 1, F.concat(F.lit("they said "), "name", F.lit(" again"))).when(way == 2, start).when(
+        way == 3, F.replace("name", F.lit("from"), F.lit("frmo"))).otherwise(F.lit("no idea at all"))
+    return parse_categorical(with_candidates(docs.withColumn("raw", raw), names), "raw", "cands").select(
+        "doc_id", "prediction", "is_valid_parse")
 
 
 @register(f"""SELECT event_id, CASE WHEN event_id % 5 = 3 OR (event_id % 5 = 4 AND event_type <> 'purchase')
