@@ -181,6 +181,16 @@ def test_rule_columns_by_other_spellings(spark):
         assert got == {"1": 1, "2": 0}, dataset
 
 
+def test_unclear_labels_are_left_out_or_refused(spark):
+    rows = [(c, i, w) for c, words in (("1", ["success"] * 3), ("2", ["success", "failure", "success"]), ("3", ["success", "perhaps", None]))
+            for i, w in enumerate(words)]
+    log = spark.createDataFrame(rows, "case_id string, in_order long, label string").withColumns({
+        "dataset": F.lit("d"), "activity": F.lit("a"), "ts": F.lit(None).cast("timestamp")})
+    assert [r["case_id"] for r in flows.labelled_cases(log).collect()] == ["1"]
+    with pytest.raises(ValueError, match="clear outcome"):
+        flows.labelled_cases(log, strict=True)
+
+
 def test_every_prompt_is_scored(spark):
     prompts = spark.createDataFrame(
         [("d", NEXT, "1", 2, "pay"), ("d", NEXT, "2", 2, "pay"), ("d", TIME, "1", 2, "3")],

@@ -43,12 +43,14 @@ def case_table(ordered: DataFrame, min_events: int = 3, label: str | None = "lab
     ]
     if label:
         good = label_word(F.col(label)) == "success"
-        aggs += [F.min(good).alias("_low"), F.max(good).alias("_high")]
+        unknown = F.count_if(F.col(label).isNotNull() & good.isNull())
+        aggs += [F.min(good).alias("_low"), F.max(good).alias("_high"), unknown.alias("_unknown")]
     cases = ordered.groupBy(*CASE).agg(*aggs).where(F.col("trace_len") >= min_events)
     if not label:
         return cases
     word = F.when(F.col("_low"), "success").otherwise("failure")
-    return cases.where("_low = _high").withColumn("label", word).drop("_low", "_high")
+    clear = cases.where("_low = _high AND _unknown = 0").withColumn("label", word)
+    return clear.drop("_low", "_high", "_unknown")
 
 
 def variant_texts(ordered: DataFrame, block: int = BLOCK_EVENTS) -> DataFrame:

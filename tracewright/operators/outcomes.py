@@ -293,8 +293,9 @@ def case_outcomes(events: DataFrame, rules: Mapping[str, Rule]) -> DataFrame:
         extra = rule.extra(acts.where(mine))
         if extra is not None:
             extras = extra if extras is None else extras.unionByName(extra, allowMissingColumns=True)
-    if "last_good" in inputs:
-        acts = acts.withColumn("_place", _event_number())
+    last = [d for d, r in rules.items() if "last_good" in r.slots(events)]
+    if last:  # wide numbers only where a rule looks at the last event
+        acts = acts.withColumn("_place", F.when(F.col("dataset").isin(last), _event_number()))
     inputs = inputs or {"any_good": F.lit(None)}
     out = acts.groupBy(*CASE).agg(*[
         _SLOTS[slot][1](col.cast(_SLOTS[slot][0])).alias(slot) for slot, col in inputs.items()

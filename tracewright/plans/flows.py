@@ -19,7 +19,7 @@ from tracewright.operators.metrics import (
 from tracewright.operators.ordering import (
     HotCases, add_remaining_time, find_hot_cases, order_events,
 )
-from tracewright.operators.outcomes import Rule, label_outcomes
+from tracewright.operators.outcomes import check_labels, Rule, label_outcomes
 from tracewright.operators.prefixes import (
     DEFAULT_RATIOS, add_candidates, all_examples, cap_prefixes, plan_prefixes, planned_examples,
 )
@@ -86,6 +86,7 @@ class InstructionSettings:
     intro: bool = True
     quote: bool = True
     variant_text: bool = True
+    strict: bool = False
     seed: int = 3407
 
 
@@ -116,10 +117,16 @@ def instruction_data(
 
 
 def labelled_cases(
-    events: DataFrame, labels: DataFrame | None = None, hot: HotCases | None = None
+    events: DataFrame, labels: DataFrame | None = None, hot: HotCases | None = None, strict: bool = False
 ) -> DataFrame:
-    """Narrow case rows with one outcome each, frozen because several steps read them."""
+    """Narrow case rows with one outcome each, frozen because several steps read them.
+
+    Cases without one clear outcome are left out, or refused when ``strict``.
+    """
     if labels is None:
+        problems = check_labels(events).limit(3).collect() if strict else []
+        if problems:
+            raise ValueError(f"cases without one clear outcome: {[tuple(r) for r in problems]}")
         return checkpoint(case_table(order_events(events, hot)))
     cases = case_table(order_events(events, hot), label=None)
     return checkpoint(cases.join(labels.select(*CASE, "label"), CASE).where("label is not null"))
@@ -130,7 +137,7 @@ def choose_cases(
     labels: DataFrame | None = None,
 ) -> DataFrame:
     """Labelled cases, capped over variants and split into train and validation."""
-    cases = labelled_cases(events, labels, hot)
+    cases = labelled_cases(events, labels, hot, s.strict)
     return split_variant_stratified(
         cap_cases(cases, s.max_cases, s.seed), s.validation_ratio, s.seed
     )
@@ -146,6 +153,7 @@ class EvaluationSettings:
     system_prompt: bool = True
     intro: bool = True
     quote: bool = True
+    strict: bool = False
     seed: int = 3407
     tasks: list[str] = field(default_factory=lambda: [
         "next_activity_prediction", "remaining_time_prediction", "final_outcome_prediction",
@@ -188,7 +196,7 @@ def evaluate(
     """
     hot = find_hot_cases(events)
     cases = checkpoint(split_label_stratified(
-        labelled_cases(events, labels, hot), s.test_ratio, s.seed
+        labelled_cases(events, labels, hot, s.strict), s.test_ratio, s.seed
     ))
     inventory = checkpoint(activity_inventory(events))
     test = cases.where(F.col("split") == "test")
