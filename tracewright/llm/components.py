@@ -33,6 +33,7 @@ def components(edges: DataFrame) -> DataFrame:
     no rows.
     """
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct()
+    edges = checkpoint(edges)  # what made them runs once
     before = None
     while True:
         edges = checkpoint(_small_star(_large_star(edges)))

@@ -127,14 +127,25 @@ def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [pa.array(key), pa.array(spent), pa.array(part[row])], ["anchor", "spent", "fp"])
 
 
-def _divide_hot(replicas: DataFrame) -> DataFrame:
+def _homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    first = _patterns()[0][1]  # one pattern for each syndrome: from a half to its codeword
+    mask = (1 << HALF) - 1
+    for b in batches:
+        fp = b.column(0).to_numpy()
+        halves = [fp & mask, fp >> HALF & mask]
+        low, high = (h ^ first[_syndrome(h, _syndromes())] for h in halves)
+        yield pa.RecordBatch.from_arrays([pa.array(low | high << HALF)], ["anchor"])
+
+
+def _divide_hot(replicas: DataFrame, fps: DataFrame) -> DataFrame:
     """Adds ``part``: null, or at anchors with many at home a value of the other 18 bits.
 
     There a fingerprint at home has one part, and the others go to each part that the
     bits they have not spent allow. So no group of an anchor grows without bound: all
     that share an anchor and a part differ within two 23-bit halves.
     """
-    hot = replicas.where("spent = 0").groupBy("anchor").count().where(F.col("count") > HOT_HOMES)
+    homes = fps.select("fp").mapInArrow(_homes, "anchor long")
+    hot = homes.groupBy("anchor").count().where(F.col("count") > HOT_HOMES)
     hot = checkpoint(hot.select("anchor"))
     if hot.isEmpty():
         return replicas.withColumn("part", F.lit(None).cast("long"))
@@ -211,7 +222,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_links(fps: DataFrame) -> DataFrame:
     """Pairs (u, v) of distinct fingerprints (``fp``) that connect all within the threshold."""
     replicas = fps.select("fp").mapInArrow(_replicate, "anchor long, spent int, fp long")
-    replicas = _divide_hot(replicas)
+    replicas = _divide_hot(replicas, fps)
     dealt = replicas.select("anchor", "part", "spent", "fp").repartition("anchor", "part")
     found = dealt.sortWithinPartitions("anchor", "part", "spent", "fp").mapInArrow(_compare, "u long, v long")
     return found.distinct()
