@@ -12,7 +12,7 @@ from tracewright.llm.chat import CHATML, format_conversations, loss_text, read_t
 from tracewright.llm.common import free_name, words
 from tracewright.llm.exact import build_slots, exact_dedup, find_slots
 from tracewright.llm.hosts import host_of, host_rules
-from tracewright.llm.langid import UNKNOWN, identify, learn
+from tracewright.llm.langid import UNKNOWN, has_letter, identify, learn
 from tracewright.llm.packing import best_two_fit, pack, pieces
 from tracewright.llm.pages import Page, main_texts
 from tracewright.llm.pii import replace_personal_data
@@ -211,6 +211,7 @@ def test_language(spark, docs):
     assert all(out[k].lang_pred in ("de", "en") and 0 < out[k].score <= 1 for k in (5, 7, 8, 9))
     test = spark.createDataFrame([(1, "the cat sat"), (2, "der Hund lief")], "doc_id long, text string")
     assert [r.lang_pred for r in identify(test, net, "doc_id").orderBy("doc_id").collect()] == ["en", "de"]
+    assert [has_letter(x) for x in ("\u00b2 \u00bd 12_", "\u2167 a", "\u4e2d", "")] == [False, True, True, False]
     none = learn(docs.where("lang IS NULL"), key="doc_id")
     assert {r.lang_pred for r in identify(docs, none, "doc_id").collect()} == {UNKNOWN}
     assert identify(docs.limit(0), net, "doc_id").count() == 0

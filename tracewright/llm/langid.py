@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import pickle
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -21,7 +20,6 @@ SAMPLE = 1_000  # labelled documents per language to learn from, at most
 CUTS = (128, 128, 48, 16)  # characters of the windows taken from each of them
 STEPS = 500  # of training at least
 CHUNK = 256  # windows computed at once
-LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
 
@@ -132,7 +130,7 @@ class Reader:
             while stop < len(texts) and (stop == start or size < 1 << 22):
                 size += len(texts[stop] or "")
                 stop += 1
-            known = [i for i in range(start, stop) if texts[i] and LETTER.search(texts[i])]
+            known = [i for i in range(start, stop) if texts[i] and has_letter(texts[i])]
             start = stop
             if not known:
                 continue
@@ -149,6 +147,10 @@ class Reader:
         return labels, scores
 
 
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
 def windows(raw: list[bytes]) -> np.ndarray:
     """All bytes of non-empty texts, each cut into windows; the last is padded with zeros."""
     padded = b"".join(r.ljust(-(-len(r) // WINDOW) * WINDOW, b"\0") for r in raw)
@@ -179,7 +181,7 @@ def learn(labelled: DataFrame, key: str = "id", text: str = "text", lang: str =
     for r in found:
         if taken[r["lang"]] < sample:
             taken[r["lang"]] += 1
-            kept += [(w, r["lang"]) for w in r[2:] if w and LETTER.search(w)]
+            kept += [(w, r["lang"]) for w in r[2:] if w and has_letter(w)]
     labels = sorted({k for _, k in kept})
     net = ByteCnn.new(labels)
     if len(labels) > 1:
