@@ -40,8 +40,9 @@ PATTERNS: dict[str, str] = {
     "woman": WORD + WOMEN + NAMES,
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-# What a text without any mention mostly lacks: a digit, or a title before a name.
-HINT = r"\d|" + WORD + f"(?:{MEN}|{WOMEN})" + r"\.? \p{Lu}|@"
+# What each mention holds: a digit, an @, a title before a name, or the sign of a secret, key or ip6.
+HINT = (r"\d|@|" + WORD + f"(?:{MEN}|{WOMEN})" + r"\.? \p{Lu}|" + SECRET + r"[\"']?\s{0,3}[:=]"
+        r"|AKIA|ASIA|gh[pousr]_|sk-|pk-|xox[abp]-|[0-9A-Fa-f]:[0-9A-Fa-f]|::")
 
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 CYRILLIC = "".join(map(chr, range(0x430, 0x450)))
