@@ -17,20 +17,30 @@ from tracewright.llm.common import full_text
 from tracewright.scale import checkpoint
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-MEN = r"(?:Mr|Herrn?|Monsieur|M|Señor|Sr|г-н|господин)"
-WOMEN = r"(?:Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|г-жа|госпожа)"
-NAMES = r"\.? \p{Lu}\p{Ll}+(?:[ -]\p{Lu}\p{Ll}+){0,2}(?!\p{L})"
+DOCTOR = r"(?:Dr|Doctor|Doktor|Docteur|доктор)"
+PROFESSOR = r"(?:Prof|Professor|Professorin|Professeure?|Profesora?|профессор)"
+LEARNED = rf"(?:\.? (?:{DOCTOR}|{PROFESSOR})){{0,2}}"  # between a title and its name
+MEN = r"(?:Mr|Mister|Sir|Lord|Herrn?|Hr|Monsieur|M|Señor|Sr|Don|г-н|господин)" + LEARNED
+WOMEN = r"(?:Mrs|Ms|Miss|Madam|Lady|Frau|Madame|Mme|Mademoiselle|Mlle|Señora|Señorita|Sra|Srta|Doña|г-жа|госпожа)" + LEARNED
+ONE_NAME = r"\.? \p{Lu}\p{Ll}+"
+NAMES = ONE_NAME + r"(?:[ -]\p{Lu}\p{Ll}+){0,2}(?!\p{L})"
+# Who bears a learned title alone; after a doctor's two names at least, as "Dr Who" is left.
+PERSON = f"(?:{PROFESSOR}{LEARNED}|{DOCTOR}{LEARNED}(?={ONE_NAME}[ -]\\p{{Lu}}\\p{{Ll}}))"
 WORD = r"(?<![\p{L}\p{N}])"
 SECRET = r"(?i:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)"
+HEX = "[0-9A-Fa-f]{1,4}"
 
 # One entity type per pattern; earlier ones win. A pattern holds no capturing group.
 PATTERNS: dict[str, str] = {
-    "secret": WORD + SECRET + r"[\"']?\s{0,3}[:=]\s{0,3}[\"']?(?=[^\s\"',;]*\d)[^\s\"',;!?*#&%$|]{6,}",
+    "secret": WORD + SECRET + r"[\"']?\s{0,3}[:=]\s{0,3}[\"']?"
+              r"(?:(?=[^\s\"',;]*\d)[^\s\"',;!?*#&%$|]{6,}|[^\s\"',;!?*#&%$|]{8,})",
     "key": WORD + r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![\p{L}\p{N}])|" + WORD
            + r"(?:gh[pousr]_|sk-|pk-|xox[abp]-)[A-Za-z0-9_-]{16,}",
     "email": r"(?<![\p{L}\p{N}._+-])[\p{L}\p{N}][\p{L}\p{N}._+-]*+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+){0,20}\.\p{L}{2,}",
     "ip": r"(?<![\p{L}\p{N}.])" + OCTET + r"(?:\." + OCTET + r"){3}(?![\p{L}\p{N}]|\.\d)",
-    "ip6": r"(?<![\p{L}\p{N}:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\p{L}\p{N}:])",
+    # Compressed ones hold a digit, or a group of three, unlike most paths of program names.
+    "ip6": rf"(?<![\p{{L}}\p{{N}}:])(?:(?:{HEX}:){{7}}{HEX}|(?=[0-9A-Fa-f:]*(?:\d|[0-9A-Fa-f]{{3}}))"
+           rf"(?:(?:{HEX}:){{1,6}}(?::{HEX}){{1,6}}|(?:{HEX}:){{1,7}}:|:(?::{HEX}){{1,7}}))(?![\p{{L}}\p{{N}}:])",
     "iban": WORD + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "card": r"(?<![\p{L}\p{N}+.-])(?:\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}|\d{4}[ -]?\d{6}[ -]?\d{5})(?![\p{L}\p{N}])",
     "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
@@ -38,10 +48,13 @@ PATTERNS: dict[str, str] = {
              r"|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\p{L}\p{N}])",
     "man": WORD + MEN + NAMES,
     "woman": WORD + WOMEN + NAMES,
+    "person": WORD + PERSON + NAMES,
 }
+NAMED = ("man", "woman", "person")
+TITLES = f"(?:{MEN}|{WOMEN}|{PERSON})"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 # What each mention holds: a digit, an @, a title before a name, or the sign of a secret, key or ip6.
-HINT = (r"\d|@|" + WORD + f"(?:{MEN}|{WOMEN})" + r"\.? \p{Lu}|" + SECRET + r"[\"']?\s{0,3}[:=]"
+HINT = (r"\d|@|" + WORD + TITLES + r"\.? \p{Lu}|" + SECRET + r"[\"']?\s{0,3}[:=]"
         r"|AKIA|ASIA|gh[pousr]_|sk-|pk-|xox[abp]-|[0-9A-Fa-f]:[0-9A-Fa-f]|::")
 
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -63,6 +76,7 @@ GIVEN = {
                      "Раиса", "Таисия"],
     },
 }
+GIVEN["any"] = {"latin": GIVEN["man"]["latin"] + GIVEN["woman"]["latin"]}
 # Surnames are built from syllables; each attempt adds one, so they never run out.
 SYLLABLES = {
     "latin": ["ba", "del", "fen", "gor", "hal", "kar", "lin", "mor", "nel", "par", "ros", "sten", "tal", "ver", "win", "zan"],
@@ -87,14 +101,15 @@ def kind_of(mention: Column) -> Column:
 def _prefix(kind: Column, mention: Column) -> Column:
     """The part of a mention that stays: the name of a secret, a title."""
     return F.when(kind == "secret", F.regexp_extract(mention, "^(" + SECRET + r"[\"']?\s{0,3}[:=]\s{0,3}[\"']?)", 1)).when(
-        kind.isin("man", "woman"), F.regexp_extract(mention, rf"^(?:{MEN}|{WOMEN})\.? ", 0)).otherwise("")
+        kind.isin(*NAMED), F.regexp_extract(mention, rf"^{TITLES}\.? ", 0)).otherwise("")
 
 
 def parts_of(mention: Column) -> Column:
     """Array of (kind, entity, raw, before): what to replace in a mention and what stands before it.
 
     A name has one part per word: its last word is a surname, which has the gender of
-    the title only in Cyrillic; the others are given names.
+    the title only in Cyrillic; the others are given names. Behind a learned title alone
+    a Cyrillic name has the gender of its end, another one has none.
     """
     kind = kind_of(mention)
     before = _prefix(kind, mention)
@@ -104,18 +119,18 @@ def parts_of(mention: Column) -> Column:
         kind == "phone", F.regexp_replace(rest, "[^0-9+]", "")).when(kind == "ip6", F.lower(rest)).otherwise(rest)
     one = F.array(F.struct(kind.alias("kind"), plain.alias("entity"), rest.alias("raw"), before.alias("before")))
     words = F.split(rest, "[ -]")
-    gender = F.when(kind == "man", "man").otherwise("woman")
-
     def name_part(word: Column, i: Column) -> Column:
         script = F.when(word.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
         last = i == F.size(words) - 1
+        shown = F.when(word.rlike("[ая]$"), "woman").when(script == "cyrillic", "man").otherwise("any")
+        gender = F.when(kind != "person", kind).otherwise(shown)
         role = F.when(last & (script == "latin"), F.lit("surname latin any")).when(
             last, F.concat(F.lit("surname cyrillic "), gender)).otherwise(F.concat_ws(" ", F.lit("given"), script, gender))
         between = F.when(i == 0, before).otherwise(
             F.substr(rest, F.char_length(F.array_join(F.slice(words, 1, i), " ")) + 1, F.lit(1)))
         return F.struct(role.alias("kind"), word.alias("entity"), word.alias("raw"), between.alias("before"))
 
-    return F.when(kind.isin("man", "woman"), F.transform(words, name_part)).otherwise(one)
+    return F.when(kind.isin(*NAMED), F.transform(words, name_part)).otherwise(one)
 
 
 def _pick(letters: str, seed: Column, i: Column) -> Column:
@@ -182,7 +197,7 @@ def surrogate(kind: Column, entity: Column, attempt: Column, secret: str) -> Col
     out = out.when(kind == "key", _letters(entity, seed, keep=4)).when(kind == "ip6", _letters(entity, seed, hexes=True))
     for role, by in (("given", _given), ("surname", _surname)):
         for script in ("latin", "cyrillic"):
-            for gender in ("man", "woman") if role == "given" or script == "cyrillic" else ("any",):
+            for gender in ("any",) if (role, script) == ("surname", "latin") else ("man", "woman", "any") if script == "latin" else ("man", "woman"):
                 out = out.when(kind == f"{role} {script} {gender}", by(script, gender, seed, attempt))
     return out.when(entity.rlike("^[0-9a-fA-F]+$"), _letters(entity, seed, hexes=True)).otherwise(_letters(entity, seed))
 
@@ -240,6 +255,9 @@ def replace_personal_data(
     get the same text; an empty table gives an empty one. Whole texts are read. Extra
     columns are kept (an own ``count_col`` is overwritten); ids play no part.
 
+    A name of a text is also replaced where it stands there again without a title, by
+    the surrogate of its first mention, word by word.
+
     Mentions are taken once per distinct text, so copies are cheap, and are joined to
     their surrogates; the join back is on the text's digest, and Spark splits its hot
     side. Texts without mentions are not shuffled.
@@ -252,16 +270,37 @@ def replace_personal_data(
     flat = lists.select("digest", F.posexplode("m").alias("pos", "mention"))
     flat = flat.select("digest", "pos", F.posexplode(parts_of(F.col("mention"))).alias("k", "part")).select("digest", "pos", "k", "part.*")
     entities = assign(flat.select("kind", "entity").distinct(), secret)
-    names = entities.select(F.col("kind").alias("e_kind"), F.col("entity").alias("e"), "drawn")
+    # A given name without a gender is that of a man or woman, if the corpus has one.
+    titled = entities.where(F.col("kind").isin("given latin man", "given latin woman")).groupBy(F.col("entity").alias("known")).agg(
+        F.min(F.struct("kind", "drawn"))["drawn"].alias("as"))
+    names = entities.join(titled, (F.col("kind") == "given latin any") & (F.col("entity") == F.col("known")), "left").select(
+        F.col("kind").alias("e_kind"), F.col("entity").alias("e"), F.coalesce("as", "drawn").alias("drawn"))
+    is_name = F.col("kind").rlike("^(given|surname) ")
     told = flat.join(names, (F.col("kind") == F.col("e_kind")) & (F.col("entity") == F.col("e"))).select(
-        "digest", "pos", "k", F.concat("before", _dress(F.col("kind"), F.col("raw"), F.col("drawn"))).alias("said"))
-    told = told.groupBy("digest", "pos").agg(F.sort_array(F.collect_list(F.struct("k", "said"))).alias("said"))
-    told = told.select("digest", "pos", F.array_join(F.col("said.said"), "").alias("said"))
-    told = told.groupBy(F.col("digest").alias("of")).agg(F.sort_array(F.collect_list(F.struct("pos", "said"))).alias("said"))
+        "digest", "pos", "k", F.concat("before", _dress(F.col("kind"), F.col("raw"), F.col("drawn"))).alias("said"),
+        F.when(is_name, F.struct(F.col("raw").alias("word"), "drawn")).alias("name"))
+    told = told.groupBy("digest", "pos").agg(F.sort_array(F.collect_list(F.struct("k", "said", "name"))).alias("said"))
+    told = told.select("digest", "pos", F.array_join(F.col("said.said"), "").alias("said"), F.col("said.name").alias("names"))
+    told = told.groupBy(F.col("digest").alias("of")).agg(F.sort_array(F.collect_list(F.struct("pos", "said", "names"))).alias("said"))
+    told = told.withColumn("names", F.filter(F.flatten("said.names"), lambda x: x.isNotNull()))
     back = found.drop("m").join(told, F.col("digest") == F.col("of"))
-    gaps = F.split("t", ANY, -1)
-    woven = F.zip_with(gaps, F.col("said.said"), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    back = back.select("doc", F.array_join(woven, "").alias("new"), "n")
+    back = back.select("doc", "n", "names", F.col("said.said").alias("said"), F.split("t", ANY, -1).alias("gaps"))
+    words = F.array_join(F.array_distinct("names.word"), "|")
+    again = F.concat(F.lit(WORD + "(?:"), words, F.lit(r")(?![\p{L}\p{N}])"))
+    back = back.withColumn("again", F.when(F.size("names") > 0, again))
+    back = back.withColumn("hits", F.transform("gaps", lambda g: F.regexp_extract_all(g, F.col("again"), F.lit(0))))
+
+    def repeats(gap: Column, hits: Column) -> Column:
+        def put(a: Column, hit: Column) -> Column:
+            at = F.array_position(F.col("names.word"), hit).cast("int") - 1
+            return F.concat(a, F.coalesce(F.get(F.col("names.drawn"), at), F.lit("")))
+
+        return F.when(F.size(hits) > 0, F.array_join(F.zip_with(F.split(gap, F.col("again"), -1), hits, put), "")).otherwise(gap)
+
+    gaps = F.zip_with("gaps", "hits", repeats)
+    woven = F.zip_with(gaps, "said", lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    more = F.aggregate("hits", F.lit(0).cast("long"), lambda n, h: n + F.greatest(F.coalesce(F.size(h), F.lit(0)), F.lit(0)))
+    back = back.select("doc", F.array_join(woven, "").alias("new"), (F.col("n") + more).alias("n"))
     out = quiet.unionByName(back).select(F.col("doc").withField(text_col, F.col("new")).withField(count_col, F.col("n")).alias("doc"))
     return Replaced(out.select("doc.*"), entities)
 
