@@ -276,6 +276,14 @@ def test_page():
     assert len(Page("<p>word " * 50_000).blocks) == 50_000
 
 
+def test_svg_and_math_cut_nothing():
+    rest = "<p>behind</p></article>"
+    assert Page('<article><p>a <svg class="i"/> b <math/> c</p>' + rest).main_text() == "a b c\n\nbehind"
+    assert Page("<article><p>a <svg><svg><text>x</text></svg><g/></svg> b</p>" + rest).main_text() == "a b\n\nbehind"
+    assert Page("<article><p>a <math><mi>x</mi><mo>=</mo><mn>1</mn></math> b</p>" + rest).main_text() == "a x=1 b\n\nbehind"
+    assert Page("<article><p>a <svg> b</p>" + rest).main_text() == "a b\n\nbehind"
+
+
 def test_repeated_branches_go(spark):
     rows = [(i, "http://h.example/x", f"<body><div class=top><p>Same words on each page</p></div><div class=main><p>Own text {i}</p></div>") for i in range(20)]
     rows += [(100, "http://few.example/", "<div class=top><p>Same words on each page</p></div>"), (101, None, None), (102, "", "")]

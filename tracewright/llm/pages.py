@@ -30,10 +30,12 @@ TAG = re.compile(
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea xmp iframe noembed noframes noscript template svg math".split())
+RAW = frozenset("script style title textarea xmp iframe noembed noframes noscript template svg".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small "
-    "span strike strong sub sup time tt u var wbr".split())
+    "span strike strong sub sup time tt u var wbr "
+    "math mi mo mn ms mtext mspace mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mpadded "
+    "mfenced menclose semantics annotation".split())
 # Without importance by tag, role or name. A page's own header goes; an article's stays.
 DROPPED = frozenset("head nav footer aside form button select option menu dialog object canvas audio video fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -93,6 +95,19 @@ def _boilerplate(tag: str, attributes: dict[str, str], level: int) -> bool:
     return not names.isdisjoint(COMMENTS if tag in LANDMARKS else NAMES)
 
 
+def _after_svg(html: str, m: re.Match[str]) -> int:
+    """Where the text goes on behind an svg start tag: behind its own end, or behind the tag if it has none."""
+    start, depth = m.end(), 1
+    if (m[3] or "").endswith("/"):
+        return start
+    for t in TAG.finditer(html, start):
+        if t[2] and t[2].lower() == "svg" and not (t[3] or "").endswith("/"):
+            depth += -1 if t[1] else 1
+            if not depth:
+                return t.end()
+    return start
+
+
 class Page:
     """Blocks of a page in order, and for each path the child elements it has there."""
 
@@ -112,9 +127,13 @@ class Page:
                 tag = m[2].lower()
                 if m[1]:
                     self._close(tag)
+                elif tag == "svg":
+                    at = _after_svg(html, m)
                 elif tag in RAW:
                     shut = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(html, at)
                     at = shut.end() if shut else end
+                elif tag == "math" and (m[3] or "").endswith("/"):
+                    pass
                 else:
                     self._open(tag, m[3] or "")
         if at < end:
