@@ -284,6 +284,14 @@ def test_svg_and_math_cut_nothing():
     assert Page("<article><p>a <svg> b</p>" + rest).main_text() == "a b\n\nbehind"
 
 
+def test_ids_of_headings_are_no_boilerplate():
+    for tag, name in (("h2", "related-work"), ("section", "social-policy"), ("div", "menu-of-methods")):
+        assert Page(f'<article><{tag} id="{name}">kept</{tag}><p>text</p></article>').main_text() == "kept\n\ntext"
+    assert Page('<main><div class="notice-period">kept</div><p class="comment">so</p></main>').main_text() == "kept\n\nso"
+    assert Page('<article><div class="wide related">no</div><div id="comments">no</div><p>text</p></article>').main_text() == "text"
+    assert Page('<h2 id="related-work">kept</h2><div id="site-menu">no</div>').main_text() == "kept"
+
+
 def test_repeated_branches_go(spark):
     rows = [(i, "http://h.example/x", f"<body><div class=top><p>Same words on each page</p></div><div class=main><p>Own text {i}</p></div>") for i in range(20)]
     rows += [(100, "http://few.example/", "<div class=top><p>Same words on each page</p></div>"), (101, None, None), (102, "", "")]

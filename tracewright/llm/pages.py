@@ -44,6 +44,12 @@ NAMES = frozenset(
     "navigation topnav subnav breadcrumb breadcrumbs sidebar footer masthead cookie cookies consent gdpr notice notices "
     "notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related "
     "recommended recommendations comment comments disqus respond replies pagination pager widget widgets toolbar skip".split())
+# Inside an article or the main part a name counts only as a whole class, or a whole id of these.
+WHOLE_CLASSES = NAMES | frozenset(
+    "related-posts related-articles related-links share-buttons share-bar social-share social-links ad-slot ad-container "
+    "ad-banner ad-unit cookie-banner cookie-notice newsletter-signup comment-list comments-area post-comments post-navigation".split())
+WHOLE_IDS = frozenset("comments disqus disqus_thread respond sidebar breadcrumb breadcrumbs newsletter-signup cookie-banner".split())
+WORDING = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 COMMENTS = frozenset("comment comments disqus respond replies".split())
 LANDMARKS = {"main": 1, "article": 2}
 
@@ -91,7 +97,12 @@ def _boilerplate(tag: str, attributes: dict[str, str], level: int) -> bool:
         return True
     if tag in ("html", "body"):
         return False
-    names = set(re.split(r"[^a-z0-9]+", f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()))
+    classes, own_id = attributes.get("class", "").lower(), attributes.get("id", "").lower()
+    if level and tag not in LANDMARKS:
+        return tag not in WORDING and (own_id in WHOLE_IDS or not WHOLE_CLASSES.isdisjoint(classes.split()))
+    if tag in WORDING:
+        own_id = ""  # often made from the text of the heading
+    names = set(re.split(r"[^a-z0-9]+", f"{classes} {own_id}"))
     return not names.isdisjoint(COMMENTS if tag in LANDMARKS else NAMES)
 
 
