@@ -302,5 +302,23 @@ def test_repeated_branches_go(spark):
     assert main_texts(df.limit(0)).count() == 0
 
 
+def test_tree_judges_articles_and_landmarks(spark):
+    own = "<p>Own words {0} of this page, {0} and more of them than around it</p>"
+    spam = "<div class=x><b>Read our other stories</b></div>"
+    rows = [(i, "http://a.example/", f"<body><article>{own.format(i)}{spam}</article></body>") for i in range(20)]
+    long = "".join(own.format(k) for k in range(10))
+    rows += [(100, "http://b.example/", f"<body><main><div>{long}</div></main><article><p>Teaser</p></article></body>"),
+             (101, "http://b.example/", f"<body><div>{long}</div><article><p>Teaser</p></article></body>")]
+    # Ten of a hundred pages of a host have a branch that they repeat.
+    rows += [(200 + i, "http://c.example/", "<body>" + ("<div class=rare><p>Hint</p></div>" if i < 10 else "") + f"<div>{own.format(i)}</div></body>")
+             for i in range(100)]
+    rows += [(400 + i, "http://d.example/", "<article><p>The same page again</p></article>") for i in range(20)]
+    got = {r.page_id: r.text for r in main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    text = lambda i: f"Own words {i} of this page, {i} and more of them than around it"
+    assert got[3] == text(3) and got[203] == text(3) and got[250] == text(50)
+    assert got[100].startswith("\n\n".join(map(text, range(10)))) and got[101].startswith(text(0))
+    assert got[405] == "The same page again"
+
+
 def test_vocabulary_file(spec):
     assert spec.startswith("{") and read_spec(__file__).startswith('"""')

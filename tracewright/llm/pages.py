@@ -5,14 +5,15 @@ presentation (the sequences of child elements it has on the pages) and its conte
 (the texts right in it). Entropies over the host's pages give importances: a path
 that looks and reads the same everywhere has little, and its branch is removed from
 each page. What is boilerplate by its markup (menus, forms, adverts, comments ...)
-has no importance to begin with and is not merged; text inside an ``article`` keeps
-its importance, however often the site repeats it.
+has no importance to begin with and is not merged. A branch inside an ``article`` has
+that article's weight: it goes only under half of the threshold, and only as long as
+most of the article's text stays.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
 from html import unescape
@@ -55,8 +56,9 @@ LANDMARKS = {"main": 1, "article": 2}
 
 GAMMA = 0.9  # how fast many children make presentation count
 THRESHOLD = 0.2  # importance under which a branch goes
-MIN_PAGES = 8  # of a host, before its tree says anything
-MIN_SHARE = 0.5  # of the host's pages that have a path, before it is judged
+IN_ARTICLE = 0.5  # of the threshold, for a branch inside an article
+MIN_PAGES = 8  # of a host that have a path, before it is judged
+LEAST_SHARE = 0.25  # of the important text, to be the landmark that holds the main text
 
 
 @dataclass
@@ -217,17 +219,31 @@ class Page:
                 return  # an inline end does not close blocks
 
     def main_text(self, low: frozenset[str] = frozenset()) -> str:
-        """Blocks of the articles, else of the main part, else of the body, without low branches."""
-        level = max((b.level for b in self.blocks), default=0)
-        kept = [b.text for b in self.blocks if b.level == level and (level == 2 or not _under(b.path, low))]
-        return "\n\n".join(kept)
+        """Important blocks of the articles, else of the main part, else of the body.
+
+        A landmark is passed over if it holds less than a quarter of the important text.
+        """
+        kept = [b for b in self.blocks if not _under(b.path, low, b.level == 2)] if low else self.blocks
+        inside = [b for b in self.blocks if b.level == 2]
+        if low and 2 * _size(b for b in kept if b.level == 2) < _size(inside):
+            kept = [b for b in self.blocks if b.level == 2 or not _under(b.path, low)]
+        for level in (2, 1):
+            part = [b for b in kept if b.level >= level]
+            if part and _size(part) >= LEAST_SHARE * _size(kept):
+                kept = part
+                break
+        return "\n\n".join(b.text for b in kept)
 
 
-def _under(path: str, low: frozenset[str]) -> bool:
-    if not low:
-        return False
+def _size(blocks: Iterable[Block]) -> int:
+    return sum(len(b.text) for b in blocks)
+
+
+def _under(path: str, low: frozenset[str], inside: bool = False) -> bool:
+    """Whether a branch of the path is low; ``inside``: only a branch within the article counts."""
     parts = path.split(">")
-    return any(">".join(parts[:i]) in low for i in range(1, len(parts) + 1))
+    top = next((i for i, x in enumerate(parts, 1) if re.split("[#.]", x, maxsplit=1)[0] == "article"), 0) if inside else 0
+    return any(">".join(parts[:i]) in low for i in range(top + 1, len(parts) + 1))
 
 
 def _features(html: str) -> list[tuple[str, int, int, list[int]]]:
@@ -251,31 +267,33 @@ def _hash(text: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
-    """host, path, pages, host_pages, presentation, content, importance from ``host`` and ``html``.
-
-    presentation: entropy of the child sequences of a path, to the base of the host's
-    pages. content: mean over the texts of the whole branch of one minus the entropy
-    of a text over the pages. importance weighs them by the number of children, as
-    the composite importance of a style tree does. Counts are combined before they
-    are shuffled, so a hot host is spread over its paths and texts.
-    """
-    shape = "host string, path string, style long, children int, texts array<long>"
+def page_paths(pages: DataFrame) -> DataFrame:
+    """host, page (digest of the html), path, style, children, texts for each path of each page."""
+    shape = "host string, page string, path string, style long, children int, texts array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for low in range(0, b.num_rows, 512):
                 part = b.slice(low, 512)
-                rows = [(host, *f) for host, html in zip(*(c.to_pylist() for c in part.columns)) for f in _features(html)]
+                rows = [(host, page, *f) for host, html, page in zip(*(c.to_pylist() for c in part.columns)) for f in _features(html)]
                 if rows:
                     columns = [list(c) for c in zip(*rows)]
-                    kinds = (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
+                    kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, k) for c, k in zip(columns, kinds)], ["host", "path", "style", "children", "texts"])
+                        [pa.array(c, k) for c, k in zip(columns, kinds)], ["host", "page", "path", "style", "children", "texts"])
+
+    return pages.select("host", "html", F.md5("html").alias("page")).mapInArrow(run, shape)
+
 
-    per_host = pages.groupBy("host").agg(F.count("*").alias("host_pages"))
-    found = checkpoint(pages.select("host", "html").mapInArrow(run, shape))
-    base = F.log(F.greatest(F.col("host_pages"), F.lit(2)))
+def style_tree(found: DataFrame) -> DataFrame:
+    """host, path, pages, presentation, content, importance from the paths of pages.
+
+    presentation: entropy of the child sequences of a path, to the base of the pages
+    that have it. content: mean over the texts of the whole branch of one minus the
+    entropy of a text over these pages. importance weighs them by the number of
+    children, as the composite importance of a style tree does. Counts are combined
+    before they are shuffled, so a hot host is spread over its paths and texts.
+    """
     styles = found.groupBy("host", "path", "style").agg(F.count("*").alias("n"), F.sum("children").alias("c"))
     looks = styles.groupBy("host", "path").agg(
         F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.sum("c").alias("c"))
@@ -286,12 +304,13 @@ def style_tree(pages: DataFrame) -> DataFrame:
     up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), ">"))
     reads = reads.select("host", F.explode(up).alias("path"), "n", "t").groupBy("host", "path").agg(
         F.sum("n").alias("texts"), F.sum("t").alias("t"))
-    tree = looks.join(reads, ["host", "path"], "left").withColumnRenamed("host", "h")
-    tree = tree.join(per_host, F.col("h").eqNullSafe(F.col("host")))
+    reads = reads.withColumnsRenamed({"host": "h", "path": "p"})
+    tree = looks.join(reads, F.col("host").eqNullSafe(F.col("h")) & (F.col("path") == F.col("p")), "left")
     n = F.col("pages")
+    base = F.log(F.greatest(n, F.lit(2)))
     share = F.pow(F.lit(GAMMA), F.col("c") / n)
     tree = tree.select(
-        "host", "path", "pages", "host_pages",
+        "host", "path", "pages",
         ((F.log(n) - F.col("nlogn") / n) / base).alias("presentation"),
         F.coalesce(1 - F.col("t") / F.col("texts") / base, F.lit(0.0)).alias("content"), share.alias("share"),
     )
@@ -306,17 +325,20 @@ def main_texts(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     a null url is a host of its own; repeated rows count as pages and get the same
     text; pages of any length are read whole. An empty table gives an empty one.
 
-    A path is judged only on at least half of a host's pages and from eight pages on,
-    so a host has no more low paths than twice what a page has; the list is joined on
-    the host, broadcast only when it is measured to be small, and Spark splits a hot
-    host otherwise.
+    A path is judged if eight pages of the host or more have it. The low paths are joined
+    to the paths of the pages and gathered per page, so no list is longer than a page
+    has paths, however many the host has.
     """
     rows = pages.select(F.struct("*").alias("page"), host_of(pages[url_col].cast("string")).alias("host"), full_text(pages[html_col]).alias("html"))
-    tree = style_tree(rows.select("host", "html"))
-    low = tree.where((F.col("host_pages") >= MIN_PAGES) & (F.col("pages") >= MIN_SHARE * F.col("host_pages")) & (F.col("importance") < THRESHOLD))
-    low = checkpoint(low.groupBy(F.col("host").alias("low_host")).agg(F.sort_array(F.collect_set("path")).alias("low")))
+    found = checkpoint(page_paths(rows.select("host", "html")))
+    bound = F.when(F.col("path").rlike(r"(^|>)article([#.][^>]*)?>"), THRESHOLD * IN_ARTICLE).otherwise(THRESHOLD)
+    low = style_tree(found).where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < bound))
+    low = checkpoint(low.select(F.col("host").alias("low_host"), F.col("path").alias("low_path")))
     low = broadcast_if_small(low, max_bytes=8 << 20)
-    joined = rows.join(low, F.col("host").eqNullSafe(F.col("low_host")), "left").select("page", "html", "low")
+    met = found.select("host", "page", "path").join(low, F.col("host").eqNullSafe(F.col("low_host")) & (F.col("path") == F.col("low_path")))
+    met = checkpoint(met.groupBy(F.col("host").alias("low_host"), F.col("page").alias("digest")).agg(F.sort_array(F.collect_set("path")).alias("low")))
+    met = broadcast_if_small(met, max_bytes=8 << 20)
+    joined = rows.join(met, F.col("host").eqNullSafe(F.col("low_host")) & (F.md5("html") == F.col("digest")), "left").select("page", "html", "low")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
