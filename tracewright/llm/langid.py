@@ -119,11 +119,14 @@ class Reader:
             out.append(_softmax(hidden @ self.net.out + self.net.out_bias))
         return np.concatenate(out)
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """Label and score (its mean probability over all bytes) of each whole text."""
-        labels, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """Label, score (its mean probability over all bytes) and certainty of each whole text.
+
+        certainty: mean over all bytes of the probability of each window's own best label.
+        """
+        labels, scores, certain = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         if not self.net.labels:
-            return labels, scores
+            return labels, scores, certain
         start = 0
         while start < len(texts):  # about 4 MB of text at a time; a longer one by itself
             stop, size = start, 0
@@ -139,12 +142,14 @@ class Reader:
             n = np.array([-(-len(r) // WINDOW) for r in raw])
             weight = (data != 0).sum(axis=1)[:, None]
             first = np.cumsum(n) - n
-            mass = np.add.reduceat(self.probabilities(data) * weight, first)
-            p = mass / np.maximum(np.add.reduceat(weight, first), 1)
-            for i, row in zip(known, p):
+            each = self.probabilities(data)
+            whole = np.maximum(np.add.reduceat(weight, first), 1)
+            p = np.add.reduceat(each * weight, first) / whole
+            best = np.add.reduceat(each.max(axis=1)[:, None] * weight, first) / whole
+            for i, row, sure in zip(known, p, best[:, 0]):
                 k = int(row.argmax())
-                labels[i], scores[i] = self.net.labels[k], min(1.0, float(row[k]))
-        return labels, scores
+                labels[i], scores[i], certain[i] = self.net.labels[k], min(1.0, float(row[k])), min(1.0, float(sure))
+        return labels, scores, certain
 
 
 def has_letter(text: str) -> bool:
@@ -197,9 +202,9 @@ def _reader(model: bytes) -> Reader:
 
 def identify(
     docs: DataFrame, net: ByteCnn, *keep: Column | str, text_col: str = "text", label_col: str = "lang_pred",
-    score_col: str = "score",
+    score_col: str = "score", certain_col: str | None = None,
 ) -> DataFrame:
-    """``keep`` with label and score for every row, from its whole text.
+    """``keep`` with label and score for every row, from its whole text; certainty too if it has a name.
 
     Null texts and texts without a letter are ``und`` with score 0, as is everything
     when nothing could be learned. Repeated rows are rows; an empty table gives an
@@ -211,14 +216,16 @@ def identify(
     if at == len(keep):
         rows = docs.select(*keep, docs[text_col].alias("text to read"))
     schema = StructType([*kept.fields, StructField(label_col, StringType()), StructField(score_col, DoubleType())])
+    if certain_col:
+        schema = schema.add(certain_col, DoubleType())
     names, width = schema.names, len(kept)
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(net))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _reader(shared.value)
         for b in batches:
-            labels, scores = reader.predict(b.column(at).to_pylist())
-            arrays = [*b.columns[:width], pa.array(labels, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(arrays, names)
+            labels, *numbers = reader.predict(b.column(at).to_pylist())
+            arrays = [*b.columns[:width], pa.array(labels, pa.string()), *[pa.array(x, pa.float64()) for x in numbers]]
+            yield pa.RecordBatch.from_arrays(arrays[:len(names)], names)
 
     return rows.mapInArrow(run, schema)
