@@ -66,3 +66,68 @@ SELECT conv_id, count(*) AS n_turns,
        sum(length('<|im_start|>' || name || chr(10) || safe || '<|im_end|>' || chr(10)))::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+# CRC-32 of ASCII text, bit by bit.
+CRC32 = """xor(4294967295, list_reduce(
+  list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda x: ascii(x)::BIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+                           lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))))"""
+
+
+def _merkle_sql(levels: int = 8) -> str:
+    """Levels written out: ``levels`` of them hold 16 ** levels leaves."""
+    field = "CASE WHEN {0} IS NULL THEN '-' ELSE octet_length(encode({0}::VARCHAR)) || ':' || {0}::VARCHAR END"
+    row = " || ".join(field.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}"))
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    low = f"translate(text, '{upper}', '{upper.lower()}')"
+
+    def trees(name: str, first: str) -> str:
+        """Tables name0 to name{levels} (tree, pos, n, digest) and name_path (tree, pos, steps of before and after)."""
+        sql = [f"{name}0 AS ({first})"]
+        for k in range(levels):
+            sql.append(f"""{name}{k + 1} AS (
+  SELECT tree, pos // 16 AS pos, (any_value(n) + 15) // 16 AS n,
+         CASE WHEN any_value(n) > 1 THEN sha256(string_agg(digest, '' ORDER BY pos)) ELSE any_value(digest) END AS digest
+  FROM {name}{k} GROUP BY tree, pos // 16)""")
+            sql.append(f"""{name}_step{k} AS (
+  SELECT a.tree, a.pos, any_value(a.n) > 1 AS real,
+         coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS before,
+         coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS after
+  FROM {name}{k} a JOIN {name}{k} b ON a.tree IS NOT DISTINCT FROM b.tree AND a.pos // 16 = b.pos // 16
+  GROUP BY a.tree, a.pos)""")
+        joins = "".join(f" JOIN {name}_step{k} s{k} ON s{k}.tree IS NOT DISTINCT FROM l.tree AND s{k}.pos = l.pos // {16**k}"
+                        for k in range(levels))
+        steps = ", ".join(f"CASE WHEN s{k}.real THEN {{{{'l': s{k}.before, 'r': s{k}.after}}}} END" for k in range(levels))
+        sql.append(f"{name}_path AS (SELECT l.tree, l.pos, [{steps.replace('{{', '{').replace('}}', '}')}] AS steps FROM {name}0 l{joins})")
+        return ",\n".join(sql)
+
+    leaves = f"""
+  SELECT source AS tree, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY source) AS n,
+         sha256({row.replace("{text}", "text")}) AS digest
+  FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)"""
+    return f"""
+WITH RECURSIVE {trees("t", leaves)},
+{trees("u", f"SELECT '' AS tree, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS pos, count(*) OVER () AS n, digest, tree AS source FROM t{levels}")},
+d AS (
+  SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos,
+         CASE WHEN {CRC32.format("doc_id::VARCHAR")} % 5 = 0 THEN sha256({row.replace("{text}", low)}) END AS now
+  FROM documents),
+a AS (
+  SELECT doc_id, t0.digest AS leaf, s.digest AS subroot, (SELECT digest FROM u{levels}) AS root,
+         coalesce(now, t0.digest) AS now,
+         list_filter(list_concat(tp.steps, up.steps), lambda x: x IS NOT NULL) AS steps
+  FROM d JOIN t0 ON t0.tree IS NOT DISTINCT FROM d.source AND t0.pos = d.pos
+  JOIN t_path tp ON tp.tree IS NOT DISTINCT FROM d.source AND tp.pos = d.pos
+  JOIN u0 s ON s.source IS NOT DISTINCT FROM d.source
+  JOIN u_path up ON up.pos = s.pos),
+f AS (
+  SELECT *, list_reduce(list_prepend(now, list_transform(steps, lambda x: x.l || chr(0) || x.r)),
+                        lambda h, x: sha256(split_part(x, chr(0), 1) || h || split_part(x, chr(0), 2))) AS folded_root
+  FROM a)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(steps, lambda x: x.l || x.r), '')) AS proof_sha256,
+       folded_root, folded_root = root AS verified
+FROM f
+"""
+
+
+ORACLES["op13_merkle_manifest"] = _merkle_sql()

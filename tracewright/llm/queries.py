@@ -13,6 +13,7 @@ from tracewright.llm.common import table
 from tracewright.llm.exact import exact_dedup
 from tracewright.llm.hosts import host_rules
 from tracewright.llm.langid import identify, learn
+from tracewright.llm.merkle import leaves_of, manifest
 from tracewright.llm.packing import pack, pieces
 from tracewright.llm.pages import main_texts
 from tracewright.llm.pii import replace_personal_data
@@ -20,6 +21,7 @@ from tracewright.llm.sharding import kd_shards
 from tracewright.llm.simhash import near_duplicates
 
 VOCABULARY = "word_bpe_49k.json"
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -125,3 +127,13 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents; those whose id hash divides by 5 are checked against a text in lower case."""
+    docs = table(spark, sf_dir, "documents")
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    found = [docs[c] for c in columns[:-1]] + [F.translate("text", UPPER, UPPER.lower())]
+    changed = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return manifest(leaves_of(docs, columns, found=found, changed=changed)).withColumnRenamed("id", "doc_id")
