@@ -131,3 +131,54 @@ FROM f
 
 
 ORACLES["op13_merkle_manifest"] = _merkle_sql()
+
+
+def _imatch_sql() -> str:
+    from tracewright.llm.imatch import COMMONEST, NONE, NOT_TERM, RAREST, RATES
+
+    parts = len(RATES)
+
+    def split(text: str) -> str:
+        return f"list_filter(list_distinct(regexp_split_to_array(lower({text}), '{NOT_TERM}')), lambda x: x <> '')"
+
+    draws = ", ".join(f"('0x' || substr(md5('{j}:' || term), 1, 8))::BIGINT < {2**32 // r}" for j, r in enumerate(RATES))
+
+    def hashes(side: str, text: str) -> str:
+        return f"""
+{side}_terms AS (SELECT i, unnest({split(text)}) AS term FROM e),
+{side}_parts AS (
+  SELECT i, j, substr(md5(string_agg(term, ' ' ORDER BY term)), 1, 8) AS x
+  FROM (SELECT i, term, unnest(range({parts})) AS j, unnest(draws) AS taken FROM {side}_terms JOIN lexicon USING (term))
+  WHERE taken GROUP BY i, j),
+{side}_print AS (
+  SELECT e.i, CASE WHEN max(p.j) IS NOT NULL
+      THEN string_agg(coalesce(p.x, '{NONE}'), '' ORDER BY k.j)
+      WHEN any_value({text}) = '' THEN repeat('{NONE}', {parts})
+      ELSE repeat(substr(md5('whole ' || any_value({text})), 1, 8), {parts}) END AS print
+  FROM e CROSS JOIN (SELECT unnest(range({parts})) AS j) k LEFT JOIN {side}_parts p ON p.i = e.i AND p.j = k.j GROUP BY e.i)"""
+
+    def like(a: str, b: str) -> str:
+        told = (f"list_filter(list_transform(range({parts}), lambda k: CASE "
+                f"WHEN substr({a}, (8 * k + 1)::INT, 8) <> substr({b}, (8 * k + 1)::INT, 8) THEN 0 "
+                f"WHEN substr({a}, (8 * k + 1)::INT, 8) <> '{NONE}' THEN 1 END), lambda x: x IS NOT NULL)")
+        return f"CASE WHEN {a} = {b} THEN 1.0::DOUBLE ELSE list_sum({told})::DOUBLE / len({told}) END"
+
+    return f"""
+WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i, coalesce(text, '') AS text FROM documents),
+e AS (
+  SELECT a.i, a.doc_id, length(a.text) AS n_chars, a.text, b.i AS then_i,
+         substr(a.text, 1, length(a.text) - length(a.text) // 2) || substr(b.text, 1, length(a.text) // 2) AS edited
+  FROM d a JOIN d b ON b.i = a.i % (SELECT count(*) FROM d) + 1),
+lexicon AS (
+  SELECT term, [{draws}] AS draws
+  FROM (SELECT unnest({split("text")}) AS term FROM d) GROUP BY term
+  HAVING count(*) * {RAREST} >= (SELECT count(*) FROM d) AND count(*) * {COMMONEST} <= (SELECT count(*) FROM d)),
+{hashes("own", "text")},
+{hashes("other", "edited")}
+SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, a.print AS fingerprint, o.print AS edited_fingerprint,
+       {like("a.print", "o.print")} AS near_edited, {like("a.print", "b.print")} AS near_next
+FROM e JOIN own_print a ON a.i = e.i JOIN other_print o ON o.i = e.i JOIN own_print b ON b.i = e.then_i
+"""
+
+
+ORACLES["op12_imatch"] = _imatch_sql()

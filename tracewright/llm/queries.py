@@ -12,6 +12,7 @@ from tracewright.llm.chat import format_conversations, loss_text, read_turns
 from tracewright.llm.common import table
 from tracewright.llm.exact import exact_dedup
 from tracewright.llm.hosts import host_rules
+from tracewright.llm.imatch import fingerprints
 from tracewright.llm.langid import identify, learn
 from tracewright.llm.merkle import leaves_of, manifest
 from tracewright.llm.packing import pack, pieces
@@ -129,6 +130,11 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op12_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 @query
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proofs of all documents; those whose id hash divides by 5 are checked against a text in lower case."""
