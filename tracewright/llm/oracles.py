@@ -182,3 +182,33 @@ FROM e JOIN own_print a ON a.i = e.i JOIN other_print o ON o.i = e.i JOIN own_pr
 
 
 ORACLES["op12_imatch"] = _imatch_sql()
+
+ORACLES["op11_prefix_trie"] = rf"""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+i AS (SELECT c, c - c % 20 AS base, {CRC32.format("c::VARCHAR")} % 4 AS h FROM (SELECT DISTINCT c FROM t)),
+r AS (
+  SELECT c, role, text, row_number() OVER (PARTITION BY c ORDER BY own, pos) AS pos
+  FROM (SELECT i.c, 0 AS own, t.pos, role, text FROM i JOIN t ON t.c = i.base WHERE t.pos <= h
+        UNION ALL SELECT i.c, 1, t.pos, role, text FROM i JOIN t ON t.c = i.c WHERE t.pos > h)),
+n AS (SELECT i.c, count(r.c) AS n FROM i LEFT JOIN r ON r.c = i.c GROUP BY i.c),
+p AS (
+  SELECT c, 0 AS depth, '' AS key, 0 AS words FROM i
+  UNION ALL
+  SELECT c, pos, sha256(string_agg(sha256(role || chr(0) || text), '') OVER (PARTITION BY c ORDER BY pos)),
+         len(list_filter(regexp_split_to_array(text, '{BLANK}+'), lambda x: x <> '')) FROM r),
+k AS (
+  SELECT key, depth, min(p.c) AS c, count(*) AS n_convs, any_value(words) AS words,
+         sha256(coalesce(string_agg(p.c::VARCHAR, ',' ORDER BY p.c) FILTER (depth = n), '')) AS ends
+  FROM p JOIN n ON n.c = p.c GROUP BY key, depth),
+u AS (SELECT k.*, a.key AS parent FROM k LEFT JOIN p a ON a.c = k.c AND a.depth = k.depth - 1),
+w AS (SELECT u.*, (SELECT count(*) FROM u x WHERE x.parent = u.key) AS kids FROM u),
+s AS (
+  SELECT a.key, sum((w.n_convs - 1) * w.words) AS saved, count(*) FILTER (w.kids = 0) AS leaves
+  FROM w JOIN p a ON a.c = w.c AND a.depth <= w.depth GROUP BY a.key)
+SELECT w.c AS conv_id, w.depth, b.c AS parent_conv_id, w.n_convs, w.kids AS n_children, s.leaves AS n_leaves,
+       s.saved AS saved_tokens, w.ends AS ends_sha256
+FROM w JOIN s ON s.key = w.key LEFT JOIN w b ON b.key = w.parent
+"""

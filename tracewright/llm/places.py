@@ -20,7 +20,8 @@ def placed(rows: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataF
     Ascending, null first, text by its UTF-8 bytes; rows equal in ``order`` take any
     order. Rows are sorted by ranges of (group, order), so a hot group is spread; each
     range numbers its own rows, and the rows of a group in lower ranges are added,
-    from one line for each group and range. Written once as a table.
+    from one line for each group and range. Written once as a table. No column of ``rows``
+    may be called pos, n, label or part.
     """
     group = list(group)
     keys = [F.col(c).asc_nulls_first() for c in (*group, *order)]

@@ -20,6 +20,7 @@ from tracewright.llm.pages import main_texts
 from tracewright.llm.pii import replace_personal_data
 from tracewright.llm.sharding import kd_shards
 from tracewright.llm.simhash import near_duplicates
+from tracewright.llm.trie import cells, prefix_trie, with_openings
 
 VOCABULARY = "word_bpe_49k.json"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -130,6 +131,14 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of conversations that open with up to three turns of the one whose number divides by 20."""
+    turns = cells(table(spark, sf_dir, "conversations"))
+    opening = F.crc32(F.col("conv").cast("string")) % 4
+    return prefix_trie(*with_openings(turns, step=20, opening=opening, most=3))
+
+
 @query
 def op12_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
