@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.compare import compare, duck
+from tests.llm.test_similar import brute_force
 from tracewright.llm import simhash
 from tracewright.llm.components import components
 from tracewright.llm.oracles import ORACLES
@@ -213,12 +214,8 @@ def test_pipeline(spark, docs):
     assert sorted(str(r.doc_id) for r in rows) == sorted("None" if n else str(d) for _, n, d in want.values())
     step = stages["near_dedup"](spark, step, SF)
     near = step.collect()
-    roots = classes(np.array([simhash.fingerprint(r.text.encode()) for r in rows]))
-    least = {}
-    for r in rows:
-        k = roots[simhash.fingerprint(r.text.encode())]
-        least[k] = min(least.get(k, (2, 0)), (r.doc_id is None, r.doc_id or 0))
-    assert sorted(str(r.doc_id) for r in near) == sorted("None" if n else str(d) for n, d in least.values())
+    groups = brute_force([((r.doc_id is None, r.doc_id or 0), r.text) for r in rows])
+    assert sorted(str(r.doc_id) for r in near) == sorted("None" if n else str(d) for n, d in set(groups.values()))
     step = stages["pii"](spark, step, SF)
     clean = {r.doc_id: r for r in step.collect()}
     assert step.columns == whole.columns and len(clean) == len(near)

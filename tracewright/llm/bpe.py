@@ -184,7 +184,15 @@ def _runs(text: str) -> list[str]:
 
 
 class LibraryBpe(Bpe):
-    """The same ids, the merges of unseen pieces left to the library."""
+    """The same ids, the merges of unseen pieces left to the library; only encodes, and holds nothing else."""
+
+    def __init__(self, spec: str):
+        super().__init__(spec)
+        self.ranks, self.tokens, self.within, self.vocab = {}, {}, set(), {}
+
+    def forget(self) -> None:
+        """Drops the remembered pre-tokens; a Python worker outlives the task."""
+        self.known = dict(self.special_ids)
 
     def pre_token(self, letters: str) -> list[int]:
         return [t.id for t in self.library.model.tokenize(letters)]

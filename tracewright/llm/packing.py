@@ -48,6 +48,8 @@ def pieces(
                     [part.column(0).take(pa.array(at)), pa.array(k, pa.int32()), pa.array(start, pa.int64()),
                      pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                     ["id", "piece", "start", "length", "ids_crc32"])
+        bpe.forget()
+        pa.default_memory_pool().release_unused()
 
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long")
