@@ -282,3 +282,15 @@ def test_tokenizers(spark):
     assert corpus.drop_overlong(clean, 4).count() == 2
     ended = clean.select(corpus.append_end(F.col("text"), "</s>").alias("t"))
     assert ended.select(corpus.append_end(F.col("t"), "</s>", only_if_missing=True)).first()[0] == "a b c</s>"
+
+
+def test_csv_keeps_every_value(spark, tmp_path):
+    odd = ["  x ", "", None, "\\N", "\\\\N", "a\r\nb", 'say "hi", ', "\tz", "plain", " "]
+    df = spark.createDataFrame([(t,) for t in odd], "text string").coalesce(1)
+    writers.write_corpus(df, str(tmp_path / "c.csv"))
+    back = [r.text for r in readers.read_corpus(spark, str(tmp_path / "c.csv"))["train"].collect()]
+    assert sorted(map(repr, back)) == sorted(map(repr, odd))
+    log = spark.createDataFrame([("d", f"c{i}", t) for i, t in enumerate(odd) if t], "dataset string, case_id string, activity string")
+    writers.write_logs(log, str(tmp_path / "log"), "csv")
+    rows = readers.read_csv(spark, str(tmp_path / "log"), sep=",", encoding="UTF-8", schema="case_id string, activity string").select("case_id", "activity")
+    assert sorted(map(repr, map(tuple, rows.collect()))) == sorted(repr((f"c{i}", t)) for i, t in enumerate(odd) if t)

@@ -210,3 +210,15 @@ def test_borders_by_hash(spark, monkeypatch):
     assert held.where("split = 'validation'").count() == 26
     assert "Exchange" not in held._jdf.queryExecution().toString()
     assert sampling.random_rows(df.limit(0), 5, 7, ["id"]).count() == 0
+
+
+def test_rows_of_one_key_are_divided(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "_BORDER_ROWS", 50)
+    df = spark.range(3_000).select((F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id"))).alias("k"), F.col("id").alias("v"))
+    for n in (400, 2_999):
+        assert sampling.random_rows(df, n, 7, ["k"]).count() == n
+    hot = spark.range(2_000).select(F.lit(None).cast("long").alias("k"), F.col("id").alias("v"))
+    some = [sorted(r.v for r in sampling.random_rows(x, 700, 7, ["k"]).collect()) for x in (hot, hot.repartition(5))]
+    assert len(some[0]) == 700 and some[0] == some[1]
+    copies = spark.range(500).select(F.lit(1).alias("k"), F.lit("x").alias("v"))
+    assert sampling.random_rows(copies, 100, 7, ["k"]).count() in (0, 500)

@@ -220,13 +220,17 @@ def _stratified(
 # ---- plain rows ------------------------------------------------------------
 
 def first_by_hash(df: DataFrame, n: int, hashed: Column, key: Sequence[str]) -> Column:
-    """Whether a row is among the first n by a hex hash, then by the key.
+    """Whether a row is among the first n by a hex hash, then by the key, then by a hash of the row.
 
     The border is found by histograms of hash prefixes over the key columns alone, a
     few thousand counts each; the rows themselves are only filtered, not shuffled.
-    Rows that are equal in the key fall on the same side.
+    Rows of one key are told apart by their other columns; copies of one row are all taken
+    or all left, so that the same rows are taken for any partitioning. Only counts
+    reach the driver, one line for each distinct row at the border.
     """
-    narrow = df.select(hashed.alias("_hash"), *key)
+    plain = [f.name for f in df.schema.fields if "map" not in f.dataType.simpleString()]
+    content = F.xxhash64(*plain)
+    narrow = df.select(hashed.alias("_hash"), *key, content.alias("_row"))
     prefix, left, held = "", n, None
     while n > 0 and (held is None or held > _BORDER_ROWS) and len(prefix) < 30:
         width = len(prefix) + 3
@@ -241,9 +245,26 @@ def first_by_hash(df: DataFrame, n: int, hashed: Column, key: Sequence[str]) ->
             return F.lit(True)
     if n <= 0:
         return F.lit(False)
-    border = narrow.where(F.startswith("_hash", F.lit(prefix))).orderBy("_hash", *key).limit(left).collect()[-1]
-    place = F.struct(*[F.lit(border[k]).cast(df.schema[k].dataType).alias(k) for k in key])
-    same = (hashed == border["_hash"]) & (F.struct(*key) <= place)
+    near = narrow.where(F.startswith("_hash", F.lit(prefix)))
+    if held > _BORDER_ROWS:  # one hash, so one key, with very many rows: a border by quantiles of their own hash
+        low, high = -(1 << 63), (1 << 63) - 1
+        while low < high:  # the least row hash up to which there are enough rows
+            cuts = sorted({low + (high - low) * i // 256 for i in range(1, 256)} | {high})
+            sums = near.agg(*[F.count(F.when(F.col("_row") <= F.lit(c), 1)).alias(f"c{i}") for i, c in enumerate(cuts)]).first()
+            i = next(i for i, x in enumerate(sums) if x >= left)
+            low, high = (cuts[i - 1] + 1 if i else low), cuts[i]
+        border = {**near.first().asDict(), "_row": high}
+    else:
+        order = ["_hash", *key, "_row"]
+        for r in near.groupBy(*order).count().orderBy(*order).collect():
+            left -= r["count"]
+            if left <= 0:
+                break
+        border = r.asDict()
+    names = [*key, "_row"]
+    types = {k: df.schema[k].dataType for k in key} | {"_row": "long"}
+    place = F.struct(*[F.lit(border[k]).cast(types[k]).alias(k) for k in names])
+    same = (hashed == border["_hash"]) & (F.struct(*key, content.alias("_row")) <= place)
     return (hashed < border["_hash"]) | same
 
 

@@ -1183,6 +1183,18 @@ def corpus_csv(spark, sf):
     return read_corpus(spark, path)["train"]
 
 
+_ODD_TEXT = """CASE doc_id % 6 WHEN 0 THEN '  ' || text || ' ' WHEN 1 THEN '' WHEN 2 THEN NULL WHEN 3 THEN '{0}N'
+  WHEN 4 THEN '"' || text || chr(13) || chr(10) || ',' ELSE text END"""
+
+
+@register(f"SELECT {_ODD_TEXT.format(chr(92))} AS text FROM documents")
+def corpus_csv_values(spark, sf):
+    """Texts with outer blanks, quotes and line ends, empty texts and nulls, written and read back."""
+    path = f"{fresh_folder(spark)}/train.csv"
+    write_corpus(table(spark, sf, "documents").withColumn("text", F.expr(_ODD_TEXT.format(chr(92) * 2))), path)
+    return read_corpus(spark, path)["train"]
+
+
 @register("SELECT doc_id, text, CASE WHEN doc_id % 20 = 0 THEN 'validation' ELSE 'train' END AS split FROM documents")
 def corpus_folder(spark, sf):
     """A corpus folder of two parts, one as JSON lines and one as Parquet."""
