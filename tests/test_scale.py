@@ -222,3 +222,15 @@ def test_rows_of_one_key_are_divided(spark, monkeypatch):
     assert len(some[0]) == 700 and some[0] == some[1]
     copies = spark.range(500).select(F.lit(1).alias("k"), F.lit("x").alias("v"))
     assert sampling.random_rows(copies, 100, 7, ["k"]).count() in (0, 500)
+
+
+def test_borders_of_many_groups(spark):
+    df = spark.range(6_000).select((F.col("id") % 7).alias("g"), F.col("id").alias("m"), F.md5((F.col("id") % 1_500).cast("string")).alias("x"))
+    df = df.withColumn("wanted", 100 * F.col("g") + 1)
+    want = {}
+    for r in sorted(df.collect(), key=lambda r: (r.x, r.m)):
+        want.setdefault(r.g, []).append((r.x, r.m))
+    got = {r.g: tuple(r._border) for r in sampling.group_borders(df, ["g"], "wanted", "x", "m", digits=(1, 2)).collect()}
+    assert got == {g: rows_[100 * g] for g, rows_ in want.items()}
+    plan = sampling.group_borders(df.withColumn("text", F.lit("long")), ["g"], "wanted", "x", "m")._jdf.queryExecution().optimizedPlan().toString()
+    assert "long" not in plan

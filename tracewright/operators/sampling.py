@@ -95,6 +95,29 @@ def round_robin_cut(
     )
 
 
+def group_borders(
+    rows: DataFrame, keys: Sequence[str], wanted: str, hashed: str, tie: str, digits: Sequence[int] = (3, 6)
+) -> DataFrame:
+    """Per group the place (struct h, m) of its row number ``wanted`` by a hex hash, then ``tie``.
+
+    Histograms of hash prefixes hold all groups at once: each finds the bin in which a
+    group's border lies, and the next one looks only at the rows of those bins. What is
+    left to sort is a sixteen-millionth of a group. Groups with fewer rows have no border.
+    """
+    keys = list(keys)
+    left = rows.select(*keys, F.col(wanted).alias("_left"), F.col(hashed).alias("h"), F.col(tie).alias("m"))
+    for width in digits:
+        prefix = F.substring("h", 1, width)
+        bins = left.groupBy(*keys, "_left", prefix.alias("_bin")).agg(F.count("*").alias("_n"))
+        earlier = W.partitionBy(*keys).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
+        bins = bins.withColumn("_below", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+        hit = bins.where("_below < _left and _below + _n >= _left").select(
+            *keys, "_bin", (F.col("_left") - F.col("_below")).alias("_rest"))
+        left = left.withColumn("_bin", prefix).join(hit, [*keys, "_bin"]).select(*keys, F.col("_rest").alias("_left"), "h", "m")
+    place = F.row_number().over(W.partitionBy(*keys).orderBy("h", "m"))
+    return left.withColumn("_place", place).where("_place = _left").select(*keys, F.struct("h", "m").alias("_border"))
+
+
 def balanced_sample(
     df: DataFrame, n: int | None, k: int, member: str, order: Sequence[Column],
     round_hash: Column, keys: Sequence[str] = ("dataset",), targets: DataFrame | None = None,
@@ -103,8 +126,10 @@ def balanced_sample(
 
     A group of at most n rows is kept, up to k per member. Otherwise each round
     takes one row of every member left, in ``order`` inside a member and in
-    ``round_hash`` order inside the last, incomplete round. ``targets`` gives n
-    per group (columns: keys, ``target``) and takes the place of ``n``.
+    ``round_hash`` order (of columns of the keys and the member) inside the last,
+    incomplete round. ``targets`` gives n per group (columns: keys, ``target``) and
+    takes the place of ``n``. Where the last round ends is found from the members'
+    counts alone; rows are ranked once, in their member, and then only filtered.
     """
     keys = list(keys)
     if n is None and targets is None:
@@ -122,11 +147,13 @@ def balanced_sample(
     capped = F.least("all_rows", F.lit(k)) if k > 0 else F.col("all_rows")
     counts = per_member.withColumn("n", F.least(capped, "target"))
     cut = round_robin_cut(counts, [*keys, "target"], F.col("target")).drop("n_rows")
-    # One row per group: a few counts.
-    plan = broadcast_if_small(totals.join(cut, [*keys, "target"], "left").select(
+    active = counts.join(cut, [*keys, "target"]).where("n >= cut_round").withColumn("_hash", round_hash)
+    borders = group_borders(active, keys, "n_in_cut", "_hash", member)
+    # One row per group: a few counts and the border.
+    plan = totals.join(cut, [*keys, "target"], "left").join(borders, keys, "left")
+    plan = broadcast_if_small(plan.select(
         *keys, (F.col("group_rows") > F.col("target")).alias("_sampled"),
-        F.when(F.col("group_rows") > F.col("target"), F.col("cut_round")).alias("_cut"),
-        F.col("n_in_cut").alias("_n_cut"),
+        F.when(F.col("group_rows") > F.col("target"), F.col("cut_round")).alias("_cut"), "_border",
     ))
     placed = df.join(plan, keys)
     if k > 0:
@@ -137,13 +164,8 @@ def balanced_sample(
         ranked = top_per_group(
             placed.where("_sampled"), [*keys, member], order, limit, rank="_round"
         )
-    done = ranked.where("_cut is null or _round < _cut").select(*df.columns)
-    last = ranked.where("_round = _cut").withColumn("_hash", round_hash)
-    if limit <= 100_000:
-        last = top_per_group(last, keys, [F.col("_hash"), F.col(member)], limit, rank="_place")
-    else:
-        last = rank_by_hash(last, keys, "_hash", tie=[member], rank="_place", total="_all")
-    out = done.unionByName(last.where("_place <= _n_cut").select(*df.columns))
+    inside = F.struct(round_hash.alias("h"), F.col(member).alias("m")) <= F.col("_border")
+    out = ranked.where(F.expr("_cut is null or _round < _cut") | (F.expr("_round = _cut") & inside)).select(*df.columns)
     return out if whole is None else out.unionByName(whole.select(*df.columns))
 
 
