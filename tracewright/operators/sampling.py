@@ -16,7 +16,7 @@ from pyspark.sql.window import Window as W
 
 from tracewright.functions.structs import record
 from tracewright.functions.text import hash_order
-from tracewright.scale import broadcast_if_small, rank_by_hash, top_per_group
+from tracewright.scale import broadcast_if_small, checkpoint, rank_by_hash, top_per_group
 from tracewright.schema import CASE
 
 # Rows sorted to find a border, at most, but for rows of one hash.
@@ -96,13 +96,13 @@ def round_robin_cut(
 
 
 def group_borders(
-    rows: DataFrame, keys: Sequence[str], wanted: str, hashed: str, tie: str, digits: Sequence[int] = (3, 6)
+    rows: DataFrame, keys: Sequence[str], wanted: str, hashed: str, tie: str, digits: Sequence[int] = (4,)
 ) -> DataFrame:
     """Per group the place (struct h, m) of its row number ``wanted`` by a hex hash, then ``tie``.
 
     Histograms of hash prefixes hold all groups at once: each finds the bin in which a
     group's border lies, and the next one looks only at the rows of those bins. What is
-    left to sort is a sixteen-millionth of a group. Groups with fewer rows have no border.
+    left to sort is a 65,536th of a group, in two columns. Groups with fewer rows have no border.
     """
     keys = list(keys)
     left = rows.select(*keys, F.col(wanted).alias("_left"), F.col(hashed).alias("h"), F.col(tie).alias("m"))
@@ -142,10 +142,11 @@ def balanced_sample(
         per_member = per_member.withColumn("target", F.lit(n))
     else:
         per_member = per_member.join(broadcast_if_small(targets), keys)
-    # Whether a group is sampled at all depends on its rows before the cap per member.
-    totals = per_member.groupBy(*keys, "target").agg(F.sum("all_rows").alias("group_rows"))
     capped = F.least("all_rows", F.lit(k)) if k > 0 else F.col("all_rows")
-    counts = per_member.withColumn("n", F.least(capped, "target"))
+    # One narrow row per member, counted once; all that follows reads it.
+    counts = checkpoint(per_member.withColumn("n", F.least(capped, "target")))
+    # Whether a group is sampled at all depends on its rows before the cap per member.
+    totals = counts.groupBy(*keys, "target").agg(F.sum("all_rows").alias("group_rows"))
     cut = round_robin_cut(counts, [*keys, "target"], F.col("target")).drop("n_rows")
     active = counts.join(cut, [*keys, "target"]).where("n >= cut_round").withColumn("_hash", round_hash)
     borders = group_borders(active, keys, "n_in_cut", "_hash", member)
