@@ -188,7 +188,7 @@ def test_surrogates(spark):
 
 
 def test_native_plans_hold_no_python(spark):
-    for name in ("op4_surrogates", "op5_host_rules", "op10_chat_format"):
+    for name in ("op4_surrogates", "op5_host_rules", "op10_chat_format", "op12_imatch"):
         plan = QUERIES[name](spark, SF)._jdf.queryExecution().toString()
         assert not re.search("Python|Pandas|Arrow(?!.*Columnar)|InArrow", plan)
 
