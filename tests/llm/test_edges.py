@@ -16,7 +16,7 @@ from tracewright.llm.hosts import host_of, host_rules
 from tracewright.llm.langid import UNKNOWN, has_letter, identify, learn
 from tracewright.llm.packing import best_two_fit, pack, pieces
 from tracewright.llm.pages import Page, main_texts
-from tracewright.llm.pii import PATTERNS, replace_personal_data
+from tracewright.llm.pii import MARK, PATTERNS, replace_personal_data
 from tracewright.llm.queries import vocabulary
 from tracewright.llm.sharding import kd_shards
 from tracewright.llm.simhash import near_duplicates
@@ -322,3 +322,29 @@ def test_tree_judges_articles_and_landmarks(spark):
 
 def test_vocabulary_file(spec):
     assert spec.startswith("{") and read_spec(__file__).startswith('"""')
+
+
+def test_names_of_all_kinds_stay_distinct(spark):
+    """Titles of both genders and of none: no two entities share a surrogate, no surrogate is a real name."""
+    given = ["Chris", "John", "Felix", "Ada", "Robin", "Kim", "Vera", "Noah", "Lee", "Ann"]
+    texts = [f"{title} {name} Halmor met {other} {name}." for name in given for title, other in (
+        ("Mr", "Prof"), ("Mrs", "Prof"), ("Prof", "Mr"))] + ["Prof Jules Hall and Prof Jules Moor met Dr Sam Hall."]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    for key in ("k1", "k2", "k3"):
+        done = replace_personal_data(docs, key)
+        names = [r for r in done.entities.collect() if r.kind.startswith(("given ", "surname "))]
+        assert len({(r.kind, r.entity) for r in names}) == len(names) == len({r.drawn for r in names})
+        assert not {r.drawn for r in names} & {r.entity for r in names}
+        # A professor bears the name of the man or woman of that name: one surrogate.
+        assert not [r for r in names if r.kind == "given latin any" and r.entity in given]
+        out = {r.doc_id: r.text for r in done.docs.collect()}
+        assert all(len(set(re.findall(r"Prof (\S+?)\.?(?= |$)", out[i]))) == 1 for i in range(len(given) * 3) if "Prof" in out[i])
+
+
+def test_mentions_beside_the_mark(spark):
+    """A text that holds the mark of the single pass gives the same as one without it."""
+    text = "a@b.org, call +49 30 1234567, Mr Ivan Petrow; password=abc123xyz"
+    docs = spark.createDataFrame([(0, text), (1, text + " " + MARK), (2, MARK), (3, MARK + text + " " + MARK + "1.2.3.4")], "doc_id int, text string")
+    out = {r.doc_id: r for r in replace_personal_data(docs, "k").docs.collect()}
+    assert out[1].text == out[0].text + " " + MARK and out[2].text == MARK and out[3].text.startswith(MARK + out[0].text + " " + MARK)
+    assert [out[i].n_replaced for i in range(4)] == [4, 4, 0, 5] and "1.2.3.4" not in out[3].text

@@ -57,6 +57,8 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 HINT = (r"\d|@|" + WORD + TITLES + r"\.? \p{Lu}|" + SECRET + r"[\"']?\s{0,3}[:=]"
         r"|AKIA|ASIA|gh[pousr]_|sk-|pk-|xox[abp]-|[0-9A-Fa-f]:[0-9A-Fa-f]|::")
 
+MARK = "\ufdd0"  # no character: Unicode keeps it for inner use
+
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 CYRILLIC = "".join(map(chr, range(0x430, 0x450)))
 
@@ -86,9 +88,16 @@ SYLLABLES = {
 SURNAME_END = {"latin": {"man": "", "woman": ""}, "cyrillic": {"man": "ов", "woman": "ова"}}
 
 
-def mentions(text: Column) -> Column:
-    """All mentions in order; null when the text has none of their signs."""
-    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), 0))
+def split_mentions(text: Column) -> Column:
+    """Text and mentions in turns: text, mention, text ..., a text at both ends; null if no sign of one is there.
+
+    One pass of the patterns: each match is put between marks, and the marks are cut at.
+    A text that holds the mark itself is gone over twice instead.
+    """
+    marked = F.split(F.regexp_replace(text, ANY, f"{MARK}$0{MARK}"), MARK, -1)
+    gaps, found = F.split(text, ANY, -1), F.regexp_extract_all(text, F.lit(ANY), 0)
+    twice = F.slice(F.flatten(F.zip_with(gaps, found, lambda a, b: F.array(a, b))), F.lit(1), F.size(gaps) * 2 - 1)
+    return F.when(text.rlike(HINT), F.when(F.contains(text, F.lit(MARK)), twice).otherwise(marked))
 
 
 def kind_of(mention: Column) -> Column:
@@ -214,29 +223,37 @@ def _dress(kind: Column, raw: Column, drawn: Column) -> Column:
     return F.when(kind.isin("card", "phone", "ssn", "iban"), filled).when(loud, F.upper(drawn)).otherwise(drawn)
 
 
+def family(kind: Column) -> Column:
+    """The kinds whose entities and surrogates must not meet: all parts of names are one family."""
+    return F.when(kind.rlike("^(given|surname) "), F.lit("name")).otherwise(kind)
+
+
 def assign(entities: DataFrame, secret: str) -> DataFrame:
     """kind, entity, attempt, drawn: a surrogate for each distinct (kind, entity).
 
-    No two entities of a kind share one and none is an entity of the corpus itself:
-    of those that clash, the one settled first (least attempt, then least entity)
-    keeps it, the others draw again. Rounds go on until nothing clashes.
+    No two entities of a family of kinds share one and none is an entity of the corpus
+    itself: of those that clash, the one settled first (least attempt, then least
+    entity and kind) keeps it, the others draw again. Rounds go on until nothing clashes.
     """
     drawn = surrogate(F.col("kind"), F.col("entity"), F.col("attempt"), secret)
-    now = entities.withColumn("attempt", F.lit(0)).withColumn("drawn", drawn)
+    parts = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: rows are dealt
+    now = entities.repartition(parts, "kind", "entity").withColumn("attempt", F.lit(0)).withColumn("drawn", drawn)
     while True:
         now = checkpoint(now)
-        first = now.groupBy(F.col("kind").alias("k"), F.col("drawn").alias("d")).agg(
-            F.min(F.struct("attempt", "entity")).alias("first"), F.count("*").alias("n"))
+        mine = now.withColumn("f", family(F.col("kind")))
+        first = mine.groupBy(F.col("f").alias("k"), F.col("drawn").alias("d")).agg(
+            F.min(F.struct("attempt", "entity", "kind")).alias("first"), F.count("*").alias("n"))
         first = first.where("n > 1").select("k", "d", "first")
-        real = now.select(F.col("kind").alias("rk"), F.col("entity").alias("rd"))
-        seen = now.join(first, (F.col("kind") == F.col("k")) & (F.col("drawn") == F.col("d")), "left")
-        seen = seen.join(real, (F.col("kind") == F.col("rk")) & (F.col("drawn") == F.col("rd")), "left")
+        real = mine.select(F.col("f").alias("rk"), F.col("entity").alias("rd")).distinct()
+        seen = mine.join(first, (F.col("f") == F.col("k")) & (F.col("drawn") == F.col("d")), "left")
+        seen = seen.join(real, (F.col("f") == F.col("rk")) & (F.col("drawn") == F.col("rd")), "left")
         clash = F.col("rd").isNotNull() | (
-            F.col("first").isNotNull() & (F.struct("attempt", "entity") != F.col("first")))
+            F.col("first").isNotNull() & (F.struct("attempt", "entity", "kind") != F.col("first")))
         marked = seen.select(*now.columns, clash.alias("clash"))
         if marked.where("clash").isEmpty():
             return now
-        now = marked.select("kind", "entity", (F.col("attempt") + F.col("clash").cast("int")).alias("attempt")).withColumn("drawn", drawn)
+        now = marked.withColumn("attempt", F.col("attempt") + F.col("clash").cast("int")).select(
+            "kind", "entity", "attempt", F.when(F.col("clash"), drawn).otherwise(F.col("drawn")).alias("drawn"))
 
 
 @dataclass(frozen=True)
@@ -258,23 +275,32 @@ def replace_personal_data(
     A name of a text is also replaced where it stands there again without a title, by
     the surrogate of its first mention, word by word.
 
-    Mentions are taken once per distinct text, so copies are cheap, and are joined to
-    their surrogates; the join back is on the text's digest, and Spark splits its hot
-    side. Texts without mentions are not shuffled.
+    The patterns go over a text once: rows with mentions are written as texts and
+    mentions in turns, all later steps read these. Mentions are told once per distinct
+    text, so copies are cheap, and are joined to their surrogates; the join back is on
+    the text's digest, and Spark splits its hot side. Texts without mentions are not
+    shuffled; a second pass picks them out.
     """
-    text = full_text(docs[text_col])
-    rows = docs.select(F.struct("*").alias("doc"), text.alias("t"), F.coalesce(mentions(text), F.array().cast("array<string>")).alias("m"))
-    quiet = rows.where(F.size("m") == 0).select("doc", F.col("doc")[text_col].alias("new"), F.lit(0).cast("long").alias("n"))
-    found = rows.where(F.size("m") > 0).select("doc", "t", F.md5("t").alias("digest"), F.size("m").cast("long").alias("n"), "m")
-    lists = checkpoint(found.groupBy("digest").agg(F.first("m").alias("m")))
+    turns = split_mentions(full_text(docs[text_col]))
+    rows = docs.select(F.struct("*").alias("doc"), turns.alias("turns"))
+    quiet = rows.where(F.coalesce(F.size("turns"), F.lit(0)) <= 1).select(
+        "doc", F.col("doc")[text_col].alias("new"), F.lit(0).cast("long").alias("n"))
+    bare = F.struct("*").withField(text_col, F.lit(None).cast("string"))
+    found = docs.select(bare.alias("doc"), F.explode(F.filter(F.array(turns), lambda x: F.size(x) > 1)).alias("turns"))
+    found = checkpoint(found.withColumn("digest", F.md5(F.array_join("turns", ""))))
+    heard = F.filter("turns", lambda _, i: i % 2 == 1)
+    lists = found.select("digest", heard.alias("m")).groupBy("digest").agg(F.first("m").alias("m"))
     flat = lists.select("digest", F.posexplode("m").alias("pos", "mention"))
-    flat = flat.select("digest", "pos", F.posexplode(parts_of(F.col("mention"))).alias("k", "part")).select("digest", "pos", "k", "part.*")
-    entities = assign(flat.select("kind", "entity").distinct(), secret)
+    flat = checkpoint(flat.select("digest", "pos", F.posexplode(parts_of(F.col("mention"))).alias("k", "part")).select(
+        "digest", "pos", "k", "part.*"))
     # A given name without a gender is that of a man or woman, if the corpus has one.
-    titled = entities.where(F.col("kind").isin("given latin man", "given latin woman")).groupBy(F.col("entity").alias("known")).agg(
-        F.min(F.struct("kind", "drawn"))["drawn"].alias("as"))
-    names = entities.join(titled, (F.col("kind") == "given latin any") & (F.col("entity") == F.col("known")), "left").select(
-        F.col("kind").alias("e_kind"), F.col("entity").alias("e"), F.coalesce("as", "drawn").alias("drawn"))
+    kinds = flat.select(F.col("kind").alias("e_kind"), F.col("entity").alias("e")).distinct()
+    gendered = kinds.where(F.col("e_kind").isin("given latin man", "given latin woman")).groupBy(F.col("e").alias("known")).agg(
+        F.min("e_kind").alias("as"))
+    kinds = checkpoint(kinds.join(gendered, (F.col("e_kind") == "given latin any") & (F.col("e") == F.col("known")), "left").select(
+        "e_kind", "e", F.coalesce("as", "e_kind").alias("as")))
+    entities = assign(kinds.select(F.col("as").alias("kind"), F.col("e").alias("entity")).distinct(), secret)
+    names = kinds.join(entities, (F.col("as") == F.col("kind")) & (F.col("e") == F.col("entity"))).select("e_kind", "e", "drawn")
     is_name = F.col("kind").rlike("^(given|surname) ")
     told = flat.join(names, (F.col("kind") == F.col("e_kind")) & (F.col("entity") == F.col("e"))).select(
         "digest", "pos", "k", F.concat("before", _dress(F.col("kind"), F.col("raw"), F.col("drawn"))).alias("said"),
@@ -283,8 +309,9 @@ def replace_personal_data(
     told = told.select("digest", "pos", F.array_join(F.col("said.said"), "").alias("said"), F.col("said.name").alias("names"))
     told = told.groupBy(F.col("digest").alias("of")).agg(F.sort_array(F.collect_list(F.struct("pos", "said", "names"))).alias("said"))
     told = told.withColumn("names", F.filter(F.flatten("said.names"), lambda x: x.isNotNull()))
-    back = found.drop("m").join(told, F.col("digest") == F.col("of"))
-    back = back.select("doc", "n", "names", F.col("said.said").alias("said"), F.split("t", ANY, -1).alias("gaps"))
+    back = found.join(told, F.col("digest") == F.col("of"))
+    back = back.select("doc", "names", F.col("said.said").alias("said"), F.size("said").cast("long").alias("n"),
+                       F.filter("turns", lambda _, i: i % 2 == 0).alias("gaps"))
     words = F.array_join(F.array_distinct("names.word"), "|")
     again = F.concat(F.lit(WORD + "(?:"), words, F.lit(r")(?![\p{L}\p{N}])"))
     back = back.withColumn("again", F.when(F.size("names") > 0, again))
