@@ -97,6 +97,23 @@ def length_profile(
     )
 
 
+def length_quantiles(
+    df: DataFrame, keys: Sequence[str], ranks: Sequence[float] = (0.5, 0.9, 0.95, 0.99), text: str = "text",
+    tokenizer: Callable[[Column], Column] = word_tokens, k: int = 400,
+) -> DataFrame:
+    """``keys, n_rows, rank, length``: quantiles of the token lengths of all rows of each group.
+
+    A KLL sketch per group, merged from partial ones, so no group is sorted or held. The
+    rank of a returned length is off by less than one percent of the rows at the default
+    ``k`` (with about 99 % certainty, and exact for groups smaller than ``k``). A text
+    that is null has no length.
+    """
+    lengths = df.select(*keys, F.size(tokenizer(F.col(text))).cast("long").alias("len")).where(F.col(text).isNotNull())
+    sketches = lengths.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.kll_sketch_agg_bigint("len", k).alias("sketch"))
+    points = F.array(*[F.struct(F.lit(float(r)).alias("rank"), F.kll_sketch_get_quantile_bigint("sketch", F.lit(float(r))).alias("length")) for r in ranks])
+    return sketches.select(*keys, "n_rows", F.inline(points))
+
+
 def split_response(
     df: DataFrame, text: str = "text", marker: str = RESPONSE, end: str | None = None
 ) -> DataFrame:

@@ -180,6 +180,31 @@ DATASET_SPELLINGS: dict[str, list[str]] = {
 }
 
 
+# Parts of file names by which the label tool knows a log, tried in this order.
+DATASET_ALIASES: dict[str, list[str]] = {
+    "BPIC2013I": ["bpic2013i", "bpi_challenge_2013_i", "bpi2013i", "incident"],
+    "BPIC2013O": ["bpic2013o", "bpi_challenge_2013_o", "bpi2013o", "open problems", "open_problem"],
+    "BPIC2013C": ["bpic2013c", "bpi_challenge_2013_c", "bpi2013c", "closed problems", "closed_problem"],
+    "BPIC2017O": ["bpic2017o", "bpi challenge 2017 o", "bpi_challenge_2017_o", "2017o", "offer graph", "ocel"],
+    "BPIC2019": ["bpic2019", "bpi challenge 2019", "bpi_challenge_2019", "purchase order"],
+    "BPIC2020D": ["bpic2020d", "bpi_challenge_2020_d", "2020d", "domestic declarations", "domestic_declarations"],
+    "BPIC2020I": ["bpic2020i", "bpi_challenge_2020_i", "2020i", "international declarations", "international_declarations"],
+    "BPIC2020Pe": ["bpic2020pe", "bpi_challenge_2020_pe", "2020pe", "travel permits", "travel_permits"],
+    "BPIC2020Pr": ["bpic2020pr", "bpi_challenge_2020_pr", "2020pr", "prepaid travel", "prepaid_travel"],
+    "BPIC2020R": ["bpic2020r", "bpi_challenge_2020_r", "2020r", "request for payment", "request_for_payment"],
+    "BPIC2012A": ["bpic2012a", "bpi_challenge_2012_a", "bpic_2012_a"],
+    "BPIC2012O": ["bpic2012-o", "bpic2012o", "bpi_challenge_2012_o", "2012-o", "bpic_2012_o"],
+    "BPIC2012W": ["bpic2012-w", "bpic2012w", "bpi_challenge_2012_w", "2012-w", "bpic_2012_w"],
+    "Hospital-billing": ["hospital-billing", "hospital_billing", "hospital billing"],
+    "Receipt": ["receipt", "receiving phase"],
+    "Sepsis": ["sepsis"],
+    "Helpdesk": ["helpdesk", "help desk"],
+    "Production": ["production"],
+    "Road_Traffic_Fine": ["road_traffic_fine", "road traffic fine", "traffic fines", "traffic_fines"],
+    "Service-process": ["service-process", "service_process", "service process"],
+}
+
+
 def dataset_from_path(
     path: Column, spellings: Mapping[str, Sequence[str]] = DATASET_SPELLINGS
 ) -> Column:
@@ -193,7 +218,7 @@ def dataset_from_path(
     return F.array_max(F.transform(hits, lambda h: record(size=h["size"], dataset=h["dataset"])))["dataset"]
 
 
-def first_dataset_in_path(path: Column, aliases: Mapping[str, Sequence[str]]) -> Column:
+def first_dataset_in_path(path: Column, aliases: Mapping[str, Sequence[str]] = DATASET_ALIASES) -> Column:
     """First dataset, in the given order, with an alias inside the lower-cased path."""
     low = F.lower(path.cast("string"))
     return F.coalesce(

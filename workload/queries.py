@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -20,23 +22,25 @@ from tracewright.operators import metrics as M
 from tracewright.operators import outcomes as OUT
 from tracewright.operators import prefixes as PX
 from tracewright.operators import sampling as S
+from tracewright import presets
 from tracewright.operators.cases import case_table, variant_texts
 from tracewright.operators.instructions import (
-    evaluation_tasks, sample_counts, sample_meta, shared_universe,
+    eval_prompts, evaluation_tasks, sample_counts, sample_meta, shared_universe,
 )
 from tracewright.operators.ordering import add_remaining_time, find_hot_cases, order_events
-from tracewright.operators.scoring import majority_baseline, repeat_last_activity, score
+from tracewright.operators.scoring import majority_baseline, predict_in_batches, repeat_last_activity, score
 from tracewright.operators.segments import case_stories, segment_cases, segment_stories
 from tracewright.plans.flows import (
-    EvaluationSettings, InstructionSettings, evaluation_prompts, instruction_data, labelled_cases,
+    EvaluationSettings, InstructionSettings, evaluate, evaluation_prompts, instruction_data, labelled_cases,
     story_corpus,
 )
 from tracewright.plans.preparation import canonicalize_logs, label_logs, remaining_time_logs
 from tracewright.scale import BROADCAST_BYTES, broadcast_if_small, checkpoint, fresh_folder
 from tracewright.sources.readers import read_corpus, read_csv, read_named, read_xes
-from tracewright.sources.writers import write_case_splits, write_corpus, write_samples
+from tracewright.sources.writers import write_case_splits, write_corpus, write_predictions, write_report, write_samples
 from tracewright.schema import (
-    CASE, dataset_from_path, event_log, first_dataset_in_path, normalize_dataset_name, unparsed_timestamps,
+    CASE, DATASET_ALIASES, dataset_from_path, event_log, find_keyword_column, first_dataset_in_path, normalize_dataset_name,
+    parse_names, unparsed_timestamps,
 )
 from workload import oracles as Q
 from workload.logs import NARRATIVES, all_logs, chat_log, item_log, order_log, table, user_log
@@ -835,7 +839,7 @@ def regression_metrics(spark, sf):
     return rounded(M.regression_metrics(rows, ["dataset", "task"]), *NUMBERS)
 
 
-def all_metrics_sql(keys: str, source: str, tail: str) -> str:
+def all_metrics_sql(keys: str, source: str, tail: str, predicted: dict[str, str] = PREDICTED) -> str:
     """Metrics of the three tasks from ``source`` (CTE with keys, task, gold, prediction, ok)."""
     ctes = {}
     for name, task, fixed in (("nx", P.NEXT, None), ("oc", P.OUTCOME, "('success'), ('failure')")):
@@ -850,7 +854,7 @@ def all_metrics_sql(keys: str, source: str, tail: str) -> str:
  SELECT {keys}, count(*), NULL, NULL, NULL, round(avg(abs(gold::DOUBLE - prediction::DOUBLE)), 6),
  round(sqrt(avg((gold::DOUBLE - prediction::DOUBLE) ** 2)), 6), round(1 - avg(CAST(ok AS INT)), 6)
  FROM {source} WHERE task = '{P.TIME}' GROUP BY {keys}"""
-    return Q.query(tail, **PREDICTED, **{source: f"""SELECT *, true AS ok,
+    return Q.query(tail, **predicted, **{source: f"""SELECT *, prediction <> '__INVALID__' AS ok,
  CASE WHEN prefix_ratio < 0.34 THEN 'early' WHEN prefix_ratio < 0.67 THEN 'middle' ELSE 'late' END AS stage FROM pred"""}, **ctes)
 
 
@@ -1240,3 +1244,220 @@ def labelled_only(spark, sf):
     urgent = OUT.case_outcomes(order_log(spark, sf), {"orders": OUT.Contains("urgent", ["1-urgent"])})
     rule = {"lineitem": OUT.Lookup("urgent in orders", labels=urgent)}
     return OUT.label_outcomes(item_log(spark, sf), rule, drop_unlabeled=True).select("dataset", "case_id", "in_order", "label")
+
+
+# ---- whole evaluation over three logs --------------------------------------
+
+OUTCOME_SQL = {
+    "E": "CASE WHEN arg_max(activity, seq) IN ('purchase', 'signup') THEN 'success' ELSE 'failure' END",
+    "L": Q.L_LABEL,
+    "O": "CASE WHEN bool_or(activity = '1-URGENT') AND NOT bool_or(activity = '5-LOW') THEN 'success' ELSE 'failure' END",
+}
+
+
+def _evaluation_ctes() -> dict[str, str]:
+    """CTE ``pred``: every test prefix of three logs, answered by ``say_first``."""
+    ctes: dict[str, str] = {}
+    for x, label in OUTCOME_SQL.items():
+        ctes[f"ev_{x}"], ctes[f"cases_{x}"] = (_rename(s, "ev", f"ev_{x}") for s in Q.cases(x, label).values())
+    every = " UNION ALL ".join
+    ctes["cases"] = every(f"SELECT * FROM cases_{x}" for x in OUTCOME_SQL)
+    ctes["ev"] = every(f"SELECT dataset, activity FROM ev_{x}" for x in OUTCOME_SQL)
+    ctes |= Q.split("cases", "label", 0.2, 2, "test", "label-split")
+    ctes["plan"] = TEST_ONLY["plan"]
+    for x in OUTCOME_SQL:
+        part = Q.examples(x, "plan", f"ev_{x}")
+        ctes[f"ends_{x}"], ctes[f"ex_{x}"] = part["ends"], _rename(part["ex"], "ends", f"ends_{x}")
+    ctes["ex"] = every(f"SELECT * FROM ex_{x}" for x in OUTCOME_SQL)
+    rules = " ".join(f"WHEN '{d}' THEN '{t}'" for d, t in RULE_TEXTS.items())
+    pk = "CAST(p.prefix_len AS VARCHAR)"
+    # An answer loses its numbering, so "1-URGENT" names nothing; what is left of the longest name is like it by 26 in 28.
+    lost = "regexp_matches(candidates[1], '^[0-9]-') AND candidates[1] <> '4-NOT SPECIFIED'"
+    ctes["rows"] = f"""SELECT x.*, p.label AS final_outcome, CASE p.dataset {rules} END AS rule,
+  {Q.shuffle_sql('acts', 'next', 'p.dataset', 'p.case_id', pk)} AS nc,
+  {Q.shuffle_sql("['success', 'failure']", 'outcome', 'p.dataset', 'p.case_id', pk)} AS oc
+  FROM ex x JOIN plan p ON p.dataset = x.dataset AND p.case_id = x.case_id AND p.prefix_len = x.prefix_len
+  JOIN (SELECT dataset, list_sort(list(DISTINCT activity)) AS acts FROM ev GROUP BY 1) a ON a.dataset = x.dataset"""
+    ctes["tasks"] = _instruction_ctes()["tasks"]
+    ctes["pred"] = f"""SELECT dataset, task, case_id, prefix_len, prefix_ratio, response AS gold,
+  CASE WHEN candidates IS NULL THEN CAST(length({prompt_sql("''", "' || rule || '")}) % 50 AS VARCHAR) WHEN {lost} THEN '__INVALID__' ELSE candidates[1] END AS prediction FROM tasks"""
+    return ctes
+
+
+EVALUATED = _evaluation_ctes()
+
+
+def say_first(texts: list[str]) -> list[str]:
+    """A predictor of prompt texts alone: the first candidate listed, else days from the prompt's length."""
+    out = []
+    for text in texts:
+        listed = re.findall(r'\["([^"]*)"', text.split("### Input", 1)[0])
+        out.append(f'"{listed[-1]}"' if listed else f"about {len(text) % 50} days")
+    return out
+
+
+def evaluate_logs(spark: SparkSession, sf: str):
+    logs = [f(spark, sf) for f in (user_log, item_log, order_log)]
+    union = logs[0].unionByName(logs[1], allowMissingColumns=True).unionByName(logs[2], allowMissingColumns=True)
+    labels = OUT.case_labels(union, view_rules())
+    return evaluate(union, NARRATIVES, RULE_TEXTS, lambda prompts: predict_in_batches(prompts, say_first),
+                    EvaluationSettings(seed=SEED), labels)
+
+
+@register(Q.query(
+    "SELECT dataset, task, case_id, prefix_len, gold, prediction, prediction <> '__INVALID__' AS is_valid_parse, gold = prediction AS is_correct FROM pred",
+    **EVALUATED))
+def evaluation_predictions(spark, sf):
+    """The whole evaluation with a predictor in batches; its predictions are written and read back."""
+    path = f"{fresh_folder(spark)}/predictions"
+    rows = evaluate_logs(spark, sf).predictions.select(
+        "dataset", "task", "case_id", "prefix_len", "gold", "prediction", "is_valid_parse", "is_correct")
+    write_predictions(rows, path)
+    return read_csv(spark, path, ",", "UTF-8", schema=rows.schema)
+
+
+EVALUATION_METRICS = ["baseline_train_cases", "zero_shot_test_cases", "zero_shot_test_prefixes", "n_samples"]
+
+
+@register(all_metrics_sql(
+    "dataset, task", "scored",
+    f"""SELECT dataset, task, {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in EVALUATION_METRICS)},
+ {', '.join(f'round({c}, 4) AS {c}' for c in NUMBERS)} FROM (
+ SELECT * FROM per_log UNION ALL BY NAME SELECT '__dataset_macro__' AS dataset, task, {', '.join(f'sum({c}) AS {c}' for c in EVALUATION_METRICS)},
+ {', '.join(f'avg({c}) AS {c}' for c in NUMBERS)} FROM per_log GROUP BY task)""".replace("per_log", f"(SELECT * FROM mets JOIN ({SUMMARY_SQL}) s USING (dataset))"),
+    EVALUATED))
+def evaluation_metrics(spark, sf):
+    """Metrics of three logs as a CSV report and their means as a JSON report, both read back."""
+    root = fresh_folder(spark)
+    done = evaluate_logs(spark, sf)
+    write_report(done.metrics, f"{root}/metrics")
+    write_report(done.dataset_macro, f"{root}/macro", json=True)
+    back = read_csv(spark, f"{root}/metrics", ",", "UTF-8", schema=done.metrics.schema)
+    macro = spark.read.schema(done.dataset_macro.schema).json(f"{root}/macro")
+    return back.unionByName(macro).select(
+        "dataset", "task", *EVALUATION_METRICS, *[F.round(c, 4).alias(c) for c in NUMBERS])
+
+
+@register(Q.query(
+    f"""SELECT dataset, 'label' AS label_col, CAST(sum(n) AS VARCHAR) AS n_events, CAST(count(*) AS VARCHAR) AS n_cases,
+ CAST(count_if(label = 'success') AS VARCHAR) AS n_positive_cases,
+ 'label=''success'' if ' || CASE dataset {' '.join(f"WHEN '{d}' THEN '{t}'" for d, t in RULE_TEXTS.items())} END || '; otherwise label=''failure''.' AS rule
+ FROM c GROUP BY 1""", logs=Q.ALL, c=ALL_LABELS))
+def label_reports(spark, sf):
+    """The run reports of a labelled tree, read back: one summary row a log, and its rule."""
+    root = log_tree(spark, sf)
+    report = label_logs(spark, f"{root}/raw", f"{root}/out", view_rules(), fmt="parquet", spellings=TREE)
+    if report.errors:
+        raise ValueError(report.errors)
+    rules = spark.read.json(f"{root}/out/_rules")
+    counts = spark.read.json(f"{root}/out/_summary").select(
+        "dataset", "label_col", "n_events", "n_cases", "n_positive_cases", F.col("rule").alias("rule_told"))
+    return counts.join(rules, "dataset").where("rule = rule_told").drop("rule_told")
+
+
+# ---- names, subsets and own functions --------------------------------------
+
+@register("""SELECT alias, count(*) AS n_pages FROM (SELECT CASE """ + " ".join(
+    "WHEN " + " OR ".join(f"contains(lower(name), '{a}')" for a in words) + f" THEN '{d}'" for d, words in DATASET_ALIASES.items())
+    + """ END AS alias FROM (SELECT CASE page_id % 4 WHEN 0 THEN url || '/Travel_Permits.xes' WHEN 1 THEN url || '/BPI_Challenge_2012_W.csv'
+ WHEN 2 THEN url || '/Receiving phase of OCEL.csv' ELSE url END AS name FROM pages)) GROUP BY 1""")
+def dataset_by_alias(spark, sf):
+    """File names below the address of each page, known by the default aliases; the first in their order wins."""
+    end = F.pmod("page_id", F.lit(4))
+    name = F.concat("url", F.when(end == 0, "/Travel_Permits.xes").when(end == 1, "/BPI_Challenge_2012_W.csv").when(
+        end == 2, "/Receiving phase of OCEL.csv").otherwise(""))
+    return table(spark, sf, "pages").groupBy(first_dataset_in_path(name).alias("alias")).agg(F.count("*").alias("n_pages"))
+
+
+@register(Q.query(
+    """SELECT case_id, count(*) AS n_events, count(ts) AS n_timed FROM l WHERE case_id IS NOT NULL GROUP BY 1""",
+    l="SELECT CASE WHEN event_id % 7 = 0 THEN NULL ELSE CAST(user_id AS VARCHAR) END AS case_id, ts FROM events"))
+def null_case_ids(spark, sf):
+    """Events without a case id are no part of a log."""
+    raw = table(spark, sf, "events").withColumn("case id", F.when(F.col("event_id") % 7 != 0, F.col("user_id")))
+    log = event_log(raw.drop("user_id"), "events", "case id", "event_type", "ts", "event_id")
+    return log.groupBy("case_id").agg(F.count("*").alias("n_events"), F.count("ts").alias("n_timed"))
+
+
+SUBSET = f" {P.TIME}, {P.OUTCOME} ,,{P.TIME}"
+
+
+@register(Q.query(
+    f"""SELECT case_id, prefix_len, '{P.TIME}' AS task, CAST(remaining_time_days AS VARCHAR) AS gold FROM ex
+ UNION ALL SELECT x.case_id, prefix_len, '{P.OUTCOME}', label FROM ex x JOIN cases c ON c.case_id = x.case_id""",
+    **Q.cases("L"), **EVERY, **Q.examples("L")))
+def task_subset(spark, sf):
+    """Two of the three tasks, named in a comma list with blanks, gaps and a repeat."""
+    log, hot = item_log(spark, sf), items_hot(spark, sf)
+    rows = PX.all_examples(log, item_cases(spark, sf, hot).withColumnRenamed("label", "final_outcome"), NARRATIVES, story=False, hot=hot)
+    rows = PX.add_candidates(rows, CN.activity_inventory(log), shuffle=False)
+    return evaluation_tasks(rows, parse_names(SUBSET)).select("case_id", "prefix_len", "task", "gold")
+
+
+@register(Q.query(
+    f"""SELECT task, case_id, prefix_len, 'Q: ' || CASE task WHEN '{P.NEXT}' THEN '{P.ASK_NEXT}' || {Q.json_list('candidates')} || '.' ELSE '{P.ASK_TIME}' END
+ || chr(10) || 'Story: ' || input_story || CASE WHEN candidates IS NULL THEN '' ELSE chr(10) || chr(10) || '### Candidates' || chr(10) || array_to_string(candidates, ' / ') END AS prompt
+ FROM tasks WHERE task <> '{P.OUTCOME}'""", **TEST_ONLY, **Q.examples("L"), **PROMPT_ROWS))
+def own_prompts(spark, sf):
+    """Prompts whose layout and candidate block are the caller's functions, without system prompt, for two tasks."""
+    log, hot = item_log(spark, sf), items_hot(spark, sf)
+    cases = checkpoint(S.split_label_stratified(item_cases(spark, sf, hot), 0.2, SEED)).where("split = 'test'")
+    rows = PX.all_examples(log, cases.withColumnRenamed("label", "final_outcome"), NARRATIVES, hot=hot)
+    rows = PX.add_candidates(rows, checkpoint(CN.activity_inventory(log)), seed=SEED)
+    return eval_prompts(
+        rows, RULE_TEXTS, [P.NEXT, P.TIME], system_prompt=False, with_candidate_block=True,
+        compose=lambda task, asked, story, response, system: F.concat(F.lit("Q: "), asked, F.lit("\nStory: "), story, response),
+        block=lambda candidates: F.array_join(candidates, " / "),
+    ).select("task", "case_id", "prefix_len", "prompt")
+
+
+# A log told by a narrative of the library's own.
+Q.LOG["P"] = """SELECT 'BPIC2020D' AS dataset, CAST(o_custkey AS VARCHAR) AS case_id, o_orderpriority AS activity, o_orderdate AS ts,
+ o_orderkey AS in_order, 'State ' || o_orderstatus AS "org:role", CASE WHEN o_orderkey % 3 > 0 THEN 'DESK ' || (o_orderkey % 5) END AS "org:resource" FROM orders"""
+Q.TAILS["P"] = """'with role ' || lower("org:role") || coalesce(' and resource ' || lower("org:resource"), '')"""
+Q.INTRO["P"] = "This is a domestic travel declaration case."
+
+
+@register(whole_story_sql("P"))
+def preset_stories(spark, sf):
+    raw = table(spark, sf, "orders").select(
+        "o_custkey", "o_orderpriority", "o_orderdate", "o_orderkey", F.concat(F.lit("State "), "o_orderstatus").alias("org:role"),
+        F.when(F.col("o_orderkey") % 3 > 0, F.concat(F.lit("DESK "), (F.col("o_orderkey") % 5).cast("string"))).alias("org:resource"))
+    log = event_log(raw, "BPIC2020D", "o_custkey", "o_orderpriority", "o_orderdate", "o_orderkey")
+    return case_stories(log, presets.narratives()).select("case_id", "text")
+
+
+@register("SELECT doc_id, CAST(coalesce(strlen(text), 0) AS INT) AS n_tokens FROM documents")
+def batch_token_counts(spark, sf):
+    """A tokeniser of batches, here one token per byte, over whole texts."""
+    encode = CP.batch_tokenizer(lambda texts: [list((t or "").encode()) for t in texts])
+    return CP.token_counts(table(spark, sf, "documents"), tokenizer=encode).select("doc_id", "n_tokens")
+
+
+@register("""SELECT source, rank, count(*) AS n_rows, true AS within FROM documents,
+ (VALUES (0.5::DOUBLE), (0.9), (0.95), (0.99)) v(rank) WHERE text IS NOT NULL GROUP BY 1, 2""")
+def length_quantiles(spark, sf):
+    """Sketched quantiles of all texts' lengths by source, each held against the exact ranks of all rows."""
+    docs = table(spark, sf, "documents").where("text IS NOT NULL")
+    told = CP.length_quantiles(docs, ["source"])
+    exact = CP.token_counts(docs).select(F.col("source").alias("s"), "n_tokens")
+    near = exact.join(told, F.col("s").eqNullSafe(F.col("source"))).groupBy("source", "rank", "n_rows").agg(
+        F.avg((F.col("n_tokens") < F.col("length")).cast("int")).alias("below"), F.avg((F.col("n_tokens") <= F.col("length")).cast("int")).alias("upto"))
+    return near.select("source", "rank", "n_rows", ((F.col("below") <= F.col("rank") + 0.01) & (F.col("upto") >= F.col("rank") - 0.01)).alias("within"))
+
+
+# ---- roles of a rule by other spellings ------------------------------------
+
+@register(ORACLES["label_flag_or_duration"])
+def label_by_flag_column(spark, sf):
+    """The flag is found though its column has another case and a longer name."""
+    log = order_log(spark, sf).withColumnRenamed("in_time", "Was it IN_TIME?")
+    return OUT.case_outcomes(log, {"orders": OUT.FlagOrDuration("in time", flag="in_time", completed=["2-high"], days=1800)})
+
+
+@register("SELECT ts IS NULL AS untimed, count(*) AS n_rows FROM events GROUP BY 1")
+def column_by_keywords(spark, sf):
+    """The column that holds all words of its role, in any case and order; the other bears one of them only."""
+    raw = table(spark, sf, "events").select(F.col("event_id").alias("event time id"), F.col("ts").alias("Stamp of TIME"))
+    found = find_keyword_column(raw.columns, ["time", "stamp"])
+    return raw.groupBy(F.col(f"`{found}`").isNull().alias("untimed")).agg(F.count("*").alias("n_rows"))
