@@ -8,7 +8,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright.operators import blocks, prefixes, sampling, segments
+from tracewright.operators import blocks, corpus, prefixes, sampling, segments
 from tracewright.operators.cases import case_table, variant_texts
 from tracewright.operators.ordering import (
     add_remaining_time, find_hot_cases, order_events, with_case_columns,
@@ -234,3 +234,19 @@ def test_borders_of_many_groups(spark):
     assert got == {g: rows_[100 * g] for g, rows_ in want.items()}
     plan = sampling.group_borders(df.withColumn("text", F.lit("long")), ["g"], "wanted", "x", "m")._jdf.queryExecution().optimizedPlan().toString()
     assert "long" not in plan
+
+
+def test_sketched_quantiles(spark):
+    """Within a percent of the exact ranks for one hot group over many partitions; exact for small groups; nulls left out."""
+    text = F.when(F.col("id") % 50 == 0, F.lit(None)).otherwise(F.repeat(F.lit("w "), ((F.col("id") * 7919) % 1_009).cast("int")))
+    df = spark.range(60_000, numPartitions=24).select(F.when(F.col("id") % 600 == 1, "small").otherwise("hot").alias("g"), text.alias("text"))
+    got = {(r.g, r.rank): r for r in corpus.length_quantiles(df, ["g"]).collect()}
+    lens = {}
+    for r in df.where("text IS NOT NULL").select("g", F.size(corpus.word_tokens(F.col("text"))).alias("n")).collect():
+        lens.setdefault(r.g, []).append(r.n)
+    assert len(got) == 8
+    for (g, q), r in got.items():
+        off = 0.01 if g == "hot" else 1 / len(lens[g])
+        assert r.n_rows == len(lens[g])
+        assert sum(n < r.length for n in lens[g]) / len(lens[g]) - off <= q <= sum(n <= r.length for n in lens[g]) / len(lens[g]) + off
+    assert corpus.length_quantiles(df.limit(0), ["g"]).count() == 0

@@ -448,7 +448,7 @@ def dedup_texts(spark, sf):
 
 SEG_HASH = Q.h("segment", "dataset", "case_id", "CAST(slice_id AS VARCHAR)")
 PREFER = f"slice_type = 'full' DESC, n_events DESC, slice_start, slice_end DESC, {SEG_HASH}, case_id, slice_id"
-SEG_KEY = "dataset, case_id, slice_id, n_events, variant_key"
+SEG_KEY = "dataset, case_id, slice_id, n_events, variant_key, text"
 
 
 @register(Q.query(
@@ -968,10 +968,10 @@ def clean_answers(spark, sf):
 
 # ---- corpora ---------------------------------------------------------------
 
-@register(r"SELECT doc_id, length(t) AS n_kept FROM (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents) WHERE t <> ''")
+@register(r"SELECT doc_id, t AS text, length(t) AS n_kept FROM (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents) WHERE t <> ''")
 def clean_texts(spark, sf):
     return CP.clean_text(table(spark, sf, "documents")).select(
-        "doc_id", F.length("text").alias("n_kept"))
+        "doc_id", "text", F.length("text").alias("n_kept"))
 
 
 WORDS_SQL = r"SELECT *, len(regexp_extract_all(text, '[\p{L}\p{M}\p{N}\p{Pc}]+|[^\p{L}\p{M}\p{N}\p{Pc}\s]')) AS n_tokens FROM documents"
