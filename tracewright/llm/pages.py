@@ -1,13 +1,18 @@
 """Main text of web pages by site style trees.
 
-The pages of a host are merged into one tree of element paths. Each path has its
-presentation (the sequences of child elements it has on the pages) and its content
-(the texts right in it). Entropies over the host's pages give importances: a path
-that looks and reads the same everywhere has little, and its branch is removed from
-each page. What is boilerplate by its markup (menus, forms, adverts, comments ...)
-has no importance to begin with and is not merged. A branch inside an ``article`` has
-that article's weight: it goes only under half of the threshold, and only as long as
-most of the article's text stays.
+The pages of a host are merged into one tree of element paths, branches with the
+names of boilerplate included. Each path has its presentation (the sequences of child
+elements it has on the pages) and its content (the texts right in it). Entropies over
+the host's pages give importances: a path that looks and reads the same everywhere has
+little. A branch is removed from each page if its path and all paths below it have
+little. Only what HTML itself declares to be something else (menus, forms, hidden
+elements ...) has no importance to begin with and is not merged.
+
+Names are a prior. A whole class or id of a known name takes its branch, a part of a
+longer name does so too, unless the branch holds most of the page. Inside an article or
+the main part, a part of a name counts only where the tree shows the path to belong to
+the host's template. A branch inside an ``article`` has that article's weight: it goes
+only under half of the threshold, and only as long as a quarter of the articles' text stays.
 """
 
 from __future__ import annotations
@@ -52,28 +57,49 @@ WHOLE_CLASSES = NAMES | frozenset(
 WHOLE_IDS = frozenset("comments disqus disqus_thread respond sidebar breadcrumb breadcrumbs newsletter-signup cookie-banner".split())
 WORDING = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 COMMENTS = frozenset("comment comments disqus respond replies".split())
+# Inside an article or the main part these count as parts of a longer name, if the path is one of the template.
+SUSPECT = COMMENTS | frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion newsletter subscribe signup "
+    "share sharing recommended recommendations stories".split())
+INLINE_NAMES = frozenset("ad ads advert advertisement sponsored skip skip-link skip-to-content breadcrumb".split())
+MARKED = re.compile(r"hidden|style|class|role", re.I)  # attributes by which an inline element may go
 LANDMARKS = {"main": 1, "article": 2}
 
 GAMMA = 0.9  # how fast many children make presentation count
 THRESHOLD = 0.2  # importance under which a branch goes
 IN_ARTICLE = 0.5  # of the threshold, for a branch inside an article
 MIN_PAGES = 8  # of a host that have a path, before it is judged
-LEAST_SHARE = 0.25  # of the important text, to be the landmark that holds the main text
+LEAST_SHARE = 0.25  # of the important text, to be the landmark that holds the main text; of the articles' text, to stay
+MAX_DEPTH = 64  # of a path; an element further down has the path of its ancestor there, so no page costs more than its length
+MAX_NAMED = 16  # named branches that are told apart around a text, from the outside
 
 
 @dataclass
 class Node:
     tag: str
-    path: str
+    ups: tuple[int, ...]  # hashes of the paths from the root to this element
     dropped: bool
     level: int  # 2 in an article, 1 in the main part, else 0
+    named: tuple[int, ...] = ()  # branches around it that bear a name of boilerplate
+    inside: int = 0  # how many of ups lead to the article
 
 
 @dataclass
 class Block:
-    path: str
+    ups: tuple[int, ...]
     text: str
     level: int
+    named: tuple[int, ...]
+    inside: int
+
+
+@dataclass
+class Path:
+    ups: tuple[int, ...]
+    judged: bool  # html and body are not
+    inside: bool  # below an article
+    suspect: bool
+    children: list[str]
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -90,45 +116,49 @@ def _label(tag: str, attributes: dict[str, str]) -> str:
     return re.sub(r"\d+", "0", label.replace(">", ""))
 
 
-def _boilerplate(tag: str, attributes: dict[str, str], level: int) -> bool:
+def _declared(tag: str, attributes: dict[str, str], level: int) -> bool:
+    """Whether HTML itself says that the element is no part of the text."""
     if tag in DROPPED or (tag == "header" and not level):
         return True
     if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
         return True
-    if attributes.get("role", "").lower() in ROLES or re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I):
-        return True
+    return attributes.get("role", "").lower() in ROLES or bool(re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I))
+
+
+NO_NAME, SUSPECTED, PART, WHOLE = range(4)
+
+
+def _name(tag: str, attributes: dict[str, str], level: int) -> int:
+    """How much the class and the id of an element speak for boilerplate."""
     if tag in ("html", "body"):
-        return False
+        return NO_NAME
     classes, own_id = attributes.get("class", "").lower(), attributes.get("id", "").lower()
-    if level and tag not in LANDMARKS:
-        return tag not in WORDING and (own_id in WHOLE_IDS or not WHOLE_CLASSES.isdisjoint(classes.split()))
     if tag in WORDING:
+        if level:
+            return NO_NAME
         own_id = ""  # often made from the text of the heading
-    names = set(re.split(r"[^a-z0-9]+", f"{classes} {own_id}"))
-    return not names.isdisjoint(COMMENTS if tag in LANDMARKS else NAMES)
-
-
-def _after_svg(html: str, m: re.Match[str]) -> int:
-    """Where the text goes on behind an svg start tag: behind its own end, or behind the tag if it has none."""
-    start, depth = m.end(), 1
-    if (m[3] or "").endswith("/"):
-        return start
-    for t in TAG.finditer(html, start):
-        if t[2] and t[2].lower() == "svg" and not (t[3] or "").endswith("/"):
-            depth += -1 if t[1] else 1
-            if not depth:
-                return t.end()
-    return start
+    whole, parts = set(classes.split()), set(re.split(r"[^a-z0-9]+", f"{classes} {own_id}"))
+    if level and tag not in LANDMARKS:
+        if own_id in WHOLE_IDS or not WHOLE_CLASSES.isdisjoint(whole):
+            return WHOLE
+        return NO_NAME if parts.isdisjoint(SUSPECT) else SUSPECTED
+    names = COMMENTS if tag in LANDMARKS else NAMES
+    if not names.isdisjoint(whole | {own_id}):
+        return WHOLE
+    return NO_NAME if parts.isdisjoint(names) else PART
 
 
 class Page:
-    """Blocks of a page in order, and for each path the child elements it has there."""
+    """Blocks of a page in order, and its paths with the child elements they have there."""
 
     def __init__(self, html: str):
         self.blocks: list[Block] = []
-        self.children: dict[str, list[str]] = {}
-        self.stack: list[Node] = [Node("", "", False, 0)]
+        self.paths: dict[int, Path] = {}
+        self.names: list[int] = []
+        self.stack: list[Node] = [Node("", (), False, 0)]
         self.said: list[str] = []
+        self.svg_ends: dict[int, int] = {}
+        self.svg_read = 0
         at, end = 0, len(html)
         while at < end:
             m = TAG.search(html, at)
@@ -141,7 +171,7 @@ class Page:
                 if m[1]:
                     self._close(tag)
                 elif tag == "svg":
-                    at = _after_svg(html, m)
+                    at = self._after_svg(html, m)
                 elif tag in RAW:
                     shut = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(html, at)
                     at = shut.end() if shut else end
@@ -153,6 +183,29 @@ class Page:
             self._text(html[at:])
         self._flush()
 
+    def _after_svg(self, html: str, m: re.Match[str]) -> int:
+        """Where the text goes on behind an svg start tag: behind its own end, or behind the tag if it has none.
+
+        The ends of all svg elements from here on are found in one go. Scripts may hide
+        tags from a later start; then they are looked for again, but in four times the
+        length of the page at most.
+        """
+        start = m.end()
+        if (m[3] or "").endswith("/"):
+            return start
+        if start not in self.svg_ends and self.svg_read <= 4 * len(html):
+            self.svg_read += len(html) - start
+            ends, open_at = {start: start}, [start]
+            for t in TAG.finditer(html, start):
+                if t[2] and t[2].lower() == "svg" and not (t[3] or "").endswith("/"):
+                    if not t[1]:
+                        open_at.append(t.end())
+                        ends[t.end()] = t.end()
+                    elif open_at:
+                        ends[open_at.pop()] = t.end()
+            self.svg_ends = ends
+        return self.svg_ends.get(start, start)
+
     def _text(self, text: str) -> None:
         if text and not self.stack[-1].dropped:
             self.said.append(text)
@@ -163,7 +216,7 @@ class Page:
             self.said = []
             if text:
                 top = next(n for n in reversed(self.stack) if n.tag not in INLINE)
-                self.blocks.append(Block(top.path, text, top.level))
+                self.blocks.append(Block(top.ups, text, top.level, top.named, top.inside))
 
     def _open(self, tag: str, raw: str) -> None:
         if tag == "br":
@@ -181,21 +234,35 @@ class Page:
         if tag in VOID:
             return
         top = self.stack[-1]
+        attributes = _attributes(raw) if raw and (tag not in INLINE or MARKED.search(raw)) else {}
         if tag in INLINE:
-            self.stack.append(Node(tag, top.path, top.dropped, top.level))
+            gone = bool(attributes) and (
+                _declared(tag, attributes, 1) or not INLINE_NAMES.isdisjoint(attributes.get("class", "").lower().split()))
+            self.stack.append(Node(tag, top.ups, top.dropped or gone, top.level, top.named, top.inside))
             return
-        attributes = _attributes(raw) if raw else {}
         own = LANDMARKS.get(tag, 1 if attributes.get("role", "").lower() == "main" else 0)
-        gone = _boilerplate(tag, attributes, max(top.level, own))
+        level = max(top.level, own)
+        gone = _declared(tag, attributes, level)
+        name = _name(tag, attributes, level)
         # A wrapper named after its sidebar is no reason to lose the article in it.
-        wrapped = own and top.dropped and all(n.tag not in DROPPED for n in self.stack) and not gone
+        wrapped = own and not gone and all(n.tag not in DROPPED for n in self.stack)
         dropped = gone or (top.dropped and not wrapped)
-        label = _label(tag, attributes)
-        path = f"{top.path}>{label}" if top.path else label
-        if not dropped:
-            self.children.setdefault(top.path, []).append(label)
-            self.children.setdefault(path, [])
-        self.stack.append(Node(tag, path, dropped, max(top.level, own)))
+        named = () if wrapped else top.named
+        if name in (PART, WHOLE) and len(named) < MAX_NAMED:
+            self.names.append(name)
+            named = (*named, len(self.names) - 1)
+        ups, inside = top.ups, top.inside
+        if not dropped and len(ups) < MAX_DEPTH:
+            label = _label(tag, attributes)
+            path = _hash(f"{ups[-1] if ups else ''}>{label}")
+            if ups:
+                self.paths[ups[-1]].children.append(label)
+            ups = (*ups, path)
+            if path not in self.paths:
+                self.paths[path] = Path(ups, tag not in ("html", "body"), top.inside > 0, name == SUSPECTED, [])
+        if tag == "article" and not inside:
+            inside = len(ups)
+        self.stack.append(Node(tag, ups, dropped, level, named, inside))
 
     def _pop_to(self, tag: str, limits: tuple[str, ...]) -> None:
         """Closes an open ``tag`` whose end is implied, not beyond the limits."""
@@ -218,15 +285,38 @@ class Page:
             if tag in INLINE and self.stack[i].tag not in INLINE:
                 return  # an inline end does not close blocks
 
-    def main_text(self, low: frozenset[str] = frozenset()) -> str:
+    def _named(self) -> set[int]:
+        """Named branches that go: all, but not those that the page is made of.
+
+        With text in an article or the main part outside of them, all go. Else one that
+        bears a name only in part stays if it holds most of the text, and one with a
+        whole name if nothing else is left.
+        """
+        gone = set(range(len(self.names)))
+        free = [b for b in self.blocks if not b.named]
+        if not gone or any(b.level for b in free):
+            return gone
+        for kind, blocks in ((PART, [b for b in self.blocks if all(self.names[k] == PART for k in b.named)]), (WHOLE, self.blocks)):
+            if kind == WHOLE and any(gone.isdisjoint(b.named) for b in blocks):
+                break
+            held: dict[int, int] = {}
+            for b in blocks:
+                for k in b.named:
+                    held[k] = held.get(k, 0) + len(b.text)
+            gone -= {k for k, n in held.items() if 2 * n > _size(blocks)}
+        return gone
+
+    def main_text(self, low: frozenset[int] = frozenset()) -> str:
         """Important blocks of the articles, else of the main part, else of the body.
 
         A landmark is passed over if it holds less than a quarter of the important text.
         """
-        kept = [b for b in self.blocks if not _under(b.path, low, b.level == 2)] if low else self.blocks
-        inside = [b for b in self.blocks if b.level == 2]
-        if low and 2 * _size(b for b in kept if b.level == 2) < _size(inside):
-            kept = [b for b in self.blocks if b.level == 2 or not _under(b.path, low)]
+        gone = self._named()
+        blocks = [b for b in self.blocks if gone.isdisjoint(b.named)]
+        kept = [b for b in blocks if not _under(b, low)]
+        inside = [b for b in blocks if b.level == 2]
+        if _size(b for b in kept if b.level == 2) < LEAST_SHARE * _size(inside):
+            kept = [b for b in blocks if b.level == 2 or not _under(b, low)]
         for level in (2, 1):
             part = [b for b in kept if b.level >= level]
             if part and _size(part) >= LEAST_SHARE * _size(kept):
@@ -239,27 +329,28 @@ def _size(blocks: Iterable[Block]) -> int:
     return sum(len(b.text) for b in blocks)
 
 
-def _under(path: str, low: frozenset[str], inside: bool = False) -> bool:
-    """Whether a branch of the path is low; ``inside``: only a branch within the article counts."""
-    parts = path.split(">")
-    top = next((i for i, x in enumerate(parts, 1) if re.split("[#.]", x, maxsplit=1)[0] == "article"), 0) if inside else 0
-    return any(">".join(parts[:i]) in low for i in range(top + 1, len(parts) + 1))
+def _under(block: Block, low: frozenset[int]) -> bool:
+    """Whether a branch around the block is low; in an article, only a branch within it counts."""
+    return bool(low) and not low.isdisjoint(block.ups[block.inside if block.level == 2 else 0:])
 
 
-def _features(html: str) -> list[tuple[str, int, int, list[int]]]:
-    """(path, hash of its presentation, children, hashes of its own texts) for each path of a page.
+Feature = tuple[int, list[int], bool, bool, bool, int, int, list[int]]
+
+
+def _features(html: str) -> list[Feature]:
+    """(path, paths down to it, judged, inside, suspect, hash of its presentation, children, hashes of its own texts) per path.
 
     Runs of like children count once, so that longer pages look alike.
     """
     page = Page(html)
-    texts: dict[str, set[int]] = {}
+    texts: dict[int, set[int]] = {}
     for b in page.blocks:
-        texts.setdefault(b.path, set()).add(_hash(b.text))
+        if b.ups:
+            texts.setdefault(b.ups[-1], set()).add(_hash(b.text))
     out = []
-    for path, labels in page.children.items():
-        if path:
-            runs = [x for i, x in enumerate(labels) if not i or labels[i - 1] != x]
-            out.append((path, _hash("\n".join(runs)), len(runs), sorted(texts.get(path, ()))))
+    for path, p in page.paths.items():
+        runs = [x for i, x in enumerate(p.children) if not i or p.children[i - 1] != x]
+        out.append((path, list(p.ups), p.judged, p.inside, p.suspect, _hash("\n".join(runs)), len(runs), sorted(texts.get(path, ()))))
     return out
 
 
@@ -268,8 +359,12 @@ def _hash(text: str) -> int:
 
 
 def page_paths(pages: DataFrame) -> DataFrame:
-    """host, page (digest of the html), path, style, children, texts for each path of each page."""
-    shape = "host string, page string, path string, style long, children int, texts array<long>"
+    """host, page (digest of the html) and the features of each path of each page."""
+    shape = ("host string, page string, path long, ups array<long>, judged boolean, inside boolean, suspect boolean, "
+             "style long, children int, texts array<long>")
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.bool_(), pa.bool_(), pa.bool_(),
+             pa.int64(), pa.int32(), pa.list_(pa.int64()))
+    names = [part.split()[0] for part in shape.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -278,15 +373,13 @@ def page_paths(pages: DataFrame) -> DataFrame:
                 rows = [(host, page, *f) for host, html, page in zip(*(c.to_pylist() for c in part.columns)) for f in _features(html)]
                 if rows:
                     columns = [list(c) for c in zip(*rows)]
-                    kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, k) for c, k in zip(columns, kinds)], ["host", "page", "path", "style", "children", "texts"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
     return pages.select("host", "html", F.md5("html").alias("page")).mapInArrow(run, shape)
 
 
 def style_tree(found: DataFrame) -> DataFrame:
-    """host, path, pages, presentation, content, importance from the paths of pages.
+    """host, path, ups, judged, inside, suspect, pages, presentation, content, importance from the paths of pages.
 
     presentation: entropy of the child sequences of a path, to the base of the pages
     that have it. content: mean over the texts of the whole branch of one minus the
@@ -294,15 +387,18 @@ def style_tree(found: DataFrame) -> DataFrame:
     children, as the composite importance of a style tree does. Counts are combined
     before they are shuffled, so a hot host is spread over its paths and texts.
     """
-    styles = found.groupBy("host", "path", "style").agg(F.count("*").alias("n"), F.sum("children").alias("c"))
+    styles = found.groupBy("host", "path", "style").agg(
+        F.count("*").alias("n"), F.sum("children").alias("c"), F.max("ups").alias("ups"), F.max("judged").alias("judged"),
+        F.max("inside").alias("inside"), F.max("suspect").alias("suspect"))
     looks = styles.groupBy("host", "path").agg(
-        F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.sum("c").alias("c"))
+        F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.sum("c").alias("c"), F.max("ups").alias("ups"),
+        F.max("judged").alias("judged"), F.max("inside").alias("inside"), F.max("suspect").alias("suspect"))
     texts = found.select("host", "path", F.explode("texts").alias("text")).groupBy("host", "path", "text").agg(F.count("*").alias("n"))
     reads = texts.groupBy("host", "path").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.log("n")).alias("t"))
     # Each path's texts also count for the branches above it.
-    parts = F.split("path", ">")
-    up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), ">"))
-    reads = reads.select("host", F.explode(up).alias("path"), "n", "t").groupBy("host", "path").agg(
+    own = looks.select(F.col("host").alias("h"), F.col("path").alias("p"), "ups")
+    reads = reads.join(own, F.col("host").eqNullSafe(F.col("h")) & (F.col("path") == F.col("p")))
+    reads = reads.select("host", F.explode("ups").alias("path"), "n", "t").groupBy("host", "path").agg(
         F.sum("n").alias("texts"), F.sum("t").alias("t"))
     reads = reads.withColumnsRenamed({"host": "h", "path": "p"})
     tree = looks.join(reads, F.col("host").eqNullSafe(F.col("h")) & (F.col("path") == F.col("p")), "left")
@@ -310,20 +406,38 @@ def style_tree(found: DataFrame) -> DataFrame:
     base = F.log(F.greatest(n, F.lit(2)))
     share = F.pow(F.lit(GAMMA), F.col("c") / n)
     tree = tree.select(
-        "host", "path", "pages",
+        "host", "path", "ups", "judged", "inside", "suspect", "pages",
         ((F.log(n) - F.col("nlogn") / n) / base).alias("presentation"),
-        F.coalesce(1 - F.col("t") / F.col("texts") / base, F.lit(0.0)).alias("content"), share.alias("share"),
+        F.coalesce(1 - F.col("t") / F.col("texts") / base, F.lit(0.0)).alias("content"),
+        F.col("texts").isNotNull().alias("says"), share.alias("share"),
     )
     comp = (1 - F.col("share")) * F.col("presentation") + F.col("share") * F.col("content")
     return tree.select(*[c for c in tree.columns if c != "share"], comp.alias("importance"))
 
 
+def low_paths(tree: DataFrame) -> DataFrame:
+    """host, path of the branches to remove: low themselves, without anything important below them.
+
+    A path is judged if ``MIN_PAGES`` pages of the host have it; a path on fewer is
+    important if it holds text. A suspect name inside an article or the main part is
+    low as soon as it is judged: so many pages have it that it belongs to the template.
+    """
+    many = F.col("judged") & (F.col("pages") >= MIN_PAGES)
+    bound = F.when(F.col("inside"), THRESHOLD * IN_ARTICLE).otherwise(THRESHOLD)
+    low = many & (F.col("suspect") | (F.col("importance") < bound))
+    told = tree.select("host", "path", "ups", "suspect", low.alias("low"), (~low & F.col("says")).alias("important"))
+    above = told.where("important").select(
+        F.col("host").alias("h"), F.explode(F.slice("ups", 1, F.greatest(F.size("ups") - 1, F.lit(0)))).alias("p")).distinct()
+    met = told.where("low").join(above, F.col("host").eqNullSafe(F.col("h")) & (F.col("path") == F.col("p")), "left")
+    return met.where(F.col("suspect") | F.col("p").isNull()).select("host", "path")
+
+
 def main_texts(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """All rows and columns of ``pages`` but the html, with ``text`` and ``n_chars`` of the main text.
 
     An own text or n_chars column is overwritten. Null or empty html gives empty text;
     a null url is a host of its own; repeated rows count as pages and get the same
-    text; pages of any length are read whole. An empty table gives an empty one.
+    text; pages of any length and depth are read whole. An empty table gives an empty one.
 
     A path is judged if eight pages of the host or more have it. The low paths are joined
     to the paths of the pages and gathered per page, so no list is longer than a page
@@ -331,9 +445,7 @@ def main_texts(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     """
     rows = pages.select(F.struct("*").alias("page"), host_of(pages[url_col].cast("string")).alias("host"), full_text(pages[html_col]).alias("html"))
     found = checkpoint(page_paths(rows.select("host", "html")))
-    bound = F.when(F.col("path").rlike(r"(^|>)article([#.][^>]*)?>"), THRESHOLD * IN_ARTICLE).otherwise(THRESHOLD)
-    low = style_tree(found).where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < bound))
-    low = checkpoint(low.select(F.col("host").alias("low_host"), F.col("path").alias("low_path")))
+    low = checkpoint(low_paths(checkpoint(style_tree(found))).toDF("low_host", "low_path"))
     low = broadcast_if_small(low, max_bytes=8 << 20)
     met = found.select("host", "page", "path").join(low, F.col("host").eqNullSafe(F.col("low_host")) & (F.col("path") == F.col("low_path")))
     met = checkpoint(met.groupBy(F.col("host").alias("low_host"), F.col("page").alias("digest")).agg(F.sort_array(F.collect_set("path")).alias("low")))
