@@ -13,7 +13,7 @@ from tracewright.operators import corpus, instructions, outcomes
 from tracewright.operators.outcomes import Contains
 from tracewright.operators.scoring import predict_in_batches, score
 from tracewright.plans import flows, preparation
-from tracewright.sources import readers, writers
+from tracewright.sources import readers, staged, writers
 from workload.logs import NARRATIVES, item_log
 from workload.queries import RULE_TEXTS, item_labels
 
@@ -294,3 +294,65 @@ def test_csv_keeps_every_value(spark, tmp_path):
     writers.write_logs(log, str(tmp_path / "log"), "csv")
     rows = readers.read_csv(spark, str(tmp_path / "log"), sep=",", encoding="UTF-8", schema="case_id string, activity string").select("case_id", "activity")
     assert sorted(map(repr, map(tuple, rows.collect()))) == sorted(repr((f"c{i}", t)) for i, t in enumerate(odd) if t)
+
+
+def test_output_is_whole_or_not_at_all(spark, tmp_path):
+    target = f"{tmp_path}/out/log"
+    df = spark.range(100).withColumn("v", F.col("id") % 7)
+    write = lambda frame, path: frame.write.parquet(path)
+    facts = staged.commit(df, target, write, "first", {"of": "test"}, {"sevens": F.count_if(F.col("v") == 0)})
+    assert facts == {"of": "test", "n_rows": 100, "sevens": 15}
+    assert staged.committed(spark, target, "first") == {"of": "test", "n_rows": "100", "sevens": "15"}
+    assert staged.committed(spark, target, "other") is None and staged.committed(spark, f"{target}2") is None
+
+    def half(frame, path):
+        frame.limit(10).write.parquet(path)
+        raise OSError("lost")
+
+    with pytest.raises(OSError, match="lost"):  # what was there stays, and nothing of the half is read
+        staged.commit(df, target, half, "second")
+    assert spark.read.parquet(target).count() == 100 and staged.committed(spark, target, "first")
+    # The next run takes the left-over away and puts its rows in the place of the old ones.
+    assert staged.commit(df.limit(0), target, write, "third", observed={"most": F.max("v")}) == {"n_rows": 0, "most": None}
+    assert spark.read.parquet(target).count() == 0 and staged.committed(spark, target, "third")
+    assert not list((tmp_path / "out" / "_staging").iterdir())
+
+
+def test_changed_parts_are_found(spark, tmp_path):
+    target = f"{tmp_path}/log"
+    staged.commit(spark.range(100).repartition(3), target, lambda frame, path: frame.write.json(path))
+    assert staged.changed_parts(spark, target).isEmpty()
+    parts = sorted(tmp_path.glob("log/part-*.json"))
+    parts[0].unlink()
+    parts[1].write_text(parts[1].read_text() + "{}")
+    (tmp_path / "log" / "new.json").write_text("{}")
+    got = {tuple(r) for r in staged.changed_parts(spark, target).collect()}
+    assert got == {(parts[0].name, "missing"), (parts[1].name, "other size"), ("new.json", "new")}
+    assert staged.committed(spark, target) is None
+
+
+def test_runs_go_on_where_they_ended(spark, tmp_path):
+    raw, out = prepared_folder(tmp_path), f"{tmp_path}/out"
+    first = preparation.remaining_time_logs(spark, raw, out, fmt="parquet", resume=True)
+    assert not first.errors and not first.resumed and {d["dataset"]: d["n_rows"] for d in first.done} == {"Helpdesk": 3, "BPIC2019": 1}
+    assert {d["events_without_time"] for d in first.done} == {0}
+    (tmp_path / "raw" / "BPIC2019.csv").write_text("Case ID,Activity,Complete Timestamp\n1,Odd,2020-01-01\n1,Odd,never\n")
+    second = preparation.remaining_time_logs(spark, raw, out, fmt="parquet", resume=True)
+    assert second.resumed == ["Helpdesk"]
+    assert {d["dataset"]: (int(d["n_rows"]), int(d["events_without_time"])) for d in second.done} == {"Helpdesk": (3, 0), "BPIC2019": (2, 1)}
+    assert spark.read.json(f"{out}/_summary").count() == 2
+    third = preparation.remaining_time_logs(spark, raw, out, unit="hours", fmt="parquet", resume=True)
+    assert not third.resumed and not preparation.remaining_time_logs(spark, raw, out, fmt="parquet").resumed
+    names = readers.read_named(spark, f"{out}/Helpdesk", "Helpdesk")
+    assert names.count() == 3
+
+
+def test_only_faults_of_a_log_are_its_errors(spark, tmp_path, monkeypatch):
+    raw = prepared_folder(tmp_path)
+
+    def lost(*args):
+        raise RuntimeError("the cluster is gone")
+
+    monkeypatch.setattr(preparation, "add_remaining_time", lost)
+    with pytest.raises(RuntimeError, match="gone"):
+        preparation.remaining_time_logs(spark, raw, f"{tmp_path}/out")

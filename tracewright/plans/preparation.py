@@ -9,7 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException, PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.operators.canonicalize import (
@@ -21,6 +22,7 @@ from tracewright.schema import (
     ACTIVITY_NAMES, CASE_NAMES, DATASET_SPELLINGS, TIMESTAMP_NAMES, event_log, resolve_column,
 )
 from tracewright.sources.readers import log_files, read_any
+from tracewright.sources.staged import commit, committed
 from tracewright.sources.writers import write_logs, write_report
 
 # Logs that take their labels from another log.
@@ -29,11 +31,26 @@ RELATED = {"BPIC2012W": "BPIC2012A"}
 
 @dataclass
 class Report:
-    """What a run did: written logs, logs that failed, and the files that name no dataset."""
+    """What a run did: written logs, logs that failed, and the files that name no dataset.
+
+    ``resumed`` names the logs of ``done`` that an earlier run had written.
+    """
 
     skipped: DataFrame
     done: list[dict] = field(default_factory=list)
     errors: list[dict] = field(default_factory=list)
+    resumed: list[str] = field(default_factory=list)
+
+
+# What a log that cannot be read or processed raises. Anything else, a lost cluster or a
+# full disk, is no fault of the log and ends the run.
+BAD_LOG = (ValueError, LookupError, AnalysisException)
+BAD_FILE = ("FAILED_READ_FILE", "MALFORMED", "CANNOT_READ", "INVALID_FILE", "CAST_INVALID_INPUT", "CANNOT_PARSE")
+
+
+def _of_the_log(problem: Exception) -> bool:
+    return isinstance(problem, BAD_LOG) or (
+        isinstance(problem, PySparkException) and (problem.getCondition() or "").startswith(BAD_FILE))
 
 
 def find_logs(
@@ -71,29 +88,53 @@ def read_log(spark: SparkSession, dataset: str, paths: Mapping[str, Sequence[str
     return log
 
 
+def input_states(spark: SparkSession, root: str, spellings: Mapping[str, Sequence[str]] = DATASET_SPELLINGS) -> dict[str, str]:
+    """For each dataset a text that changes with its files: their number, and their paths, sizes and times hashed."""
+    one = F.xxhash64("path", "length", F.unix_micros("modificationTime")).cast("decimal(38,0)")
+    states = log_files(spark, root, spellings, "length", "modificationTime").where("dataset IS NOT NULL").groupBy("dataset").agg(
+        F.concat_ws(" ", F.count("*"), F.sum(one)).alias("state"))
+    return {r["dataset"]: r["state"] for r in states.collect()}
+
+
 def _each_log(
     spark: SparkSession, root: str, out: str, work: Callable[[DataFrame, str], tuple[DataFrame, dict]],
     fmt: str, spellings: Mapping[str, Sequence[str]],
     roles: Callable[[DataFrame, str], dict] = lambda raw, dataset: {},
+    settings: Callable[[str], str | None] | None = None, observed: Mapping[str, Column] | None = None,
 ) -> Report:
-    """All parts of a dataset are one log: read together, processed once, written once."""
+    """All parts of a dataset are one log: read together, processed once, written whole.
+
+    With ``settings`` a log is left as it is if an earlier run wrote it from the same
+    files with the same settings, and its files are still those; None: write it anew.
+    ``observed`` are facts that the write counts.
+    """
     logs, skipped = find_logs(spark, root, spellings)
     if not logs:
         raise FileNotFoundError(f"no log of a known dataset below {root}")
+    states = input_states(spark, root, spellings)
     report = Report(skipped)
     for dataset, paths in logs.items():
         inputs = ", ".join(p for parts in paths.values() for p in parts)
+        target = f"{out.rstrip('/')}/{dataset}"
+        setting = settings(dataset) if settings else None
+        made_from = f"{states[dataset]} {fmt} {setting or ''}"
+        before = committed(spark, target, made_from) if setting is not None else None
+        if before is not None:
+            report.resumed.append(dataset)
+            report.done.append({"dataset": dataset, "input": inputs, "output": target, **before})
+            continue
         try:
             result, facts = work(read_log(spark, dataset, paths, roles), dataset)
-            target = f"{out.rstrip('/')}/{dataset}"
-            write_logs(result, target, fmt)
+            facts = commit(result, target, lambda df, path: write_logs(df, path, fmt), made_from, facts, observed)
             report.done.append({"dataset": dataset, "input": inputs, "output": target, **facts})
         except Exception as problem:  # noqa: BLE001 - one bad log must not stop the others
+            if not _of_the_log(problem):
+                raise
             report.errors.append({"dataset": dataset, "file": inputs, "error": str(problem)})
     for name, rows in (("summary", report.done), ("errors", report.errors)):
         if rows:
-            columns = list(rows[0])
-            texts = [tuple(None if r[k] is None else str(r[k]) for k in columns) for r in rows]
+            columns = list(dict.fromkeys(k for r in rows for k in r))
+            texts = [tuple(None if r.get(k) is None else str(r[k]) for k in columns) for r in rows]
             frame = spark.createDataFrame(texts, ", ".join(f"`{k}` string" for k in columns))
             write_report(frame, f"{out.rstrip('/')}/_{name}", json=True)
     return report
@@ -101,9 +142,12 @@ def _each_log(
 
 def canonicalize_logs(
     spark: SparkSession, root: str, out: str, activity_map: DataFrame, fmt: str = "csv",
-    activity: str | None = None, spellings: Mapping[str, Sequence[str]] = DATASET_SPELLINGS,
+    activity: str | None = None, spellings: Mapping[str, Sequence[str]] = DATASET_SPELLINGS, resume: bool = False,
 ) -> Report:
-    """Canonical activity names for every log; a log with uncovered names is an error."""
+    """Canonical activity names for every log; a log with uncovered names is an error.
+
+    ``resume`` leaves logs that an earlier run wrote from the same files and names.
+    """
     def roles(raw: DataFrame, dataset: str) -> dict:
         used[dataset] = activity or detect_activity_column(raw, activity_map, dataset)
         return {"activity": used[dataset]}
@@ -117,18 +161,24 @@ def canonicalize_logs(
             raise ValueError(f"{dataset}: canonical names are not one-to-one")
         return canonicalize(log, mine, strict=True), facts
 
-    return _each_log(spark, root, out, work, fmt, spellings, roles)
+    states: dict[str, str] = {}
+    if resume:
+        pair = F.xxhash64("raw", "canonical").cast("decimal(38,0)")
+        states = {r[0]: r[1] for r in activity_map.groupBy("dataset").agg(F.concat_ws(" ", F.count("*"), F.sum(pair))).collect()}
+    settings = (lambda dataset: f"{activity} {states.get(dataset)}") if resume else None
+    return _each_log(spark, root, out, work, fmt, spellings, roles, settings)
 
 
 def label_logs(
     spark: SparkSession, root: str, out: str, rules: Mapping[str, Rule], fmt: str = "csv",
     positive: str = "success", negative: str = "failure", drop_unlabeled: bool = False,
-    spellings: Mapping[str, Sequence[str]] = DATASET_SPELLINGS,
+    spellings: Mapping[str, Sequence[str]] = DATASET_SPELLINGS, resume: bool = False,
 ) -> Report:
     """Outcome of its case on every event of every log, with rules and summary.
 
     A log without a rule whose labels come from another log of the same tree
-    (``RELATED``) is labelled from it.
+    (``RELATED``) is labelled from it. ``resume`` leaves logs that an earlier run
+    labelled from the same files by the same rule, but not those labelled from a table.
     """
     rules = dict(rules)
     logs, _ = find_logs(spark, root, spellings)
@@ -150,7 +200,14 @@ def label_logs(
         return labelled, {**columns[dataset], **label_summary(log, rule, positive, negative).first().asDict()}
 
     texts = rule_texts(rules, positive, negative)
-    report = _each_log(spark, root, out, work, fmt, spellings, roles)
+    def settings(dataset: str) -> str | None:
+        rule = rules.get(dataset)
+        if rule is None or isinstance(rule, Lookup):
+            return None
+        parts = {k: sorted(v) if isinstance(v, (set, frozenset)) else v for k, v in vars(rule).items()}
+        return f"{type(rule).__name__} {parts} {positive} {negative} {drop_unlabeled}"
+
+    report = _each_log(spark, root, out, work, fmt, spellings, roles, settings if resume else None)
     frame = spark.createDataFrame(list(texts.items()), "dataset string, rule string")
     write_report(frame, f"{out.rstrip('/')}/_rules", json=True)
     return report
@@ -163,11 +220,15 @@ def related_labels(log: DataFrame, rule: Rule, dataset: str) -> DataFrame:
 
 def remaining_time_logs(
     spark: SparkSession, root: str, out: str, unit: str = "days", round_digits: int | None = 0,
-    fmt: str = "csv", spellings: Mapping[str, Sequence[str]] = DATASET_SPELLINGS,
+    fmt: str = "csv", spellings: Mapping[str, Sequence[str]] = DATASET_SPELLINGS, resume: bool = False,
 ) -> Report:
-    """Remaining time on every event of every log; unreadable times are counted."""
+    """Remaining time on every event of every log; the write counts unreadable times.
+
+    ``resume`` leaves logs that an earlier run wrote from the same files with the same unit.
+    """
     def work(log: DataFrame, dataset: str) -> tuple[DataFrame, dict]:
-        lost = log.agg(F.count_if(F.col("ts").isNull()).alias("n")).first()["n"]
-        return add_remaining_time(log, unit, round_digits), {"events_without_time": lost}
+        return add_remaining_time(log, unit, round_digits), {}
 
-    return _each_log(spark, root, out, work, fmt, spellings)
+    lost = {"events_without_time": F.count_if(F.col("ts").isNull())}
+    settings = (lambda dataset: f"{unit} {round_digits}") if resume else None
+    return _each_log(spark, root, out, work, fmt, spellings, settings=settings, observed=lost)

@@ -1120,6 +1120,34 @@ def remaining_time_tree(spark, sf):
     return read_tree(spark, f"{root}/out").select("dataset", "case_id", "in_order", "remaining_time")
 
 
+@register(Q.query(
+    """SELECT dataset, case_id, in_order, replace(lower(activity), '/', ' ') AS activity,
+ CASE WHEN dataset = 'lineitem' THEN 2 ELSE 1 END AS run, count(*) OVER (PARTITION BY dataset) AS n_rows FROM logs""", logs=Q.ALL))
+def resumed_tree(spark, sf):
+    """A run that ends half-way and one that goes on: every row once, logs of the first run untouched.
+
+    The first run lacks the names of one log. The second has them; it leaves the
+    others as they are, and each log's manifest tells its number of rows.
+    """
+    root = log_tree(spark, sf)
+    names = table(spark, sf, "lineitem").limit(0).select(F.lit("").alias("dataset"), F.lit("").alias("raw"), F.lit("").alias("canonical"))
+    for log in (user_log, item_log, order_log):
+        names = names.unionByName(log(spark, sf).select(
+            "dataset", F.col("activity").alias("raw"), F.replace(F.lower("activity"), F.lit("/"), F.lit(" ")).alias("canonical")).distinct())
+    names = checkpoint(names)
+    runs: dict[str, int] = {}
+    for run, known in ((1, names.where("dataset <> 'lineitem'")), (2, names)):
+        report = canonicalize_logs(
+            spark, f"{root}/raw", f"{root}/out", known, fmt="parquet", activity="activity", spellings=TREE, resume=True)
+        for done in report.done:
+            if done["dataset"] not in report.resumed:
+                runs[done["dataset"]] = run
+    counts = [(d["dataset"], runs[d["dataset"]], int(d["n_rows"])) for d in report.done]
+    told = spark.createDataFrame(counts, "dataset string, run int, n_rows long")
+    return read_tree(spark, f"{root}/out").join(F.broadcast(told), "dataset").select(
+        "dataset", "case_id", "in_order", "activity", "run", "n_rows")
+
+
 # ---- absent outputs --------------------------------------------------------
 
 @register(Q.query(
