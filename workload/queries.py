@@ -934,6 +934,33 @@ def parse_categorical_text(spark, sf):
         "doc_id", "prediction", "is_valid_parse")
 
 
+SPEAKER_SQL = "'spoken by ' || coalesce(role, 'nobody') || ' in turn ' || repeat(chr(CAST(97 + coalesce(turn, 0) % 26 AS INT)), 4)"
+
+
+@register(f"""SELECT conv_id, turn, role, CASE WHEN way = 4 THEN '__INVALID__' ELSE name END AS prediction, way <> 4 AS is_valid_parse
+ FROM (SELECT *, {SPEAKER_SQL} AS name, (conv_id + coalesce(turn, 0)) % 5 AS way FROM conversations WHERE conv_id IS NOT NULL)""")
+def parse_categorical_turns(spark, sf):
+    """Whole turns of conversations as answers, each with its speaker told in one of five ways.
+
+    On a line of its own behind a lead-in; inside the last sentence; before the text;
+    on a line with two letters changed over; and not at all, so that all of the turn
+    has to be compared with all speakers.
+    """
+    turn = F.coalesce("turn", F.lit(0))
+    letter = F.chr(97 + turn % 26)
+    turns = table(spark, sf, "conversations").where("conv_id IS NOT NULL").withColumns({
+        "dataset": F.lit("turns"), "said": F.coalesce("text", F.lit("")), "way": (F.col("conv_id") + turn) % 5,
+        "name": F.concat(F.lit("spoken by "), F.coalesce("role", F.lit("nobody")), F.lit(" in turn "), F.repeat(letter, F.lit(4)))})
+    names = turns.groupBy("dataset").agg(F.sort_array(F.collect_set("name")).alias("names"))
+    way = F.col("way")
+    raw = F.when(way == 0, F.concat("said", F.lit("\nThe prediction is: "), F.upper("name"))).when(
+        way == 1, F.concat("said", F.lit(" they said "), "name", F.lit(" again"))).when(
+        way == 2, F.concat("name", F.lit("\n"), "said")).when(
+        way == 3, F.concat("said", F.lit("\n"), F.replace("name", F.lit("spoken"), F.lit("spokne")))).otherwise(F.col("said"))
+    return parse_categorical(with_candidates(turns.withColumn("raw", raw), names), "raw", "cands").select(
+        "conv_id", "turn", "role", "prediction", "is_valid_parse")
+
+
 @register(f"""SELECT event_id, CASE WHEN event_id % 5 = 3 OR (event_id % 5 = 4 AND event_type <> 'purchase')
  THEN '__INVALID__' ELSE event_type END AS prediction,
  NOT (event_id % 5 = 3 OR (event_id % 5 = 4 AND event_type <> 'purchase')) AS is_valid_parse FROM events""")
