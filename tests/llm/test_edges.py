@@ -232,6 +232,18 @@ def test_a_group_above_a_leaf_is_divided(spark):
     assert sizes.max() / sizes.min() < 1.2
 
 
+def test_many_shards_with_giants(spark):
+    """Giant groups and large units in many leaves: every row once, near equal bytes, small groups whole."""
+    rows = [(i, f"giant {i % 3} " * 30, "en", "s") for i in range(1200)]
+    rows += [(10_000 + i, f"text {i} " * (400 if i % 40 == 0 else 20), f"l{i % 3}", f"s{i % 5}") for i in range(800)]
+    out = kd_shards(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), shards=21).collect()
+    assert sorted(r.id for r in out) == sorted(r[0] for r in rows)
+    sizes = np.bincount([r.shard for r in out], weights=[r["size"] for r in out], minlength=21)
+    assert sizes.max() / sizes.min() < 1.6
+    for s in range(21):
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
+
+
 def test_language(spark, docs):
     rows = [(i, w * 30, k) for i in range(40) for w, k in ((f"the cat {i} sat ", "en"), (f"der Hund {i} lief ", "de"))]
     net = learn(spark.createDataFrame(rows, "id long, text string, lang string"))

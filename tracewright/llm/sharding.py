@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -37,15 +38,14 @@ def _split(units: DataFrame, dims: list[str], plan: list[tuple[int, int]], spans
         return units.withColumn("side", F.lit(0))
     goal = {r["node"]: r["total"] * (leaves[r["node"]] // 2) / leaves[r["node"]] for r in todo}
     # Units that are large for their node, at most HEAVY in each: largest first to the side that lacks most.
-    bounds = spark.createDataFrame([(r["node"], r["total"] // HEAVY) for r in todo], "node long, most long")
+    bounds = spark.createDataFrame(
+        [(r["node"], r["total"] // HEAVY, float(goal[r["node"]]), float(r["total"] - goal[r["node"]])) for r in todo],
+        "node long, most long, room_0 double, room_1 double")
     sized = units.join(F.broadcast(bounds), "node")
-    placed, left = [], dict.fromkeys(goal, 0)
-    room = {r["node"]: [goal[r["node"]], r["total"] - goal[r["node"]]] for r in todo}
-    for r in sized.where("w > most").select("node", "unit", "w").orderBy(F.desc("w"), "unit").collect():
-        side = int(room[r["node"]][1] > room[r["node"]][0])
-        room[r["node"]][side] -= r["w"]
-        left[r["node"]] += 0 if side else r["w"]
-        placed.append((r["unit"], side))
+    heavy = sized.where("w > most").select("node", "unit", "w", "room_0", "room_1")
+    placed = checkpoint(heavy.groupBy("node").applyInPandas(_place, "node long, unit string, w long, placed int"))
+    left = dict.fromkeys(goal, 0) | {
+        r["node"]: r["w"] for r in placed.where("placed = 0").groupBy("node").agg(F.sum("w").alias("w")).collect()}
     light = sized.where("w <= most")
 
     # For each node: the dimension, the range looked at, and the weight still to find in it.
@@ -87,15 +87,23 @@ def _split(units: DataFrame, dims: list[str], plan: list[tuple[int, int]], spans
             else:
                 s[1], s[2] = start, end
     cuts = spark.createDataFrame([(n, s[0], s[1], s[4]) for n, s in state.items()], "node long, dim string, at long, h_at long")
-    whole = spark.createDataFrame(placed, "unit string, placed int") if placed else None
     x = F.coalesce(*[F.when(F.col("dim") == d, F.col(d)) for d in dims])
     cut = units.join(F.broadcast(cuts), "node", "left")
     side = F.when(F.col("dim").isNull(), 0).when((x < F.col("at")) | ((x == F.col("at")) & (F.col("h") <= F.col("h_at"))), 0)
     side = side.otherwise(1)
-    if whole is not None:
-        cut = cut.join(F.broadcast(whole), "unit", "left")
-        side = F.coalesce(F.col("placed"), side)
-    return cut.select(*units.columns, side.alias("side"))
+    whole = broadcast_if_small(placed.select(F.col("unit").alias("whole"), "placed"))
+    cut = cut.join(whole, F.col("unit") == F.col("whole"), "left")
+    return cut.select(*units.columns, F.coalesce("placed", side).alias("side"))
+
+
+def _place(rows: pd.DataFrame) -> pd.DataFrame:
+    """Sides of the large units of one node, fewer than ``HEAVY``."""
+    rows = rows.sort_values(["w", "unit"], ascending=[False, True])
+    room, sides = [rows["room_0"].iat[0], rows["room_1"].iat[0]], []
+    for w in rows["w"]:
+        sides.append(int(room[1] > room[0]))
+        room[sides[-1]] -= w
+    return rows[["node", "unit", "w"]].assign(placed=sides)
 
 
 def kd_shards(
@@ -115,7 +123,8 @@ def kd_shards(
     Size is the UTF-8 bytes of the text plus one; null text counts as empty. Null
     metadata count as empty text. Repeated rows are rows, each with a slot. Slots are
     gapless from 0 in each shard. An empty table gives no rows. The driver sees a few
-    numbers per node, whatever the data; it broadcasts nothing else.
+    numbers per node, whatever the data, and broadcasts them; large units and groups
+    stay on the executors, and are broadcast only where they are measured to be small.
     """
     text = full_text(docs[text_col])
     dims = dict(default_dimensions(docs, text_col) if dimensions is None else dimensions)
@@ -132,9 +141,9 @@ def kd_shards(
         shards = max(1, -(-total // (target_bytes or total)))
     # Groups above a leaf are dealt to 64 parts by id; there are fewer than ``shards`` of them.
     sizes = rows.groupBy("text_md5").agg(F.sum("size").alias("w"), *[F.min(d).alias(d) for d in names])
-    giant = [r["text_md5"] for r in sizes.where(F.col("w") > total / shards).select("text_md5").collect()]
-    part = F.when(F.col("text_md5").isin(giant), F.col("deal")) if giant else F.lit(None).cast("long")
-    rows = rows.withColumn("unit", F.concat_ws("-", "text_md5", part))
+    giant = broadcast_if_small(checkpoint(sizes.where(F.col("w") > total / shards).select(F.col("text_md5").alias("giant"))))
+    rows = rows.join(giant, F.col("text_md5") == F.col("giant"), "left").withColumn(
+        "unit", F.concat_ws("-", "text_md5", F.when(F.col("giant").isNotNull(), F.col("deal")))).drop("giant")
     units = rows.groupBy("unit").agg(F.sum("size").alias("w"), *[F.min(d).alias(d) for d in names])
     units = checkpoint(units.withColumns({"h": F.pmod(F.xxhash64("unit"), F.lit(HASHES)), "node": F.lit(0).cast("long")}))
     limits = units.agg(*[f(d).alias(f"{k}_{d}") for d in names for k, f in (("min", F.min), ("max", F.max))]).first()
