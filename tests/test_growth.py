@@ -2,6 +2,9 @@
 
 import glob
 
+from pyspark.sql import functions as F
+
+from tracewright.operators import corpus
 from workload.queries import log_tree
 
 SF = "/root/testdata/sf0.001"
@@ -16,3 +19,20 @@ def test_parts_of_a_tree_follow_the_table(spark):
     parts = glob.glob(f"{root.removeprefix('file:')}/raw/lineitem.parquet/*.parquet")
     assert len(parts) > 3
     assert spark.read.parquet(f"{root}/raw/lineitem.parquet").count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()
+
+
+def test_a_tokeniser_of_batches_gets_bounded_batches(spark):
+    most = corpus.ENCODED_AT_ONCE
+
+    def encode(texts):
+        if len(texts) > 1 and sum(len(t or "") for t in texts) > most:
+            raise ValueError("too much at once")
+        return [None if t is None else list(t.encode()) for t in texts]
+
+    rows = [(i, "x" * (i * 50_000)) for i in range(30)] + [(30, "y" * (most + 5)), (31, None), (32, ""), (33, "zä")]
+    texts = spark.createDataFrame(rows, "i int, text string").coalesce(1)
+    ids = texts.select("i", corpus.batch_tokenizer(encode)(F.col("text")).alias("ids"))
+    assert {r.i: r.n for r in ids.select("i", F.size("ids").alias("n"), F.col("ids").isNull().alias("none")).where("not none").collect()} == {
+        i: len(t.encode()) for i, t in rows if t is not None}
+    assert ids.where("ids is null").count() == 1
+    assert ids.where("i = 33").first().ids == list("zä".encode())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from tracewright.functions.text import strip
 from tracewright.operators.sampling import random_rows
 
 IGNORED = -100  # fixed value: label of positions without loss
+ENCODED_AT_ONCE = 1 << 20  # characters
 
 
 def clean_text(df: DataFrame, text: str = "text") -> DataFrame:
@@ -42,10 +44,27 @@ def word_ids(text: Column) -> Column:
 
 
 def batch_tokenizer(encode: Callable[[list[str]], list[list[int]]]) -> Callable[[Column], Column]:
-    """A tokeniser of text batches as a Column function, in Arrow batches."""
+    """A tokeniser of text batches as a Column function, in Arrow batches.
+
+    ``encode`` gets ``ENCODED_AT_ONCE`` characters at once at most, or one longer text,
+    and its lists are packed before the next, so a worker never holds a whole batch as numbers of Python.
+    """
     @F.pandas_udf("array<int>")
     def ids(texts: pd.Series) -> pd.Series:
-        return pd.Series(encode(texts.tolist()), dtype=object)
+        out: list[np.ndarray | None] = []
+        part: list[str] = []
+        size = 0
+
+        def packed() -> list[np.ndarray | None]:
+            return [None if x is None else np.asarray(x, np.int32) for x in encode(part)] if part else []
+
+        for text in texts:
+            if part and size + len(text or "") > ENCODED_AT_ONCE:
+                out += packed()
+                part, size = [], 0
+            part.append(text)
+            size += len(text or "")
+        return pd.Series(out + packed(), dtype=object)
 
     return ids
 
