@@ -5,6 +5,8 @@ import glob
 from pyspark.sql import functions as F
 
 from tracewright.operators import corpus
+from tracewright.operators.segments import segment_stories
+from workload.logs import NARRATIVES, item_log
 from workload.queries import log_tree
 
 SF = "/root/testdata/sf0.001"
@@ -36,3 +38,9 @@ def test_a_tokeniser_of_batches_gets_bounded_batches(spark):
         i: len(t.encode()) for i, t in rows if t is not None}
     assert ids.where("ids is null").count() == 1
     assert ids.where("i = 33").first().ids == list("zä".encode())
+
+
+def test_events_of_a_block_are_sorted_without_a_lambda(spark):
+    """array_sort runs an interpreted comparison for each pair of events."""
+    told = segment_stories(item_log(spark, SF), NARRATIVES)
+    assert "array_sort" not in told._jdf.queryExecution().analyzed().toString()
