@@ -61,6 +61,39 @@ def test_chains_hot_groups_and_blanks(spark):
     assert similar_texts(df.limit(0)).count() == 0
 
 
+def test_large_blocks_are_dealt_into_cells(spark, monkeypatch):
+    rnd = random.Random(5)
+    text, rows = [f"w{rnd.randrange(10**6)}" for _ in range(120)], []
+    for i in range(80):  # near copies of one text, many of them not alike
+        copy = list(text)
+        for at in rnd.sample(range(120), rnd.randrange(1, 6)):
+            copy[at] = f"n{i} {at}"
+        rows.append((i, " ".join(copy)))
+    rows += [(100 + i, " ".join(text[i:] + [f"z{i}"])) for i in range(0, 40, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_force(rows)
+    assert len(set(want.values())) > 1
+    for nodes in (9, 1_000):
+        monkeypatch.setattr(similar, "BLOCK_NODES", nodes)
+        assert {r.id: r.component_id for r in similar_texts(df).collect()} == want
+
+
+def test_anchors_and_min_hashes_propose(spark):
+    rows = [(b"a", 5, 1, [1, 2]), (b"b", 5, 1, [3, 4]), (b"c", 5, 2, [5, 6]), (b"d", 5, 3, [7, 6]), (b"e", 5, 4, [6, 7])]
+    nodes = spark.createDataFrame(rows, "node binary, size long, class long, keys array<long>")
+    blocks = {}
+    for r in similar._blocks(nodes).collect():
+        blocks.setdefault(r.block, set()).add(bytes(r.node))
+    # One class of anchors, and one key of the same band; a key of another band is another key.
+    assert sorted(map(sorted, blocks.values())) == [[b"a", b"b"], [b"c", b"d"]]
+
+
+def test_links_of_a_group_are_fewer_than_its_members():
+    sets = [np.unique(np.array([*range(100), 1_000 + i], np.uint64)) for i in range(300)]
+    assert len(similar.close_links(sets, [None] * 300)) == 299
+    assert all((a < 150) != (b < 150) for a, b in similar.close_links(sets, [int(i < 150) for i in range(300)]))
+
+
 def test_similarity():
     a, b = (similar.shingles(" ".join(map(str, range(n)))) for n in (104, 84))
     assert similar.similarity(a, b) == 0.8 and len(similar.shingles("")) == 1

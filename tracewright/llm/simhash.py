@@ -46,10 +46,22 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     for start in range(0, n, BLOCK):
         part = words[start: start + BLOCK + width - 1]
         shingles = zip(*(part[k:] for k in range(width))) if len(words) >= width else [part]
-        h = np.array([digest(join(s), SEED) for s in shingles], np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * ones > n, bitorder="little")
-    return int(bits.view(np.int64)[0])
+        ones += _ones(np.array([digest(join(s), SEED) for s in shingles], np.uint64))
+    return _packed(2 * ones > n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Fingerprint of hashes (uint64) as a signed long: the bits that are set in over half of them."""
+    ones = sum((_ones(hashes[low: low + BLOCK]) for low in range(0, len(hashes), BLOCK)), np.zeros(64, np.int64))
+    return _packed(2 * ones > len(hashes))
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _packed(bits: np.ndarray) -> int:
+    return int(np.packbits(bits, bitorder="little").view(np.int64)[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -228,6 +240,12 @@ def near_links(fps: DataFrame) -> DataFrame:
     return found.distinct()
 
 
+def near_classes(fps: DataFrame) -> DataFrame:
+    """Rows of distinct fingerprints (``fp``) with ``root``, the least fingerprint that links reach."""
+    roots = components(near_links(fps))
+    return fps.join(roots, fps["fp"] == roots["node"], "left").select(*fps.columns, F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, fp (signed long) and component_id of every row.
 
@@ -241,9 +259,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = checkpoint(fingerprints(docs, id_col, text_col))
     fps = checkpoint(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = components(near_links(fps))
-    labelled = fps.join(roots, fps["fp"] == roots["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root"))
+    labelled = near_classes(fps)
     ids = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = labelled.join(ids, "root").select(F.col("fp").alias("class_fp"), "component_id")
     return rows.join(classes, rows["fp"] == classes["class_fp"]).select("id", "fp", "component_id")

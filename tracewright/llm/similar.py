@@ -1,9 +1,11 @@
 """Groups of texts by Jaccard similarity of word shingles, checked exactly.
 
-Min-hashes propose: ``BANDS`` keys of ``ROWS`` min-hashes each, so that a pair at the
-least similarity shares no key with probability (1 - 0.8**5)**40, about 1e-7. SimHash
-anchors cannot propose here: texts of similarity 0.8 differ in ten bits of 64 and more.
-Every proposed pair is compared by its whole shingle sets before it links.
+Two methods propose. The SimHash anchors of ``simhash`` put the fingerprints of the
+shingle sets that are within two bits into one class. Texts of similarity 0.8 differ in
+up to fifteen bits of 64, more than anchors can cover, so min-hashes propose as well:
+``BANDS`` keys of ``ROWS`` min-hashes each, so that a pair at the least similarity shares
+no key with probability (1 - 0.8**5)**40, about 1e-7. Every pair that links is compared
+by its whole shingle sets.
 """
 
 from __future__ import annotations
@@ -13,19 +15,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from tracewright.llm.common import full_text
 from tracewright.llm.components import components
+from tracewright.llm.simhash import majority, near_classes
 from tracewright.scale import checkpoint
 
 WIDTH, LEAST = 5, 0.8
 BANDS, ROWS = 40, 5
 SEED = 42
 BLOCK = 8_192  # shingles min-hashed at once
-GROWTH = 8  # times as many leaders in each round: a round costs many small jobs
 SLOTS = 256  # shingles are counted by their hash in so many slots, to bound what two sets share
+BLOCK_NODES, BLOCK_SHINGLES = 4_096, 4_000_000  # of sets that one task compares at once
 
 _DRAWN = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS, 1), np.uint64)
 _FLIP, _TIMES = _DRAWN[0], _DRAWN[1] | np.uint64(1)
@@ -60,75 +64,103 @@ def _counts(found: np.ndarray) -> bytes:
 
 def may_be_close(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
     """Whether sets may be alike, by rows of slot counts: they share at most the lesser count of each slot."""
-    least = np.minimum(a, b).astype(np.int64)
-    shared = np.where((least == 255).any(axis=1), np.minimum(size_a, size_b), least.sum(axis=1))
+    least = np.minimum(a, b)
+    shared = np.where((least == 255).any(axis=1), np.minimum(size_a, size_b), least.sum(axis=1, dtype=np.int64))
     return shared >= LEAST * (size_a + size_b - shared) - 1e-6
 
 
-def _bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = [np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, SLOTS) for i in (2, 3)]
-        sizes = [b.column(i).to_numpy() for i in (4, 5)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(may_be_close(*rows, *sizes))], ["u", "v", "open"])
-
-
 def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sets = [shingles(t) for t in b.column(2).to_pylist()]
         node = [xxhash.xxh3_128_digest(s.tobytes(), SEED) for s in sets]
-        keys = [_bands(s) for s in sets]
         yield pa.RecordBatch.from_arrays(
             [b.column(0), b.column(1), pa.array(node, pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
-             pa.array([_counts(s) for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-            ["id", "digest", "node", "size", "counts", "keys"])
+             pa.array([majority(s) for s in sets], pa.int64()), pa.array([_bands(s) for s in sets], pa.list_(pa.int64()))],
+            ["id", "digest", "node", "size", "fp", "keys"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    name, last = None, None  # pairs come sorted by u, so its set is made once
-    for b in batches:
-        u, v, close = b.column(0).to_pylist(), b.column(1).to_pylist(), []
-        for i, t in enumerate(b.column(3).to_pylist()):
-            if u[i] != name:
-                name, last = u[i], shingles(b.column(2)[i].as_py())
-            close.append(similarity(last, shingles(t)) >= LEAST)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(close, pa.bool_())], ["u", "v", "close"])
+def close_links(sets: list[np.ndarray], side: list[int]) -> list[tuple[int, int]]:
+    """Pairs (positions) of similarity 0.8 or more that connect all such pairs.
 
+    ``side`` 0 and 1: only pairs of one with the other; None in all: all pairs. Pairs
+    that links connect already are not compared, nor those whose sizes or slot counts
+    rule it out.
+    """
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    size = np.array([len(sets[i]) for i in order])
+    slots = np.frombuffer(b"".join(_counts(sets[i]) for i in order), np.uint8).reshape(-1, SLOTS)
+    half = np.array([-1 if side[i] is None else side[i] for i in order])
+    last = np.searchsorted(size, np.floor(size / LEAST + 1e-6), "right")
+    root = np.arange(len(order))
+    links = []
+    for i in range(len(order)):
+        met = np.arange(i + 1, last[i])
+        met = met[(root[met] != root[i]) & ((half[met] != half[i]) | (half[i] < 0))]
+        if not len(met):
+            continue
+        for j in met[may_be_close(slots[i], slots[met], size[i], size[met])]:
+            if root[j] != root[i] and similarity(sets[order[i]], sets[order[j]]) >= LEAST:
+                root[root == root[j]] = root[i]
+                links.append((int(order[i]), int(order[j])))
+    return links
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links within each block; rows come sorted by block."""
+    block, nodes, sets, sides = None, [], [], []
+
+    def found() -> Iterator[pa.RecordBatch]:
+        links = close_links(sets, sides) if len(sets) > 1 else []
+        if links:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([nodes[p[k]] for p in links], pa.binary()) for k in (0, 1)], ["u", "v"])
 
-def _pairs(members: DataFrame, cells: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs of leaders with the other members of their keys, and the leaders (key, lead).
-
-    Each key has up to ``cells`` leaders. Members of one root need no comparison, nor
-    those whose sizes alone are too far apart.
+    for b in batches:
+        for name, node, side, text in zip(*(b.column(k).to_pylist() for k in range(4))):
+            if name != block:
+                yield from found()
+                block, nodes, sets, sides = name, [], [], []
+            nodes.append(node)
+            sides.append(side)
+            sets.append(shingles(text))
+    yield from found()
+
+
+def _blocks(nodes: DataFrame) -> DataFrame:
+    """block, node, side: each pair that shares a key is in a block, on both sides if they are told apart.
+
+    Nodes that keys connect are one block. Where that would be too much for one task,
+    each key is a block, and a key that is still too much is dealt into cells: each two
+    of them are a block, compared with each other only, and so is each cell.
     """
-    cell = F.pmod(F.xxhash64("node", F.lit(cells)), F.lit(cells))
-    leaders = members.groupBy(F.col("key").alias("k"), cell.alias("cell")).agg(F.min(F.struct("node", "size", "root")).alias("lead"))
-    leaders = checkpoint(leaders.select("k", "lead"))
-    met = members.join(leaders, F.col("key") == F.col("k")).where(
-        (F.col("root") != F.col("lead.root")) & (F.least("size", "lead.size") >= LEAST * F.greatest("size", "lead.size")))
-    pairs = met.select(F.least("node", "lead.node").alias("u"), F.greatest("node", "lead.node").alias("v")).distinct()
-    return pairs, leaders.select("k", F.col("lead.node").alias("lead"))
-
-
-def _open(members: DataFrame) -> DataFrame:
-    """Members of keys that still hold two roots."""
-    roots = members.groupBy(F.col("key").alias("k")).agg(F.min("root").alias("a"), F.max("root").alias("b"))
-    return members.join(roots.where("a < b").select("k"), F.col("key") == F.col("k"), "left_semi")
-
-
-def _verified(pairs: DataFrame, held: DataFrame, texts: DataFrame) -> DataFrame:
-    """``pairs`` with the verdict; texts move only for pairs that the slot counts leave open."""
-    one = held.select(F.col("node").alias("u"), F.col("counts").alias("a"), F.col("size").alias("n"))
-    two = held.select(F.col("node").alias("v"), F.col("counts").alias("b"), F.col("size").alias("m"))
-    told = pairs.join(two, "v").join(one, "u").select("u", "v", "a", "b", "n", "m")
-    told = checkpoint(told.mapInArrow(_bound, "u binary, v binary, open boolean"))
-    left = told.where("open").select("u", "v")
-    asked = left.select("u").union(left.select("v")).distinct().withColumnRenamed("u", "node").join(held.select("node", "digest"), "node")
-    asked = asked.select("node", F.col("digest").alias("of"))
-    found = checkpoint(texts.join(asked, texts["digest"] == asked["of"]).groupBy("node").agg(F.first("text").alias("text")))
-    one, two = (found.select(F.col("node").alias(n), F.col("text").alias(t)) for n, t in (("u", "a"), ("v", "b")))
-    both = left.join(two, "v").join(one, "u").select("u", "v", "a", "b").sortWithinPartitions("u")
-    shut = told.where("not open").select("u", "v", F.lit(False).alias("close"))
-    return both.mapInArrow(_verify, "u binary, v binary, close boolean").unionByName(shut)
+    members = nodes.select(F.posexplode(F.concat("keys", F.array("class"))).alias("band", "key"), "node")
+    first = F.first("node").over(W.partitionBy("band", "key").orderBy("node").rowsBetween(W.unboundedPreceding, W.currentRow))
+    edges = checkpoint(members.select(F.col("node").alias("u"), first.alias("v")).where("u > v").distinct())
+    held = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
+    roots = components(edges).select(F.col("node").alias("n"), "root")
+    held = checkpoint(held.join(roots, F.col("node") == F.col("n"), "left").select("node", F.coalesce("root", "node").alias("root"))
+                      .join(nodes.select("node", "size"), "node"))
+
+    def cells(nodes_each: int, shingles_each: int) -> Column:
+        return F.ceil(F.greatest(F.count("*") / nodes_each, F.sum("size") / shingles_each)).cast("int")
+
+    big = held.groupBy("root").agg(cells(BLOCK_NODES, BLOCK_SHINGLES).alias("cells")).where("cells > 1")
+    big = checkpoint(big.select(F.col("root").alias("of")))
+    whole = held.select(F.hex("root").alias("block"), "node", F.lit(None).cast("int").alias("side"))
+    if big.isEmpty():
+        return whole
+    whole = held.join(big, F.col("root") == F.col("of"), "left_anti").select(
+        F.hex("root").alias("block"), "node", F.lit(None).cast("int").alias("side"))
+    inside = held.join(big, F.col("root") == F.col("of"), "left_semi").select(F.col("node").alias("n"), "size")
+    inside = checkpoint(members.join(inside, F.col("node") == F.col("n")).select("band", "key", "node", "size"))
+    keys = inside.groupBy(F.col("band").alias("b"), F.col("key").alias("k")).agg(
+        F.count("*").alias("n"), F.greatest(F.lit(1), cells(BLOCK_NODES // 2, BLOCK_SHINGLES // 2)).alias("cells")).where("n > 1")
+    dealt = inside.join(keys, (F.col("band") == F.col("b")) & (F.col("key") == F.col("k")))
+    dealt = dealt.withColumn("cell", F.pmod(F.xxhash64("node", "key"), F.col("cells")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    side = F.when(F.col("cell") != F.col("other"), (F.col("cell") > F.col("other")).cast("int"))
+    name = F.concat_ws(" ", "band", "key", F.least("cell", "other"), F.greatest("cell", "other"))
+    return whole.unionByName(dealt.select(name.alias("block"), "node", side.alias("side")))
 
 
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,39 +172,28 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     blank texts are equal to each other only. Repeated rows are rows; an empty table
     gives an empty result. Whole texts are read.
 
-    Equal sets are reduced to one node. Each key compares its members with a leader;
-    what one component then holds is settled, and the others meet eight times as many
-    leaders in the next round, until no key holds two components unmet. So a
-    group of many near copies costs a star and not all its pairs. Whole texts are
-    compared only where counts of their shingles by hash do not rule a pair out.
+    Equal sets are reduced to one node. Nodes that share a key, of min-hashes or of the
+    anchors, meet in one block of bounded size and are compared there; only links that
+    connect them leave it. So a group of many near copies makes as many rows as it has
+    members, and each of its texts moves once.
     """
     text = full_text(docs[text_col])
     texts = docs.select(docs[id_col].alias("id"), F.md5(text).alias("digest"), text.alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
-    rows = checkpoint(texts.mapInArrow(_propose, f"id {kind}, digest string, node binary, size long, counts binary, keys array<long>"))
-    nodes = rows.groupBy("node").agg(F.min("id").alias("least"), F.min("digest").alias("digest"), F.min("size").alias("size"), F.first("counts").alias("counts"), F.first("keys").alias("keys"))
-    members = nodes.select(F.explode("keys").alias("key"), "node", "size", F.col("node").alias("root"))
-    members = checkpoint(_open(members))
-    held = checkpoint(members.select("node").distinct().join(nodes.select("node", "digest", "size", "counts"), "node"))
-    links = met = None
-    cells = 1
-    while not members.isEmpty():
-        pairs, leaders = _pairs(members, cells)
-        pairs = checkpoint(pairs if met is None else pairs.join(met.select("u", "v"), ["u", "v"], "left_anti"))
-        new = checkpoint(_verified(pairs, held, texts))
-        met = new if met is None else checkpoint(met.unionByName(new))
-        links = met.where("close").select("u", "v")
-        roots = components(links).select(F.col("node").alias("n"), F.col("root").alias("to"))
-        left = members.join(leaders, (F.col("key") == F.col("k")) & (F.col("node") == F.col("lead")), "left_anti")
-        left = left.join(roots, F.col("node") == F.col("n"), "left").select("key", "node", "size", F.coalesce("to", "node").alias("root"))
-        members = checkpoint(_open(checkpoint(left)))
-        cells *= GROWTH
-    ids = nodes.select("node", "least")
-    if links is None:
-        labelled = ids.withColumn("root", F.col("node"))
-    else:
-        labelled = ids.join(roots, F.col("node") == F.col("n"), "left").select("node", "least", F.coalesce("to", "node").alias("root"))
-    labelled = checkpoint(labelled)
+    rows = checkpoint(texts.mapInArrow(_propose, f"id {kind}, digest string, node binary, size long, fp long, keys array<long>"))
+    nodes = checkpoint(rows.groupBy("node").agg(
+        F.min("id").alias("least"), F.min("digest").alias("digest"), F.min("size").alias("size"), F.min("fp").alias("fp"), F.first("keys").alias("keys")))
+    classes = near_classes(nodes.select("fp").distinct()).withColumnRenamed("fp", "of")
+    classed = nodes.join(classes, nodes["fp"] == classes["of"]).withColumnRenamed("root", "class")
+    blocks = checkpoint(_blocks(checkpoint(classed.select("node", "size", "class", "keys"))))
+    asked = blocks.select(F.col("node").alias("n")).distinct()
+    asked = nodes.join(asked, F.col("node") == F.col("n"), "left_semi").select("node", F.col("digest").alias("of"))
+    found = texts.join(asked, texts["digest"] == asked["of"]).groupBy(F.col("node").alias("n")).agg(F.first("text").alias("text"))
+    met = blocks.join(found, F.col("node") == F.col("n")).select("block", "node", "side", "text")
+    links = met.repartition("block").sortWithinPartitions("block").mapInArrow(_compare, "u binary, v binary")
+    roots = components(links).select(F.col("node").alias("n"), F.col("root").alias("to"))
+    labelled = nodes.select("node", "least").join(roots, F.col("node") == F.col("n"), "left")
+    labelled = checkpoint(labelled.select("node", "least", F.coalesce("to", "node").alias("root")))
     best = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = labelled.join(best, "root").select(F.col("node").alias("class_node"), "component_id")
-    return rows.join(classes, rows["node"] == classes["class_node"]).select("id", "component_id")
+    groups = labelled.join(best, "root").select(F.col("node").alias("class_node"), "component_id")
+    return rows.join(groups, rows["node"] == groups["class_node"]).select("id", "component_id")
