@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tracewright.operators import corpus
 from tracewright.operators.segments import segment_stories
 from workload.logs import NARRATIVES, item_log
-from workload.queries import log_tree
+from workload.queries import instruction_counts, instruction_meta, instruction_texts, log_tree
 
 SF = "/root/testdata/sf0.001"
 
@@ -44,3 +44,11 @@ def test_events_of_a_block_are_sorted_without_a_lambda(spark):
     """array_sort runs an interpreted comparison for each pair of events."""
     told = segment_stories(item_log(spark, SF), NARRATIVES)
     assert "array_sort" not in told._jdf.queryExecution().analyzed().toString()
+
+
+def test_samples_without_text_tell_no_story(spark):
+    """Counts and metadata of samples need no sentence; the plan must not make any."""
+    def told(query):
+        return "The case started with" in query(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+    assert told(instruction_texts) and not told(instruction_meta) and not told(instruction_counts)
