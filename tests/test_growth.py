@@ -4,6 +4,7 @@ import glob
 
 from pyspark.sql import functions as F
 
+from tracewright.functions.text import json_list
 from tracewright.operators import corpus
 from tracewright.operators.segments import segment_stories
 from workload.logs import NARRATIVES, item_log
@@ -52,3 +53,10 @@ def test_samples_without_text_tell_no_story(spark):
         return "The case started with" in query(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
 
     assert told(instruction_texts) and not told(instruction_meta) and not told(instruction_counts)
+
+
+def test_json_lists_of_plain_and_other_texts(spark):
+    items = ["a b~", "", 'q"', "back\\slash", "line\n", "end\n", "\x7f", "é", None, "[x]", "\x00"]
+    df = spark.createDataFrame([(items,)], "items array<string>")
+    texts = df.select(json_list(F.col("items")).alias("got"), F.transform("items", lambda x: F.to_json(F.array(x))).alias("want")).first()
+    assert texts.got == "[" + ", ".join(t[1:-1] for t in texts.want) + "]"
