@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.text import json_list
 from tracewright.operators import corpus
-from tracewright.operators.segments import segment_stories
+from tracewright.operators.segments import segment_stories, tell_segments
 from workload.logs import NARRATIVES, item_log
 from workload.queries import instruction_counts, instruction_meta, instruction_texts, log_tree
 
@@ -60,3 +60,15 @@ def test_json_lists_of_plain_and_other_texts(spark):
     df = spark.createDataFrame([(items,)], "items array<string>")
     texts = df.select(json_list(F.col("items")).alias("got"), F.transform("items", lambda x: F.to_json(F.array(x))).alias("want")).first()
     assert texts.got == "[" + ", ".join(t[1:-1] for t in texts.want) + "]"
+
+
+def test_only_chosen_segments_are_told(spark):
+    log = item_log(spark, SF)
+    told = segment_stories(log, NARRATIVES)
+    bare = segment_stories(log, NARRATIVES, story=False)
+    assert "The case started with" not in bare._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(bare.collect()) == sorted(told.drop("text").collect())
+    chosen = bare.where("crc32(cast(case_id as string)) % 3 = 0 and slice_id = 0")
+    want = told.join(chosen.select("case_id", "slice_id"), ["case_id", "slice_id"], "left_semi")
+    got = tell_segments(log, chosen, NARRATIVES)
+    assert 0 < got.count() < told.count() and sorted(got.select(want.columns).collect()) == sorted(want.collect())

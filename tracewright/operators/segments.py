@@ -15,6 +15,7 @@ from tracewright.functions.structs import let, record
 from tracewright.functions.text import compact_text
 from tracewright.operators.blocks import BLOCK_EVENTS, between, case_blocks, story_text
 from tracewright.operators.ordering import HotCases, order_events
+from tracewright.scale import broadcast_if_small
 from tracewright.schema import CASE
 
 
@@ -167,21 +168,25 @@ def segment_stories(
     intro: bool = True,
     quote: bool = True,
     hot: HotCases | None = None,
+    story: bool = True,
 ) -> DataFrame:
     """Every segment told as text: the candidates of the story corpus.
 
     Case attributes come from the whole case. Sentences are rendered once per
-    event and then sliced; one shuffle on the case.
+    event and then sliced; one shuffle on the case. ``story=False`` leaves the text
+    out: the same segments, to choose from before they are told.
     """
     ordered_columns = {"case_order": F.min("in_order")}
-    fields = case_field_columns(events, narratives)
+    fields = case_field_columns(events, narratives) if story else {}
     ordered = order_events(events, hot, {**ordered_columns, **fields})
+    if story:
+        ordered = with_event_sentences(ordered, narratives, quote)
     blocks = case_blocks(
-        with_event_sentences(ordered, narratives, quote),
-        {**{c: F.col(c) for c in SENTENCES}, "name": variant_name()},
+        ordered, {**({c: F.col(c) for c in SENTENCES} if story else {}), "name": variant_name()},
         halo=w.halo, case_columns=["case_order", *fields], block=w.block,
     )
-    case_text = case_sentence(events, narratives, intro)
+    if story:
+        blocks = blocks.withColumn("case_text", case_sentence(events, narratives, intro))
 
     def tell(s: Column) -> Column:
         return let(between(s["slice_start"], s["slice_end"]), lambda part: record(
@@ -189,13 +194,26 @@ def segment_stories(
             slice_start=s["slice_start"], slice_end=s["slice_end"],
             n_events=s["slice_end"] - s["slice_start"],
             variant_key=F.array_join(F.transform(part, lambda e: e["name"]), " || "),
-            text=story_text(part, F.col("case_text")),
+            **({"text": story_text(part, F.col("case_text"))} if story else {}),
         ))
 
-    told = with_segments(blocks.withColumn("case_text", case_text), w).select(
+    told = with_segments(blocks, w).select(
         *CASE, "case_order", F.inline(F.transform("segments", tell))
     )
-    return told.where("text <> ''")
+    return told.where("text <> ''") if story else told
+
+
+def tell_segments(
+    events: DataFrame, chosen: DataFrame, narratives: Mapping[str, Narrative],
+    w: Windows = Windows(), intro: bool = True, quote: bool = True, hot: HotCases | None = None,
+) -> DataFrame:
+    """``segment_stories`` of the chosen segments (``dataset, case_id, slice_id``) alone.
+
+    Events of other cases are dropped before anything is shuffled or told.
+    """
+    cases = broadcast_if_small(chosen.select(*CASE).distinct())
+    told = segment_stories(events.join(cases, CASE, "left_semi"), narratives, w, intro, quote, hot)
+    return told.join(chosen.select(*CASE, "slice_id"), [*CASE, "slice_id"], "left_semi")
 
 
 def case_stories(
